@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import langid, toxicity, url_filter, winnow
+from inkwell.llm import bsi_topk, langid, repair_store, secret_scan, token_counts, toxicity, url_filter, winnow
 from inkwell.llm.text import learned_fold
 
 #: host, path, verdict
@@ -20,6 +20,12 @@ URL_RULES = [
 ]
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +50,27 @@ FROM clean
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bsi_topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_filter=lambda i: i % 50 == 0)
+
+
+OP5_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), learned_fold)
@@ -56,6 +83,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (~learned_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = repair_store.store_path(spark)
+    repair_store.write(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return repair_store.read(spark, path)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -81,11 +114,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.trained(secret_scan.labelled_samples(spark, docs)))
+    base = secret_scan.shown(F.col("spans"), "assign", "access", "hex")
+    counts = [secret_scan.counted(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_token_counts": op3_token_counts,
+    "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_token_ids": op8_token_ids,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op9_decontamination": OP9_SQL}
+SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_exact_topk": OP5_SQL, "op9_decontamination": OP9_SQL}

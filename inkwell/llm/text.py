@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +79,7 @@ def removed(spark: SparkSession, path: str) -> None:
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batch of about ``most`` bytes of text, each with its texts as bytes (null: empty)."""
     array = batch.column(batch.schema.get_field_index(column))
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(array), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -105,7 +106,6 @@ def map_texts(
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401  (used as pa.compute)
 
         work = make()
         for batch in batches:
