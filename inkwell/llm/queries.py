@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bsi_topk, langid, repair_store, secret_scan, token_counts, toxicity, url_filter, winnow
+from inkwell.llm import bsi_topk, langid, near_dup, repair_store, secret_scan, sp_lattice, token_counts, toxicity, url_filter, winnow
 from inkwell.llm.text import learned_fold
 
 #: host, path, verdict
@@ -50,10 +50,30 @@ FROM clean
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every whole text, decoded again; a digest of each one's ids."""
+    return sampled_and_decoded(table(spark, sf_dir, "documents"))
+
+
+def sampled_and_decoded(docs: DataFrame) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    samples = sp_lattice.sample(docs, model, k=2, keep=["doc_id", "text"])
+    back = sp_lattice.decode(samples, model, keep=["doc_id", "text", "sample", "ids", "log_prob", "gumbel", "inclusion"])
+    return back.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "gumbel", "inclusion",
+        (F.col("decoded") == F.translate("text", sp_lattice.MARK, " ")).alias("round_trip"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bsi_topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_filter=lambda i: i % 50 == 0)
 
@@ -124,7 +144,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
