@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.bpe import ByteBpe, gathered, shipped
+from inkwell.llm.bpe import gathered, of_worker, shipped
 from inkwell.llm.text import chunks, quoted, shared_dir
 
 MAGIC = b"RPG1"
@@ -175,6 +175,7 @@ class Block:
 
 BLOCK_SCHEMA = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()),
+    T.StructField("ids_before", T.LongType()),  # in the shard
     T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()),
 ])
 
@@ -199,18 +200,19 @@ def write(
     dealt = rows.withColumn("s", shard.cast("int")).repartitionById(n, F.col("s")).sortWithinPartitions("s", F.col("i").asc_nulls_first(), F.xxhash64("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(config.value)
+        bpe = of_worker(config.value)
         terminals = bpe.tokenizer.get_vocab_size()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        at: list[int] = [-1, 0]
+        at: list[int] = [-1, 0, 0]  # shard, block, ids before it
 
         def block() -> pa.RecordBatch:
             doc_ids = [i for x in held for i in x[0]]
             values, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             held.clear()
-            row = [[at[0]], [at[1]], [len(values)], [doc_ids], [packed(values, np.cumsum(counts), terminals)]]
-            at[1] += 1
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=BLOCK_SCHEMA.names)
+            row = [[at[0]], [at[1]], [len(values)], [at[2]], [doc_ids], [packed(values, np.cumsum(counts), terminals)]]
+            at[1:] = at[1] + 1, at[2] + len(values)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=BLOCK_SCHEMA.names)
 
         for batch in batches:
             for part, texts in chunks(batch, "t"):
@@ -226,7 +228,7 @@ def write(
                     if shard_of[a] != at[0]:
                         if held:
                             yield block()
-                        at[:] = [int(shard_of[a]), 0]
+                        at[:] = [int(shard_of[a]), 0, 0]
                     held.append((doc_ids[a:b], values[cut[a] : cut[b]], counts[a:b]))
                     if sum(len(x[1]) for x in held) >= block_ids:
                         yield block()
@@ -239,19 +241,12 @@ def write(
 def read(spark: SparkSession, path: str, end_id: int | None = 0) -> DataFrame:
     """Per document, decoded from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 
-    The starts come from the blocks' sizes: one row per block is ordered, the payloads stay where they are.
+    A block knows the ids before it in its shard, so only the shards' totals are summed up; the payloads stay where they are.
     """
-    from pyspark.sql import Window
-
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    # shard totals first, so that no window holds more than the shards, or the blocks of one shard
-    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     offsets, total = {}, 0
-    for shard, n in sorted(totals.collect()):  # one row per shard
+    for shard, n in sorted(blocks.groupBy("shard").agg(F.sum("n_ids")).collect()):  # one row per shard
         offsets[shard], total = total, total + n
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("s"))
-    placed = blocks.join(starts.withColumnRenamed("shard", "s1").withColumnRenamed("block", "b1"), (F.col("shard") == F.col("s1")) & (F.col("block") == F.col("b1")))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +258,7 @@ def read(spark: SparkSession, path: str, end_id: int | None = 0) -> DataFrame:
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(before[:-1] + s + offsets[shard], pa.int64()), pa.array(np.diff(before), pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("shard", "s", "doc_ids", "payload").mapInArrow(decode, schema)
+    return blocks.select("shard", "ids_before", "doc_ids", "payload").mapInArrow(decode, schema)
 
 
 def store_path(spark: SparkSession) -> str:

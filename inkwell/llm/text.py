@@ -147,6 +147,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end): a polynomial over random byte values by prefix sums, then mixed."""
+    power, inverse = _power_tables(len(raw))
+    value = _BYTE_VALUE[raw]
+    value *= power[: len(raw)]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mixed((total[end] - total[start]) * inverse[start])
+
+
 class Words:
     """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of some texts with A-Z lower-cased, hashed without a Python loop.
 
@@ -165,11 +175,7 @@ class Words:
         offsets = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        power, inverse = _power_tables(len(raw))
-        value = _BYTE_VALUE[raw]
-        value *= power[: len(raw)]
-        total = np.cumsum(value, dtype=np.uint64)
-        self.hash = mixed((total[self.end - 1] - total[self.start - 1]) * inverse[self.start])
+        self.hash = span_hashes(raw, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)

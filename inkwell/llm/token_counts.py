@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.bpe import ByteBpe, shipped
+from inkwell.llm.bpe import of_worker, shipped
 from inkwell.llm.text import map_texts, quoted
 
 #: first: to the section with the token's first byte; last: with its last; most: with most of its bytes (the first, if
@@ -75,8 +75,8 @@ def token_counts(
     row = T.StructType([T.StructField("field", T.StringType()), *[T.StructField(c, T.IntegerType() if c == "section" else T.LongType()) for c in ("section", "char_start", "char_end")], T.StructField("n_tokens", T.DoubleType()), T.StructField("n_crossing", T.LongType())])
 
     def make():
-        bpe = ByteBpe(config.value)
-        length = bpe.token_bytes()
+        bpe = of_worker(config.value)
+        length = bpe.lengths
 
         def work(texts: list[bytes]) -> list:
             heads = [t.index(b"\n") for t in texts]
