@@ -1,19 +1,20 @@
 """SentencePiece encoding, decoding, and sampling of distinct segmentations.
 
 Sampling is Gumbel top-k without replacement.  The lattice of a whole text has a node per character and an edge per piece;
-backward log-sums turn it into a tree of decisions, each with exact conditional probabilities.  A best-first (A*) search
-over perturbed scores keeps, for every decision on an emitted path, one bound: the largest Gumbel-perturbed score of all
-ways not taken there, drawn truncated at the score of the path.  The largest bound anywhere is the next segmentation, so
-the first k are an exact sample without replacement, in order.  With kappa the best bound left after k, a segmentation of
-log-probability phi has the inclusion score 1 - exp(-exp(phi - kappa)).
-
-No piece goes over from other characters to a word mark, so the lattice falls apart into words; the lattices of a chunk's
-distinct words are built once, and all words of all its texts take their decisions together in numpy.
+backward log-sums turn it into a tree of decisions with exact conditional probabilities.  A best-first (A*) search over
+perturbed scores keeps one bound for every emitted path: the largest Gumbel-perturbed score of all segmentations that leave
+this path somewhere and belong to no other emitted path's bound, drawn truncated at the score that the path was emitted
+with.  The path with the largest bound gives the next segmentation: where it leaves the path, and which way, is drawn in
+proportion to the probabilities left, and the rest is sampled down the tree.  So the first k are an exact sample without
+replacement, in order.  With kappa the largest bound left after k, a segmentation of log-probability phi has the inclusion
+score 1 - exp(-exp(phi - kappa)).
+
+No piece goes over from other characters to a word mark, so the lattice falls apart into words; words that many texts share
+are built once, and all words of a chunk's texts take their decisions together in numpy.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.bpe import gathered
-from inkwell.llm.text import chunks, map_texts, mixed, quoted
+from inkwell.llm.bpe import WordTable, gathered
+from inkwell.llm.text import chunks, map_texts, mixed, quoted, span_hashes
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _STEP, _TOKEN = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 
@@ -108,19 +108,21 @@ class Lattice:
     """
 
     #: Nodes kept; beyond that, the next chunk starts with no words.
-    MOST_NODES = 600_000
+    MOST_NODES = 1_200_000
+    #: Characters of new words whose lattices are built at once.
+    BUILT_CHARS = 1 << 16
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.clear()
 
     def clear(self) -> None:
-        self.number = _Numbers()
+        self.table = WordTable()
         self.extra: list[list[int]] = []  # ids of the characters without a piece
         self.spelt: dict[int, int] = {}
-        self.begin, self.end = _Grown(np.int64), _Grown(np.int64)
-        self.first, self.choices = _Grown(np.int64), _Grown(np.int32)
-        self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
+        self.begin, self.end = _Grown(np.int32), _Grown(np.int32)
+        self.first, self.choices = _Grown(np.int32), _Grown(np.int16)
+        self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int16), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
 
     def add(self, words: list[str]) -> None:
         """Words that are not there yet, numbered from ``len(self.begin)`` on."""
@@ -150,19 +152,24 @@ class Lattice:
             parts.append((at[whole], size, found[whole]))
             go = np.flatnonzero((found > -2) & (left[at] > size))
             at, h = at[go], h[go]
-        node = np.concatenate([a for a, _, _ in parts])
-        by_node = np.argsort(node, kind="stable")  # shorter pieces stay first
-        node = node[by_node]
-        size = np.repeat([z for _, z, _ in parts], [len(a) for a, _, _ in parts])[by_node]
-        piece = np.concatenate([x for _, _, x in parts])[by_node]
+        # edges by node, shorter pieces first
+        choices = np.zeros(n, np.int64)
+        for who, _, _ in parts:
+            choices[who] += 1
+        first = np.cumsum(choices) - choices
+        upto = first.copy()
+        total = int(choices.sum())
+        size, piece = np.empty(total, np.int64), np.empty(total, np.int64)
+        for who, length_of, ids in parts:
+            size[upto[who]], piece[upto[who]] = length_of, ids
+            upto[who] += 1
+        node = np.repeat(np.arange(n), choices)
         logp = np.concatenate([pieces.logp, [pieces.floor * len(x) for x in self.extra]])[piece]
         # backward log-sums, all words at once, by distance to the word's end
-        choices = np.bincount(node, minlength=n)
-        first = np.cumsum(choices) - choices
         beta = np.zeros(n)
         ahead = np.where(size == left[node], n, node + size)  # the word's end has the value 0
         beta = np.append(beta, 0.0)
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(left))])
         for distance in range(1, len(cuts) - 1):
             nodes = order[cuts[distance] : cuts[distance + 1]]
@@ -183,14 +190,51 @@ class Lattice:
         ):
             mine.extend(new)
 
-    def words(self, found: list[list[str]]) -> np.ndarray:
-        """The number of every word of every text in turn."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word of every normalised text in turn, and the words before each text (with the total).
+
+        A word is a run of word marks with what follows up to the next mark.
+        """
         if len(self.first) > self.MOST_NODES:
             self.clear()
-        out = [i for x in found for i in map(self.number.__getitem__, x)]
-        new, self.number.new = self.number.new, []
-        self.add(new)
-        return np.array(out, np.int64)
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"\xff".join([*parts, b""])  # a byte that no text has
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = np.concatenate([[0], np.cumsum(size + 1)])
+        raw = np.frombuffer(joined, np.uint8)
+        mark = np.zeros(len(raw) + 3, bool)
+        mark[3:] = (raw == 0xE2) & (np.append(raw[1:], 0) == 0x96) & (np.append(raw[2:], [0, 0])[: len(raw)] == 0x81)
+        start = mark[3:] & ~mark[:-3]
+        full = size > 0
+        start[begin[:-1][full]] = True
+        edge = start.copy()
+        edge[begin[1:] - 1] = True
+        at = np.flatnonzero(edge)
+        real = np.flatnonzero(start[at])
+        start, end = at[real], at[real + 1] if len(real) else at[real]
+        hashes = np.maximum(span_hashes(raw, start, end), np.uint64(1))
+        number = self.table.find(hashes)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, where = np.unique(hashes[missing], return_index=True)
+            where = missing[where]
+            self._learn([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            self.table.add(new)
+            number[missing] = self.table.find(hashes[missing])
+        return number, np.searchsorted(start, begin)
+
+    def _learn(self, new: list[str]) -> None:
+        ends, at = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))), 0
+        while at < len(new):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.BUILT_CHARS, side="right")))
+            self.add(new[at:upto])
+            at = upto
+
+    def ways(self, edge: int) -> range:
+        """All edges that leave the node that this one leaves."""
+        node = int(self.node.all()[edge])
+        first = int(self.first.all()[node])
+        return range(first, first + int(self.choices.all()[node]))
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample a path from each ``node`` to ``end``: its edges in turn, and the number of edges of each path."""
@@ -218,19 +262,6 @@ class Lattice:
         return out, counts
 
 
-class _Numbers(dict):
-    """Numbers words as they are first asked for."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-
 class _Grown:
     """An array that grows at its end."""
 
@@ -243,7 +274,7 @@ class _Grown:
     def extend(self, values: np.ndarray) -> None:
         need = self.used + len(values)
         if need > len(self.array):
-            self.array = np.concatenate([self.array[: self.used], np.empty(max(need, 2 * len(self.array)) - self.used, self.array.dtype)])
+            self.array = np.concatenate([self.array[: self.used], np.empty(max(need, 3 * len(self.array) // 2) - self.used, self.array.dtype)])
         self.array[self.used : need] = values
         self.used = need
 
@@ -252,32 +283,22 @@ class _Grown:
 
 
 class Samples:
-    """k distinct segmentations of each text of a chunk, best perturbed score first.
+    """k distinct segmentations of each normalised text of a chunk, best perturbed score first.
 
     ``ids[d]`` lists each sample's ids; ``log_prob``, ``gumbel`` and ``inclusion`` are lists alongside.  A text with fewer
-    segmentations gives them all, with inclusion 1; an empty normalised text gives one empty one.
-
-    The frontier is drawn lazily: a bound of log-probability phi is under phi + SPREAD whatever its random number, so the
-    decisions beyond the first ``head`` of a path are drawn only if that could exceed a bound that is needed.
+    segmentations gives them all, with inclusion 1; an empty one gives one empty segmentation.
     """
 
-    #: -log of the least exponential variable that 52 random bits can give, and a little more.
-    SPREAD = 37.0
-
-    def __init__(self, texts: list[str], keys: np.ndarray, lattice: Lattice, k: int, head: int = 256) -> None:
-        found = [_WORD.findall(t) for t in texts]
-        word = lattice.words(found)
-        self.lattice, self.head = lattice, head
-        per_text = np.fromiter(map(len, found), np.int64, len(found))
-        self.first_word = first_word = np.concatenate([[0], np.cumsum(per_text)])
-        text_of = np.repeat(np.arange(len(texts)), per_text)
+    def __init__(self, texts: list[str], keys: np.ndarray, lattice: Lattice, k: int) -> None:
+        word, first_word = lattice.words(texts)
+        self.lattice = lattice
+        text_of = np.repeat(np.arange(len(texts)), np.diff(first_word))
         self.keys = keys = mixed(keys.astype(np.uint64))
         word_key = mixed(keys[text_of] + (np.arange(len(word)) - first_word[text_of]).astype(np.uint64) * _TOKEN)
-        begin, end = lattice.begin.all()[word], lattice.end.all()[word]
+        begin, end = lattice.begin.all()[word].astype(np.int64), lattice.end.all()[word].astype(np.int64)
         size_of = np.concatenate([np.ones(lattice.pieces.size, np.int64), np.fromiter(map(len, lattice.extra), np.int64, len(lattice.extra))])
         flat = np.concatenate([np.arange(lattice.pieces.size), np.array([i for x in lattice.extra for i in x], np.int64)]).astype(np.int32)
         begin_of = np.cumsum(size_of) - size_of
-        plain = not lattice.extra
         self.ids: list[list[np.ndarray]] = [[] for _ in texts]
         self.log_prob: list[list[float]] = [[] for _ in texts]
         self.gumbel: list[list[float]] = [[] for _ in texts]
@@ -285,53 +306,57 @@ class Samples:
 
         def spelled(edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             piece = lattice.piece.all()[edges]
-            if plain:
+            if not lattice.extra:
                 return piece, cut
             sizes = size_of[piece]
             return flat[gathered(begin_of[piece], sizes)], np.concatenate([[0], np.cumsum(sizes)])[cut]
 
         edges, counts = lattice.walk(begin, end, word_key + np.uint64(1))
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        cut = upto[first_word]
+        word_cut = np.concatenate([[0], np.cumsum(counts)])
+        cut = word_cut[first_word]
         ids, id_cut = spelled(edges, cut)
         sums = np.concatenate([[0.0], np.cumsum(lattice.logp.all()[edges])])
         paths: list[list[_Path]] = []
-        for d in range(len(texts)):
-            a, b = int(cut[d]), int(cut[d + 1])
-            self._emit(d, ids[id_cut[d] : id_cut[d + 1]], float(sums[b] - sums[a]), float(best[d]))
-            paths.append([_Path(self, d, 1, edges[a:b], 0, 0.0, float(best[d]))] if b > a else [])
+        for d, (a, b, low, high) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), id_cut[:-1].tolist(), id_cut[1:].tolist(), strict=True)):
+            self._emit(d, ids[low:high], float(sums[b] - sums[a]), float(best[d]))
+            w, x = int(first_word[d]), int(first_word[d + 1])
+            paths.append([_Path(self, d, 1, edges[a:b], sums[a : b + 1] - sums[a], word_cut[w : x + 1] - a, 0, 0.0, float(best[d]))] if b > a else [])
         for s in range(2, k + 1):
             begun, start, stop, start_key, owner = [], [], [], [], []
             for d, mine in enumerate(paths):
                 if not mine or len(self.ids[d]) < s - 1:
                     continue
-                p = max(mine, key=_Path.top)
-                if p.top() == -np.inf:
+                p = max(mine, key=lambda p: p.bound)
+                taken = p.leave(s) if p.bound > -np.inf else None
+                if taken is None:
                     continue
-                j, top, edge, phi = p.take(s)
-                # the word that decision j lies in, and the words after it, are walked anew
-                w = int(first_word[d]) + p.word_of(j, begin[first_word[d] : first_word[d + 1]], end[first_word[d] : first_word[d + 1]])
-                rest = np.arange(w, first_word[d + 1])
-                at = begin[rest]
+                j, top, edge, phi = taken
+                # the word that decision j lies in, from after the new edge on, and the words after it are walked anew
+                w = int(first_word[d]) + int(np.searchsorted(p.word_cut, j, side="right")) - 1
+                rest = slice(w, int(first_word[d + 1]))
+                at = begin[rest].copy()
                 at[0] = lattice.node.all()[edge] + lattice.size.all()[edge]
                 start.append(at)
                 stop.append(end[rest])
                 start_key.append(word_key[rest] + np.uint64([s]) * _TOKEN)
-                owner.append(len(rest))
-                begun.append((d, p, j, top, edge, phi))
+                owner.append(len(at))
+                begun.append((d, p, j, top, edge, phi, w - int(first_word[d])))
             if not begun:
                 break
             more, counts = lattice.walk(np.concatenate(start), np.concatenate(stop), np.concatenate(start_key))
-            cut = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(owner)])]
-            whole = [np.concatenate([p.edges[:j], [edge], more[a:b]]) for (_, p, j, _, edge, _), a, b in zip(begun, cut[:-1], cut[1:], strict=True)]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in whole])])
-            ids, id_cut = spelled(np.concatenate(whole), at)
+            walked = np.concatenate([[0], np.cumsum(counts)])
+            of = np.concatenate([[0], np.cumsum(owner)])
+            cut = walked[of]
+            whole = [np.concatenate([p.edges[:j], [edge], more[a:b]]) for (_, p, j, _, edge, _, _), a, b in zip(begun, cut[:-1], cut[1:], strict=True)]
+            ids, id_cut = spelled(np.concatenate(whole), np.concatenate([[0], np.cumsum([len(x) for x in whole])]))
             sums = np.concatenate([[0.0], np.cumsum(lattice.logp.all()[more])])
-            for n, (d, _, j, top, _, phi) in enumerate(begun):
-                self._emit(d, ids[id_cut[n] : id_cut[n + 1]], phi + float(sums[cut[n + 1]] - sums[cut[n]]), top)
-                # decisions up to j stay with the path that this one left
-                paths[d].append(_Path(self, d, s, whole[n], j + 1, phi, top))
-        kappa = [max((p.top() for p in mine), default=-np.inf) for mine in paths]
+            for n, (d, p, j, top, _, phi, w) in enumerate(begun):
+                a, b = int(cut[n]), int(cut[n + 1])
+                self._emit(d, ids[id_cut[n] : id_cut[n + 1]], phi + float(sums[b] - sums[a]), top)
+                prefix = np.concatenate([p.prefix[: j + 1], phi + sums[a : b + 1] - sums[a]])
+                ends = walked[of[n] + 1 : of[n + 1] + 1] - a + j + 1
+                paths[d].append(_Path(self, d, s, whole[n], prefix, np.concatenate([p.word_cut[: w + 1], ends]), j + 1, phi, top))
+        kappa = [max((p.bound for p in mine), default=-np.inf) for mine in paths]
         self.inclusion = [[1.0 if x == -np.inf else float(-np.expm1(-np.exp(min(v - x, 700.0)))) for v in mine] for mine, x in zip(self.log_prob, kappa, strict=True)]
 
     def _emit(self, d: int, ids: np.ndarray, log_prob: float, gumbel: float) -> None:
@@ -341,78 +366,71 @@ class Samples:
 
 
 class _Path:
-    """An emitted path, and the bounds of the ways not taken at its decisions from ``since`` on."""
+    """An emitted path and the bound of all segmentations that leave it at one of its decisions from ``since`` on.
+
+    ``prefix[j]`` is the log-probability of what comes before decision j, so the segmentations that leave the path before
+    decision j have the probability exp(prefix[since]) - exp(prefix[j]): where to leave is drawn by bisection.
+    """
 
-    def __init__(self, samples: Samples, d: int, s: int, edges: np.ndarray, since: int, phi: float, best: float) -> None:
-        self.samples, self.d, self.s, self.edges, self.since, self.phi, self.best = samples, d, s, edges, since, phi, best
-        self.before, self.bounds = np.empty(0), np.empty(0)  # of decisions since, since + 1, ...
-        self.taken: dict[int, list[int]] = {}
-        self.seen = -np.inf
-        self._draw(samples.head)
+    def __init__(self, samples: Samples, d: int, s: int, edges: np.ndarray, prefix: np.ndarray, word_cut: np.ndarray, since: int, phi: float, top: float) -> None:
+        self.samples, self.d, self.s, self.edges, self.prefix, self.word_cut, self.since, self.phi = samples, d, s, edges, prefix, word_cut, since, phi
+        self.taken: set[tuple[int, int]] = set()
+        self.mass = _log_less(phi, float(prefix[-1]))
+        self.bound = _truncated(self.mass, top, self._uniform(s, 29))
+
+    def _uniform(self, s: int, what: int) -> float:
+        key = int(self.samples.keys[self.d]) + s * int(_STEP) + self.s * int(_TOKEN) + what * 0x9E3779B97F4A7C15
+        return float(_uniform(np.array([key & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+
+    def leave(self, s: int, tries: int = 32) -> tuple[int, float, int, float] | None:
+        """Where the next segmentation leaves the path, its perturbed score, the edge it takes there and the log-probability
+        up to and with it; None if nothing is left.  A way that was taken before is drawn again, and after some tries all
+        ways that are left are laid out and one of them is drawn."""
+        lattice, top = self.samples.lattice, self.bound
+        drawn = next((x for x in (self._drawn(s, n) for n in range(tries)) if x and x not in self.taken), None) or self._listed(s)
+        if drawn is None:
+            self.bound = -np.inf
+            return None
+        j, edge = drawn
+        self.taken.add(drawn)
+        phi = float(self.prefix[j] + lattice.logp.all()[edge])
+        self.mass = _log_less(self.mass, phi)
+        self.bound = _truncated(self.mass, top, self._uniform(s, 31))
+        return j, top, edge, phi
 
-    def _draw(self, n: int) -> None:
-        """Draw the bounds of the next n decisions."""
+    def _drawn(self, s: int, n: int) -> tuple[int, int] | None:
         lattice = self.samples.lattice
-        at = self.since + len(self.bounds)
-        edges = self.edges[at : at + n]
-        if len(edges):
-            chosen = lattice.logp.all()[edges]
-            start = self.before[-1] + lattice.logp.all()[self.edges[at - 1]] if len(self.before) else self.phi
-            before = start + np.cumsum(chosen) - chosen
-            several = lattice.choices.all()[lattice.node.all()[edges]] > 1
-            with np.errstate(divide="ignore"):
-                others = np.where(several, before + np.log1p(-np.minimum(np.exp(chosen), 1 - 1e-12)), -np.inf)
-            place = np.arange(at, at + len(edges)).astype(np.uint64)
-            e = -np.log(_uniform(self.samples.keys[self.d : self.d + 1] + place * _STEP + np.uint64([self.s]) * _TOKEN + np.uint64(29)))
-            self.before = np.concatenate([self.before, before])
-            self.bounds = np.concatenate([self.bounds, _truncated(others, self.best, e)])
-        end = self.since + len(self.bounds)
-        self.later = self.before[-1] + float(lattice.logp.all()[self.edges[end - 1]]) + Samples.SPREAD if end < len(self.edges) and len(self.before) else -np.inf
-        self.seen = float(self.bounds.max(initial=-np.inf))
-
-    def top(self) -> float:
-        """The largest bound; more are drawn as long as a later one could be larger."""
-        while self.later > self.seen:
-            self._draw(2 * len(self.bounds))
-        return self.seen
-
-    def take(self, s: int) -> tuple[int, float, int, float]:
-        """The decision with the largest bound, that bound, a way not taken there, and its log-probability with the prefix."""
-        lattice, top = self.samples.lattice, self.top()
-        i = int(self.bounds.argmax())
-        j = self.since + i
-        node = int(lattice.node.all()[self.edges[j]])
-        out = self.taken.setdefault(j, [int(self.edges[j])])
-        first = int(lattice.first.all()[node])
-        ways = [e for e in range(first, first + int(lattice.choices.all()[node])) if e not in out]
+        u, v = self._uniform(s, 100 + 2 * n), self._uniform(s, 101 + 2 * n)
+        # what is left is between the probability of the whole path and that of the prefix
+        left = self.phi + np.log1p(u * np.expm1(float(self.prefix[-1]) - self.phi))
+        j = int(np.searchsorted(-self.prefix[self.since + 1 :], -left, side="left")) + self.since
+        j = min(j, len(self.edges) - 1)
+        own = int(self.edges[j])
+        ways = [e for e in lattice.ways(own) if e != own]
+        if not ways:  # by rounding only
+            return None
         score = lattice.logp.all()[ways]
-        u = _uniform(self.samples.keys[self.d : self.d + 1] + np.uint64([s]) * _STEP + np.uint64([13, 14]))
         weight = np.cumsum(np.exp(score - score.max()))
-        edge = ways[min(len(ways) - 1, int(np.searchsorted(weight / weight[-1], u[0], side="right")))]
-        out.append(edge)
-        left = [e for e in ways if e != edge]
-        phi = float(self.before[i] + lattice.logp.all()[edge])
-        self.bounds[i] = _truncated(self.before[i] + np.logaddexp.reduce(lattice.logp.all()[left]), top, -np.log(u[1])) if left else -np.inf
-        self.seen = float(self.bounds.max())
-        return j, top, edge, phi
+        return j, ways[min(len(ways) - 1, int(np.searchsorted(weight, v * weight[-1], side="right")))]
 
-    def word_of(self, j: int, begin: np.ndarray, end: np.ndarray) -> int:
-        """Which word of the text decision j lies in: each word's last edge ends it."""
+    def _listed(self, s: int) -> tuple[int, int] | None:
         lattice = self.samples.lattice
-        edges = self.edges[:j]
-        if not len(edges):
-            return 0
-        # edges that begin a word: their node is the first of some word
-        done, at = 0, lattice.node.all()[edges] + lattice.size.all()[edges]
-        for stop in at.tolist():
-            done += stop == end[done]
-        return done
+        ways = [(j, e) for j in range(self.since, len(self.edges)) for e in lattice.ways(int(self.edges[j])) if e != self.edges[j] and (j, e) not in self.taken]
+        if not ways:
+            return None
+        score = self.prefix[[j for j, _ in ways]] + lattice.logp.all()[[e for _, e in ways]]
+        weight = np.cumsum(np.exp(score - score.max()))
+        return ways[min(len(ways) - 1, int(np.searchsorted(weight, self._uniform(s, 99) * weight[-1], side="right")))]
+
 
+def _log_less(a: float, b: float) -> float:
+    """log(exp(a) - exp(b)); nothing if they are equal but for rounding."""
+    return a + float(np.log(-np.expm1(b - a))) if b - a < -1e-12 else -np.inf
 
-def _truncated(phi, top, e):
-    """A Gumbel variable of location phi given that it is at most ``top``, from an exponential variable e."""
-    with np.errstate(invalid="ignore", over="ignore"):
-        return np.where(phi == -np.inf, -np.inf, -np.logaddexp(-top, np.log(e) - phi))
+
+def _truncated(phi: float, top: float, u: float) -> float:
+    """A Gumbel variable of location phi, given that it is at most ``top``, from a uniform one."""
+    return -float(np.logaddexp(-top, np.log(-np.log(u)) - phi)) if phi > -np.inf else -np.inf
 
 
 def shipped(spark: SparkSession, path: str) -> Broadcast:
@@ -422,26 +440,30 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
 
 
 def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha: float = 1.0, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k rows per text: ``keep``, ``sample`` (from 1), ``ids``, ``log_prob``, ``gumbel``, ``inclusion``.
+    """k rows per text: ``keep``, ``sample`` (from 1), ``ids``, ``log_prob``, ``gumbel``, ``inclusion``, ``round_trip``.
+
+    ``round_trip`` tells whether decoding the ids gives the text back (as the model normalises it).
 
     Whole texts; a null one counts as empty, and an empty one has one segmentation without ids.  Random numbers come from
     the seed and the row's key alone: the same row gives the same samples on any cluster, and rows that share key and text
     share them.  Texts with fewer than k segmentations give all of them.  Read in place, no shuffle.
     """
     keep = ["doc_id"] if keep is None else keep
-    keep = [c for c in keep if c.lower() not in {"sample", "ids", "log_prob", "gumbel", "inclusion"}]
+    keep = [c for c in keep if c.lower() not in {"sample", "ids", "log_prob", "gumbel", "inclusion", "round_trip"}]
     proto = shipped(docs.sparkSession, model_path)
     source = docs.select(*[F.col(quoted(c)) for c in keep], F.xxhash64(F.lit(seed), F.col(quoted(key_col))).alias("__key"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")])
+    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")] + [T.StructField("round_trip", T.BooleanType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(Pieces(proto.value, alpha))
-        normalized = lattice.pieces.normalized
+        decoder = Decoder(proto.value)
         for batch in batches:
-            for part, texts in chunks(batch, "__text"):
+            for part, texts in chunks(batch, "__text", 1 << 19):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
-                found = Samples([normalized(t.decode("utf-8", "replace")) for t in texts], keys, lattice, k)
+                normal = [lattice.pieces.normalized(t.decode("utf-8", "replace")) for t in texts]
+                found = Samples(normal, keys, lattice, k)
+                back = [decoder.marked(x) == t for t, mine in zip(normal, found.ids, strict=True) for x in mine]
                 counts = [len(x) for x in found.ids]
                 rows = pa.array(np.repeat(np.arange(len(texts)), counts))
                 ids = [x for mine in found.ids for x in mine]
@@ -449,7 +471,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
                 numbers = pa.array([i + 1 for n in counts for i in range(n)], pa.int32())
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in (found.log_prob, found.gumbel, found.inclusion)]
-                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, lists, *floats], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, lists, *floats, pa.array(back, pa.bool_())], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -487,8 +509,15 @@ class Decoder:
         self.flat = np.frombuffer(b"".join(spelt), np.uint8)
         self.dummy = sp.normalize("a").startswith(MARK)
 
+    def marked(self, ids: np.ndarray) -> str:
+        """The pieces' characters with their word marks: a normalised text."""
+        return self._joined(ids).replace(" ", MARK)
+
+    def _joined(self, ids: np.ndarray) -> str:
+        return self.flat[gathered(self.begin[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
+
     def text(self, ids: np.ndarray) -> str:
-        raw = self.flat[gathered(self.begin[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
+        raw = self._joined(ids)
         return raw[1:] if self.dummy and raw.startswith(" ") else raw
 
 
