@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.bpe import WordTable, gathered
-from inkwell.llm.text import chunks, map_texts, mixed, quoted, span_hashes
+from inkwell.llm.text import chunks, kept_columns, map_texts, mixed, quoted, span_hashes
 
 MARK = "▁"
 _STEP, _TOKEN = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
@@ -448,11 +448,11 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
     the seed and the row's key alone: the same row gives the same samples on any cluster, and rows that share key and text
     share them.  Texts with fewer than k segmentations give all of them.  Read in place, no shuffle.
     """
-    keep = ["doc_id"] if keep is None else keep
-    keep = [c for c in keep if c.lower() not in {"sample", "ids", "log_prob", "gumbel", "inclusion", "round_trip"}]
+    results = ["sample", "ids", "log_prob", "gumbel", "inclusion", "round_trip"]
+    keep, columns, own = kept_columns(docs, ["doc_id"] if keep is None else keep, set(results))
     proto = shipped(docs.sparkSession, model_path)
-    source = docs.select(*[F.col(quoted(c)) for c in keep], F.xxhash64(F.lit(seed), F.col(quoted(key_col))).alias("__key"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")] + [T.StructField("round_trip", T.BooleanType())])
+    source = docs.select(*columns, F.xxhash64(F.lit(seed), F.col(quoted(key_col))).alias("__key"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
+    schema = T.StructType(own + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")] + [T.StructField("round_trip", T.BooleanType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +473,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in (found.log_prob, found.gumbel, found.inclusion)]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, lists, *floats, pa.array(back, pa.bool_())], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *results)
 
 
 def encode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -524,9 +524,9 @@ class Decoder:
 def decode(encoded: DataFrame, model_path: str, *, keep: list[str], ids_col: str = "ids") -> DataFrame:
     """``keep`` columns plus ``decoded``; null ids decode to null, null entries are left out, ids out of range raise."""
     proto = shipped(encoded.sparkSession, model_path)
-    keep = [c for c in keep if c.lower() != "decoded"]
-    source = encoded.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(ids_col)).cast("array<int>").alias("__ids"))
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
+    keep, columns, own = kept_columns(encoded, keep, {"decoded"})
+    source = encoded.select(*columns, F.col(quoted(ids_col)).cast("array<int>").alias("__ids"))
+    schema = T.StructType(own + [T.StructField("decoded", T.StringType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +536,7 @@ def decode(encoded: DataFrame, model_path: str, *, keep: list[str], ids_col: str
             out = [None if x is None or not x.is_valid else decoder.text(np.asarray(x.values.drop_null(), np.int64)) for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(out, pa.string())], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, "decoded")
 
 
 def segmentations(text: str, pieces: Pieces) -> dict[tuple[int, ...], float]:

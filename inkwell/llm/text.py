@@ -39,6 +39,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def kept_columns(df: DataFrame, keep: list[str], own: set[str]) -> tuple[list[str], list[Column], list[T.StructField]]:
+    """The names of ``keep`` without those of results, and columns and fields for them under names that no function trips over."""
+    names = [c for c in keep if c.lower() not in own]
+    columns = [F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(names)]
+    fields = [T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(df.select(*columns).schema)] if names else []
+    return names, columns, fields
+
+
 def learned_fold(id_col: Column) -> Column:
     """True for rows a model may learn from; the others (crc32 of the id as text divisible by 5) are held out."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 0
@@ -98,22 +106,20 @@ def map_texts(
 
     The function returns one list or Arrow array per field.  Rows stay in place: no shuffle.
     """
-    new = {f.name.lower() for f in fields}
-    kept = [c for c in keep if c.lower() not in new]
-    source = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text_col)).cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + fields)
+    kept, columns, own = kept_columns(df, keep, {f.name.lower() for f in fields})
+    source = df.select(*columns, F.col(quoted(text_col)).cast("string").alias("__text"))
+    schema = T.StructType(own + fields)
     types = [_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
         work = make()
         for batch in batches:
             for part, texts in chunks(batch, "__text", most):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + made, names=names)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(own))] + made, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *[f.name for f in fields])
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

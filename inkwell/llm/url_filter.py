@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import hashed_share, quoted
+from inkwell.llm.text import hashed_share, kept_columns, quoted
 
 RULES = "host string, path string, verdict string"
 #: Keys that are sampled (about) to place the bounds of the ranges.
@@ -108,11 +108,11 @@ def url_filter(
     null verdict is ``block``.  Rules may be many: they are dealt out with the urls, never broadcast whole.
     """
     spark = pages.sparkSession
-    keep = ["page_id"] if keep is None else keep
-    keep = [c for c in keep if c.lower() not in {"host", "path", "rule", "verdict"}]
+    keep, columns, fields = kept_columns(pages, ["page_id"] if keep is None else keep, {"host", "path", "rule", "verdict"})
+    own = [f.name for f in fields]
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     url = F.col(quoted(url_col)).cast("string")
-    urls = pages.select(*[F.col(quoted(c)) for c in keep], url_host(url).alias("__host"), url_path(url).alias("__path"), F.xxhash64(url, *[F.col(quoted(c)).cast("string") for c in keep]).alias("__salt"))
+    urls = pages.select(*columns, url_host(url).alias("__host"), url_path(url).alias("__path"), F.xxhash64(url, *[F.col(quoted(c)).cast("string") for c in keep]).alias("__salt"))
     urls = urls.withColumn("__key", F.reverse(F.split("__host", r"\.", -1)))
 
     # bounds: quantiles of (key, salt) of a bounded hashed sample; a hot key takes several bounds that differ by salt
@@ -144,14 +144,14 @@ def url_filter(
     rule = rule.withColumn("__host", F.translate("__host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     rule = rule.distinct().withColumn("__key", F.reverse(F.split("__host", r"\.", -1)))
     rule = rule.select(
-        *[F.lit(None).cast(urls.schema[c].dataType).alias(c) for c in keep], "__host", "__path", "__key",
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "__host", "__path", "__key",
         F.explode(ranges_of("__key")).alias("__range"), F.lit(False).alias("__is_url"), "__verdict",
     )
     mine = urls.select(
-        *[F.col(quoted(c)) for c in keep], "__host", "__path", "__key", range_of("__key", "__salt").alias("__range"), F.lit(True).alias("__is_url"), F.lit("").alias("__verdict")
+        *own, "__host", "__path", "__key", range_of("__key", "__salt").alias("__range"), F.lit(True).alias("__is_url"), F.lit("").alias("__verdict")
     )
     dealt = mine.union(rule).repartitionById(n, F.col("__range")).sortWithinPartitions("__range", "__key", "__is_url", "__path")
-    schema = T.StructType([urls.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")])
+    schema = T.StructType(fields + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def url_filter(
             answers = [x for x in found if x is not None]
             found.clear()
             place = {f.name: i for i, f in enumerate(part.schema)}
-            cols = [part.column(place[c]) for c in (*keep, "__host", "__path")]
+            cols = [part.column(place[c]) for c in (*own, "__host", "__path")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([r for r, _ in answers], pa.string()), pa.array([v for _, v in answers], pa.string())], names=names)
 
         for answer in sweep(rows(), default):
@@ -183,7 +183,7 @@ def url_filter(
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).toDF(*keep, "host", "path", "rule", "verdict")
 
 
 def judged(url: str | None, rules: list[tuple[str, str, str]], default: str = "allow") -> tuple[str, str, str | None, str]:
