@@ -4,10 +4,11 @@
    load of a bucket gives a shingle's document frequency, and 1 + ln((N + 1) / (df + 1)) / ln(N + 1) its weight per use.
 2. Each text gets ICWS samples (Ioffe 2010).  Its shingles are dealt into bins by hash and each round draws one sample per
    bin, so a shingle costs a draw per round, not per sample; an empty bin borrows from the next that has shingles.
-3. Samples are banded; texts that share a band's key are candidates.  All pairs of a small bucket are compared; in a
-   larger one all members are compared with its least, and afterwards, wherever a large bucket still holds several
-   components, every member outside the most common one with all members of other components.  So every pair of different
-   texts that shares a bucket is either compared or already in one class, and no bucket's pairs are all emitted.
+3. Samples are banded; texts that share a band's key are candidates.  All pairs of a small bucket are compared.  In a
+   larger one all members are compared with its least; then, wherever it still holds several components, the members
+   outside the most common one with a few leaders of that one, as long as this joins many of them; and at last the members
+   still outside with all members of other components.  So every pair of different texts that shares a bucket is either
+   compared or already in one class.  That last comparison runs in blocks of members, and only verified links leave it.
 4. Pairs are verified on whole texts: weighted Jaccard similarity of at least 0.8.
 5. Classes are the connected components, found by minimum labels and pointer jumping over the verified pairs.
 
@@ -32,6 +33,10 @@ BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
 SKETCH_BITS, SLICES = 22, 64
 #: Buckets with up to as many members have all their pairs compared.
 SMALL = 16
+#: Leaders that a round compares the outsiders of a large bucket with; rounds go on while they leave at most so many of them.
+LEADERS, WORTHWHILE = 4, 0.5
+#: Outsiders and members of a block (about).
+BLOCK_OUTSIDE, BLOCK_MEMBERS = 32, 128
 #: Values of a node's hash that a broadcast filter may hold: at most so many rows, however many nodes there are.
 SLOTS = 1 << 18
 
@@ -151,7 +156,7 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> Weights:
         for batch in batches:
             for _, texts in chunks(batch, "text"):
                 _, gram, _ = shingles(texts)
-                counts += np.bincount(_bucket(gram), minlength=size).astype(np.int32)
+                np.add.at(counts, _bucket(gram), 1)
                 n += len(texts)
         if n:
             blobs = [pa.compress(counts[i * each : (i + 1) * each].tobytes(), codec="zstd", asbytes=True) for i in range(SLICES)]
@@ -216,6 +221,42 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """Links (a, b) between the members (key, node, label, most) of a key with a label other than ``most`` and all members
+    of other labels.  Blocks of members meet blocks of outsiders; a row is one pair of blocks."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("most")).cast("long")).alias("f"))
+    full = rows.join(sizes, "key").join(texts, "node").withColumn("h", F.xxhash64("node", F.lit("block")))
+    member = F.struct("node", "label", "text")
+    outside = full.where(F.col("label") != F.col("most")).groupBy("key", F.pmod("h", F.ceil(F.col("f") / BLOCK_OUTSIDE)).alias("i")).agg(F.collect_list(member).alias("xs"))
+    members = full.groupBy("key", F.pmod("h", F.ceil(F.col("m") / BLOCK_MEMBERS)).alias("j")).agg(F.collect_list(member).alias("ys"))
+    met = outside.join(members, "key").select("xs", "ys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: Weights = weights.value
+        for batch in batches:
+            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
+                xs, ys = xs.as_py(), ys.as_py()
+                doc, gram, uses = shingles([m["text"].encode() for m in (*xs, *ys)])
+                weight = uses * table.of(gram)
+                total = np.bincount(doc, weight, minlength=len(xs) + len(ys))
+                names, place = np.unique(gram, return_inverse=True)
+                split = int(np.searchsorted(doc, len(xs)))
+                doc_y, place_y, weight_y, total_y = doc[split:] - len(xs), place[split:], weight[split:], total[len(xs) :]
+                links: list[tuple[bytes, bytes]] = []
+                own = np.zeros(len(names))
+                for i, x in enumerate(xs):
+                    a, b = np.searchsorted(doc, (i, i + 1))
+                    own[place[a:b]] = weight[a:b]
+                    both = np.bincount(doc_y, np.minimum(weight_y, own[place_y]), minlength=len(ys))
+                    own[place[a:b]] = 0
+                    for j in np.flatnonzero(both >= (least - 1e-9) * (total[i] + total_y - both)).tolist():
+                        if ys[j]["label"] != x["label"] and both[j] > 0:
+                            links.append((min(x["node"], ys[j]["node"]), max(x["node"], ys[j]["node"])))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node of its component.
 
@@ -269,19 +310,34 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     edges = saved(verified(tested, texts, weights, least), "links")
     labels = components(edges)
 
-    large = members.where(F.col("n") > SMALL).select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    counts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed_keys = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m")).where("m > 1").select("key", "most")
-    open_ = saved(large.join(mixed_keys, "key"), "open")
-    if open_.limit(1).count():
-        rest = open_.where(F.col("label") != F.col("most")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        others = open_.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-        more = rest.join(others, "key").where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = saved(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = saved(verified(more, texts, weights, least), "links")
+    large = members.where(F.col("n") > SMALL).select("key", "node")
+    before = None
+    while True:
+        named = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+        several = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m")).where("m > 1").select("key", "most")
+        open_ = saved(named.join(several, "key"), "open")
+        outside = open_.where(F.col("label") != F.col("most")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+        left = outside.count()
+        if not left:
+            break
+        last = before is not None and left > WORTHWHILE * before
+        before = left
+        if last:
+            found = saved(_linked_in_blocks(open_, texts, weights, least), "links")
+        else:
+            inside = open_.where(F.col("label") == F.col("most")).groupBy("key")
+            leaders = inside.agg(*[F.min_by("node", F.xxhash64("node", F.lit(i), F.lit(left))).alias(f"l{i}") for i in range(LEADERS)])
+            leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("y"))
+            more = outside.join(leaders, "key").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            more = saved(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = saved(verified(more, texts, weights, least), "links")
+            tested = tested.union(more)
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
+        if last:
+            break
 
     degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
