@@ -37,10 +37,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Secrets are replaced by a mark; every document stays, and ``n_chars`` follows its text."""
     model = secret_scan.trained(secret_scan.labelled_samples(spark, docs))
     found = secret_scan.scan(docs, model, keep=docs.columns)
-    changed = F.size("spans") > 0
-    out = {"text": F.when(changed, secret_scan.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))}
+    # a generator of one row computes the new text once; as an expression used twice, Spark 4.1 counts its length wrong
+    found = found.select("*", F.explode(F.array(secret_scan.redacted(F.col("text"), F.col("spans")))).alias("__new"))
+    out = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length(out["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.length("__new").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars"))
     return found.select(*[out[c].alias(c) if c in out else F.col(quoted(c)) for c in docs.columns])
 
 
