@@ -60,3 +60,20 @@ def page_chunks(html: Column) -> Column:
 
 def file_format(kf8_offset: Column) -> Column:
     return F.when(kf8_offset > 0, "AZW3/KF8").otherwise("MOBI")
+
+
+def replacement_count(text: Column, chars: int = 10_000, most: int = 5) -> Column:
+    """Replacement characters among the first ``chars``; counting stops one beyond ``most``."""
+    head = F.substr(text, F.lit(1), F.lit(chars))
+    return F.least(F.lit(most + 1), F.length(head) - F.length(F.replace(head, F.lit("�"), F.lit(""))))
+
+
+def cjk_count(text: Column, chars: int = 200) -> Column:
+    return F.regexp_count(F.substr(text, F.lit(1), F.lit(chars)), F.lit("[一-鿿]"))
+
+
+def is_plausible(text: Column, chars: int = 200) -> Column:
+    """The start has two angle brackets or more, or is printable ASCII for more than three tenths; at least 20 bytes in all."""
+    head = F.substr(text, F.lit(1), F.lit(chars))
+    readable = F.regexp_count(head, F.lit("[ -~]")) > 0.3 * F.length(head)
+    return (F.octet_length(text) >= 20) & ((F.regexp_count(head, F.lit("[<>]")) >= 2) | readable)

@@ -79,12 +79,12 @@ def record_end_offsets(spark, sf_dir):
     return offs.select("doc_id", "off", F.coalesce(F.lead("off").over(w), F.col("total")).alias("end_off"))
 
 
-@query("""
+@query(r"""
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS idx, title FROM (
-  SELECT page_id, unnest(range(1, len(t) + 1)) AS pos, trim(unnest(t)) AS title
-  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3](?:\\s[^>]*)?>(.*?)</h[1-3]\\s*>', 1) AS t FROM pages)
+  SELECT page_id, unnest(range(1, len(t) + 1)) AS pos, replace(replace(replace(replace(trim(unnest(t)), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS title
+  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]\s*>', 1) AS t FROM pages)
 ) WHERE title <> '' AND length(title) <= 100
-""".replace("trim(unnest(t))", "replace(replace(replace(replace(trim(unnest(t)), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"))
+""")
 def headings(spark, sf_dir):
     """Chapters by headings of every page; entities are decoded."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html"))
@@ -372,3 +372,67 @@ def event_messages(spark, sf_dir):
     text = F.when(F.col("event_type") == "error", "{broken").otherwise(F.to_json(F.struct(kind.alias("type"), F.when(~moving, F.col("value")).alias("value"))))
     raw = table(spark, sf_dir, "events").select("event_id", text.alias("message"))
     return progress.messages(raw, "message")
+
+
+@query("""
+SELECT doc_id, CAST(least(6, len(t) - len(replace(t, '�', ''))) AS INTEGER) AS replacements, CAST(len(regexp_extract_all(t[1:200], '[一-鿿]')) AS INTEGER) AS cjk,
+       octet_length(encode(t)) >= 20 AND (len(regexp_extract_all(t[1:200], '[<>]')) >= 2 OR len(regexp_extract_all(t[1:200], '[ -~]')) > 0.3 * len(t[1:200])) AS plausible
+FROM (SELECT doc_id, repeat('�', CAST(doc_id % 9 AS INTEGER)) || repeat('中', CAST(doc_id % 4 AS INTEGER)) || text AS t FROM documents)
+""")
+def text_probes(spark, sf_dir):
+    """The counts that decide on a repair of the character set and on plausibility, over whole columns."""
+    marks = F.concat(F.repeat(F.lit("�"), (F.col("doc_id") % 9).cast("int")), F.repeat(F.lit("中"), (F.col("doc_id") % 4).cast("int")))
+    rows = books.held(table(spark, sf_dir, "documents").select("doc_id", F.concat(marks, F.col("text")).alias("t")), "t", F.col("t"))
+    return rows.select("doc_id", S.replacement_count(F.col("t")).alias("replacements"), S.cjk_count(F.col("t")).alias("cjk"), S.is_plausible(F.col("t")).alias("plausible"))
+
+
+@query("""
+SELECT doc_id, CAST(doc_id % 60000 AS INTEGER) AS text_records, n_chars AS text_length, CAST(2 AS INTEGER) AS compression, CASE doc_id % 2 WHEN 0 THEN 1252 ELSE 65001 END AS text_encoding,
+       doc_id % 5 AS kf8_offset, CASE WHEN doc_id % 5 > 0 THEN 'AZW3/KF8' ELSE 'MOBI' END AS file_format,
+       CAST(CASE WHEN doc_id % 7 BETWEEN 1 AND 2 THEN doc_id % 7 ELSE 2 END AS INTEGER) AS image_start FROM documents
+""")
+def mobi_header(spark, sf_dir):
+    """Fields of record 0 written from columns and read back; image starts out of range fall back on the record count."""
+    docs = table(spark, sf_dir, "documents")
+    head = source.record0(
+        compression=2, text_length=F.col("n_chars"), records=F.col("doc_id") % 60000, encoding=F.when(F.col("doc_id") % 2 == 0, 1252).otherwise(65001), first_image=F.col("doc_id") % 7, kf8=F.col("doc_id") % 5,
+        exth=source.exth_block([]),  # the last field is read only if something follows it
+    )
+    found = books.parsed(docs.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(head, F.lit(b"one"))).alias("content")))
+    return found.select(
+        book_id(F.col("path")).alias("doc_id"), "header.text_records", "header.text_length", "header.compression", F.col("header")["text_encoding"].cast("int").alias("text_encoding"),
+        F.col("header")["kf8_offset"].alias("kf8_offset"), S.file_format(F.col("header")["kf8_offset"]).alias("file_format"), "image_start",
+    )
+
+
+@query("SELECT doc_id, unnest([2, 3]) AS record_idx, unnest(['image/png', 'image/jpeg']) AS mime, unnest([7, 5 + length(CAST(doc_id AS VARCHAR))]) AS n_bytes FROM documents")
+def image_table(spark, sf_dir):
+    """The images of books, by record number."""
+    found = books.images(books.parsed(illustrated(table(spark, sf_dir, "documents"))))
+    return found.select(book_id(F.col("path")).alias("doc_id"), "record_idx", "mime", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@query(r"""
+WITH c AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS idx, CAST(count(*) OVER (PARTITION BY page_id) AS INTEGER) AS n FROM (
+  SELECT page_id, unnest(range(1, len(p) + 1)) AS pos, regexp_replace(unnest(p), '^\s+|\s+$', '', 'g') AS piece
+  FROM (SELECT page_id, string_split(replace(html, '<p>', '<mbp:pagebreak/><p>'), '<mbp:pagebreak/>') AS p FROM pages)) WHERE piece <> '')
+SELECT page_id, idx, (idx + 1) || ' / ' || n AS label, greatest(idx - 1, 0) AS prev_idx, least(idx + 1, n - 1) AS next_idx FROM c
+""")
+def chapter_navigation(spark, sf_dir):
+    """Label, previous and next chapter of every chapter, staying within the book."""
+    html = F.replace("html", F.lit("<p>"), F.lit("<mbp:pagebreak/><p>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", S.page_chunks(html).alias("chunks"))
+    rows = pages.select("page_id", F.size("chunks").alias("n"), F.explode(F.sequence(F.lit(0), F.size("chunks") - 1)).alias("idx"))
+    return rows.select("page_id", "idx", S.progress_label(F.col("idx"), F.col("n")).alias("label"), S.clamped(F.col("idx") - 1, F.col("n")).alias("prev_idx"), S.clamped(F.col("idx") + 1, F.col("n")).alias("next_idx"))
+
+
+@query("""
+SELECT doc_id, '全文' AS title, 'whole' AS strategy, md5('<p>' || text || '</p>') AS content_md5, 'raw' AS decoder FROM documents WHERE length(text) = octet_length(encode(text))
+""")
+def open_book(spark, sf_dir):
+    """From container to chapters: scan, header, text, character set, chapters."""
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    content = packed_texts(docs, data=F.concat(F.lit(b"<p>"), text_bytes("text"), F.lit(b"</p>")))
+    texts = books.texts(books.parsed(content))
+    chapters = books.chapter_table(books.chaptered(texts)).join(texts.select("path", "decoder"), "path")
+    return chapters.select(book_id(F.col("path")).alias("doc_id"), "title", "strategy", F.md5(F.col("html_content").cast("binary")).alias("content_md5"), "decoder")
