@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from inkwell.llm.text import quoted, saved
 
-#: Rows of an index block, and queries of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 64
+#: Rows of an index block, and queries of a query block at most and, if there are so many, at least.
+BLOCK_ROWS, BLOCK_QUERIES, LEAST_QUERIES = 1 << 16, 512, 32
 #: Quantised components must lie within this bound, so that no score overflows 64 bits.
 MOST = 1 << 26
 
@@ -64,16 +64,18 @@ class Index:
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least first, of a sum that orders the rows as their inner products with the query do.
 
-        A negative component takes the complements of its attribute's slices, which only shifts all sums alike.
+        Query values are taken in non-adjacent form, digits -1, 0 and 1 of few non-zero ones; a digit -1 takes the
+        complements of its attribute's slices, which only shifts all sums alike.
         """
         piles: dict[int, list[np.ndarray]] = {}
         for d, q in enumerate(query.tolist()):
-            own = self.slices[d] if q >= 0 else self.flipped[d]
-            q, shift = abs(q), 0
+            shift = 0
             while q:
                 if q & 1:
-                    for j in range(len(own)):
-                        piles.setdefault(j + shift, []).append(own[j])
+                    digit = 2 - (q & 3)
+                    q -= digit
+                    for j, s in enumerate(self.slices[d] if digit > 0 else self.flipped[d]):
+                        piles.setdefault(j + shift, []).append(s)
                 q >>= 1
                 shift += 1
         out, weight = [], 0
@@ -185,21 +187,28 @@ def top_k(
     but those with the query's id; ties go to the smaller id.  Rows with a null id or vector, or a null or non-finite
     component, take no part; an empty vector takes part with score 0; vectors of different lengths never meet.  Repeated
     rows are candidates of their own; repeated queries give repeated answers only once.  Every block of rows meets every
-    block of queries, each pair in a task of its own group; a task holds one index block and one query block at a time.
+    block of queries once; a task holds one index block and one query block at a time.
     """
     spark = vectors.sparkSession
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("i"), F.col(quoted(vector_col)).cast("array<double>").alias("v"))
     rows = rows.where(F.col("i").isNotNull() & F.col("v").isNotNull()).where(finite)
-    index = saved(_blocks(rows, block_rows, scale), "index")
+    # as few partitions as fill their blocks: a block's bitmaps are added at a cost per slice, however short
+    index = saved(_blocks(rows.coalesce(max(1, vectors.count() // block_rows)), block_rows, scale), "index")
     asked = rows.where(query_filter(F.col("i"))) if query_filter else rows
-    asked = saved(_blocks(asked.distinct(), block_queries, scale), "queries")
-    # each index block goes to one group of tasks, each query block to all groups that hold index blocks
+    asked = saved(asked.distinct(), "queries")
+    n_asked = asked.count()
+    each = min(block_queries, max(LEAST_QUERIES, -(-n_asked // groups)))
+    asked = _blocks(asked.coalesce(max(1, n_asked // each)), each, scale)
+    # index blocks are dealt to groups of tasks; if there are few, each goes to several tasks, which share the queries
     index = index.select(F.pmod(F.hash("name"), F.lit(groups)).alias("g"), F.col("name").alias("index_name"), "dims", F.col("payload").alias("index_payload"))
     holding = [r[0] for r in index.select("g").distinct().collect()]  # as many as groups at most
-    asked = asked.select(F.explode(F.lit(holding or [0]).cast("array<int>")).alias("g"), "dims", F.col("payload").alias("query_payload"))
-    pairs = asked.join(index.hint("shuffle_hash"), ["g", "dims"])
+    shares = max(1, min(groups // max(1, len(holding)), -(-n_asked // each)))
+    index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = asked.select(F.explode(F.lit(holding or [0]).cast("array<int>")).alias("g"), "dims", F.pmod(F.hash("name"), F.lit(shares)).alias("q"), F.col("payload").alias("query_payload"))
+    # a merge join gives all query blocks of an index block in a row, and spills if they are many
+    pairs = index.join(asked.hint("merge"), ["g", "q", "dims"])
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
