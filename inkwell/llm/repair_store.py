@@ -13,13 +13,14 @@ own writer (one binary column of a Parquet folder), so the files may lie in any
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,8 +196,7 @@ def write(
     bounds = sorted(set(bounds))
     config = shipped(spark, tokenizer_path)
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("i"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("t"))
-    shard = F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("i"))), F.lit(0)) if bounds else F.lit(0)
-    shard = F.when(F.col("i").isNull(), 0).otherwise(shard)
+    shard = F.when(F.col("i").isNull(), 0).otherwise(_number_below(F.col("i"), bounds))
     dealt = rows.withColumn("s", shard.cast("int")).repartitionById(n, F.col("s")).sortWithinPartitions("s", F.col("i").asc_nulls_first(), F.xxhash64("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +238,16 @@ def write(
     dealt.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
 
+def _number_below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below the value: first among every k-th, then within one run of k."""
+    if not bounds:
+        return F.lit(0)
+    k = math.isqrt(len(bounds)) + 1
+    below = lambda array: F.size(F.filter(array, lambda b: b < value))
+    runs = below(F.lit(bounds[k - 1 :: k]).cast("array<bigint>"))
+    return runs * k + below(F.slice(F.lit(bounds).cast("array<bigint>"), runs * k + 1, F.lit(k)))
+
+
 def read(spark: SparkSession, path: str, end_id: int | None = 0) -> DataFrame:
     """Per document, decoded from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 

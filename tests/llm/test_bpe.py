@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkwell.llm import repair_store, token_counts
 from inkwell.llm.bpe import ByteBpe
@@ -76,6 +77,13 @@ def test_store(spark, bpe):
     assert repair_store.read(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 30])
+def test_shard_numbers(spark, n):
+    bounds = [3 * i for i in range(n)]
+    rows = spark.range(-1, 95).select("id", repair_store._number_below(F.col("id"), bounds).alias("s")).collect()
+    assert [r.s for r in rows] == [sum(b < r.id for b in bounds) for r in rows]
+
+
 def test_op8_on_whole_table(spark, bpe):
     docs = table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").collect()
     found = {r.doc_id: r for r in op8_token_ids(spark, "/root/testdata/sf0.001").collect()}
