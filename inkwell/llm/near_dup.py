@@ -5,10 +5,11 @@
 2. Each text gets ICWS samples (Ioffe 2010).  Its shingles are dealt into bins by hash and each round draws one sample per
    bin, so a shingle costs a draw per round, not per sample; an empty bin borrows from the next that has shingles.
 3. Samples are banded; texts that share a band's key are candidates.  All pairs of a small bucket are compared.  In a
-   larger one all members are compared with its least; then, wherever it still holds several components, the members
-   outside the most common one with a few leaders of that one, as long as this joins many of them; and at last the members
-   still outside with all members of other components.  So every pair of different texts that shares a bucket is either
-   compared or already in one class.  That last comparison runs in blocks of members, and only verified links leave it.
+   larger one all members are compared with a few leaders; then, wherever it still holds several components, the members
+   outside the most common one with a few leaders of that one, as long as there are many and this joins many of them; and
+   at last the members still outside with all members of other components.  So every pair of different texts that shares a
+   bucket is either compared or already in one class.  That last comparison runs in blocks of members, and only links that
+   join components leave it.
 4. Pairs are verified on whole texts: weighted Jaccard similarity of at least 0.8.
 5. Classes are the connected components, found by minimum labels and pointer jumping over the verified pairs.
 
@@ -17,7 +18,7 @@ Exact copies are one node from the start (128-bit hash of the text), so groups o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Words, chunks, mixed, quoted, saved
+from inkwell.llm.text import Scratch, Words, chunks, mixed, quoted, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
@@ -33,8 +34,10 @@ BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
 SKETCH_BITS, SLICES = 22, 64
 #: Buckets with up to as many members have all their pairs compared.
 SMALL = 16
-#: Leaders that a round compares the outsiders of a large bucket with; rounds go on while they leave at most so many of them.
+#: Leaders of a large bucket; rounds go on while they leave at most this share of the outsiders.
 LEADERS, WORTHWHILE = 4, 0.5
+#: So few comparisons of outsiders with members are done in blocks at once, without rounds of leaders before.
+FEW_COMPARISONS = 50_000_000
 #: Outsiders and members of a block (about).
 BLOCK_OUTSIDE, BLOCK_MEMBERS = 32, 128
 #: Values of a node's hash that a broadcast filter may hold: at most so many rows, however many nodes there are.
@@ -133,8 +136,11 @@ class Weights:
     """Shingle weights per use, in steps of 1/255 between 1 and 2, by sketch bucket."""
 
     def __init__(self, counts: np.ndarray, n: int) -> None:
-        df = np.maximum(1.0, counts - counts.sum() / len(counts))
-        self.step = np.round(255 * np.clip(np.log((n + 1) / (df + 1)) / np.log(max(n, 2) + 1), 0, 1)).astype(np.uint8)
+        self.step = np.empty(len(counts), np.uint8)
+        load, size = counts.sum() / len(counts), 1 << 16
+        for at in range(0, len(counts), size):
+            df = np.maximum(1.0, counts[at : at + size] - load)
+            self.step[at : at + size] = np.round(255 * np.clip(np.log((n + 1) / (df + 1)) / np.log(max(n, 2) + 1), 0, 1))
 
     def of(self, gram: np.ndarray) -> np.ndarray:
         return 1 + self.step[_bucket(gram)] / np.float32(255)
@@ -146,7 +152,7 @@ def _nodes_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_weights(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Count document frequencies over all documents.  Slices of the sketch are summed apart; 16 MB come to the driver."""
+    """Count document frequencies over all documents.  Slices of the sketch are summed apart; A few MB come to the driver."""
     source = docs.select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     size = 1 << SKETCH_BITS
     each = size // SLICES
@@ -171,13 +177,14 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> Weights:
                 total[i] = total[i] + part if i in total else part.astype(np.int64)
                 n[i] = n.get(i, 0) + m
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array([n[i] for i in total], pa.int64())], names=["slice", "counts", "n"])
+            blobs = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n[i] for i in total], pa.int64())], names=["slice", "counts", "n"])
 
     schema = "slice int, counts binary, n bigint"
     rows = source.mapInArrow(count, schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
     counts = np.zeros(size, np.int64)
     for r in rows:
-        counts[r[0] * each : (r[0] + 1) * each] = np.frombuffer(r[1], np.int64)
+        counts[r[0] * each : (r[0] + 1) * each] = np.frombuffer(pa.decompress(r[1], decompressed_size=8 * each, codec="zstd", asbytes=True), np.int64)
     return Weights(counts, sum(r[2] for r in rows))
 
 
@@ -189,7 +196,7 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = weights.value
         for batch in batches:
-            for part, texts in chunks(batch, "text", 1 << 19):
+            for part, texts in chunks(batch, "text"):
                 doc, gram, uses = shingles(texts)
                 samples, any_word = icws(doc, gram, uses * table.of(gram), len(texts))
                 keys = band_keys(samples)[any_word].view(np.int64)
@@ -208,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = weights.value
         for batch in batches:
-            for part, _ in chunks(batch, "text_b", 1 << 19):
+            for part, _ in chunks(batch, "text_b"):
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 known = dict(zip(a, part.column(2).cast(pa.binary()).to_pylist(), strict=True)) | dict(zip(b, part.column(3).cast(pa.binary()).to_pylist(), strict=True))
                 doc, gram, uses = shingles(list(known.values()))
@@ -223,7 +230,8 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
 
 def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
     """Links (a, b) between the members (key, node, label, most) of a key with a label other than ``most`` and all members
-    of other labels.  Blocks of members meet blocks of outsiders; a row is one pair of blocks."""
+    of other labels.  Blocks of members meet blocks of outsiders; a row is one pair of blocks, and of the links in it those
+    are given that join labels which no link before them has joined."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("most")).cast("long")).alias("f"))
     full = rows.join(sizes, "key").join(texts, "node").withColumn("h", F.xxhash64("node", F.lit("block")))
     member = F.struct("node", "label", "text")
@@ -243,6 +251,13 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float)
                 split = int(np.searchsorted(doc, len(xs)))
                 doc_y, place_y, weight_y, total_y = doc[split:] - len(xs), place[split:], weight[split:], total[len(xs) :]
                 links: list[tuple[bytes, bytes]] = []
+                joined: dict[bytes, bytes] = {}
+
+                def root(label: bytes, joined=joined) -> bytes:
+                    while (up := joined.get(label, label)) != label:
+                        label = up
+                    return label
+
                 own = np.zeros(len(names))
                 for i, x in enumerate(xs):
                     a, b = np.searchsorted(doc, (i, i + 1))
@@ -250,14 +265,16 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float)
                     both = np.bincount(doc_y, np.minimum(weight_y, own[place_y]), minlength=len(ys))
                     own[place[a:b]] = 0
                     for j in np.flatnonzero(both >= (least - 1e-9) * (total[i] + total_y - both)).tolist():
-                        if ys[j]["label"] != x["label"] and both[j] > 0:
+                        mine, theirs = root(x["label"]), root(ys[j]["label"])
+                        if mine != theirs and both[j] > 0:
+                            joined[mine] = theirs
                             links.append((min(x["node"], ys[j]["node"]), max(x["node"], ys[j]["node"])))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return met.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node of its component.
 
     Each round takes the least label among a node's neighbours and then its label's label; rounds are written to the shared
@@ -276,6 +293,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _leaders(seed: int = 0) -> Column:
+    """A few members of each group, picked by hash."""
+    return F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i), F.lit(seed))) for i in range(LEADERS)])).alias("leaders")
+
+
 def _slot(node: Column) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(SLOTS))
 
@@ -287,68 +309,65 @@ def _among(rows: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFra
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every document, and (node, label, class_id, class_size, n_links) of every different text.
+    """(id, node) of every document, and (node, label, class_id, class_size) of every different text.
 
-    ``label`` names the class; ``class_id`` is its least id (null if all are), ``class_size`` its number of documents,
-    ``n_links`` the number of other texts that this text was found similar to.
+    ``label`` names the class; ``class_id`` is its least id (null if all are), ``class_size`` its number of documents.
     """
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(shingle_weights(docs, text_col))  # 4 MB whatever the data
+    weights = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, text_col))  # 4 MB whatever the data
     signed = saved(signatures(docs, weights, id_col, text_col), "signatures")
-    nodes = saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
-    members = saved(keyed.join(shared, "key"), "members")
-
-    small = members.where(F.col("n") <= SMALL).select("key", "node")
-    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    tested = saved(pairs.union(stars).distinct(), "pairs")
-    taking_part = members.select("node").distinct()
-    texts = _among(_nodes_and_texts(docs, id_col, text_col), taking_part).groupBy("node").agg(F.min("text").alias("text"))
-    texts = saved(texts, "texts")
-    edges = saved(verified(tested, texts, weights, least), "links")
-    labels = components(edges)
-
-    large = members.where(F.col("n") > SMALL).select("key", "node")
-    before = None
-    while True:
-        named = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        several = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m")).where("m > 1").select("key", "most")
-        open_ = saved(named.join(several, "key"), "open")
-        outside = open_.where(F.col("label") != F.col("most")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        left = outside.count()
-        if not left:
-            break
-        last = before is not None and left > WORTHWHILE * before
-        before = left
-        if last:
-            found = saved(_linked_in_blocks(open_, texts, weights, least), "links")
-        else:
-            inside = open_.where(F.col("label") == F.col("most")).groupBy("key")
-            leaders = inside.agg(*[F.min_by("node", F.xxhash64("node", F.lit(i), F.lit(left))).alias(f"l{i}") for i in range(LEADERS)])
-            leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("y"))
-            more = outside.join(leaders, "key").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            more = saved(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = saved(verified(more, texts, weights, least), "links")
-            tested = tested.union(more)
-        if found.limit(1).count():
-            edges = edges.union(found)
-            labels = components(edges)
-        if last:
-            break
-
-    degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    labelled = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    result = labelled.select("node", "label").join(degree, "node", "left").join(groups, "label")
-    result = saved(result.select("node", "label", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = scratch.saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+        keyed = nodes.select("node", F.explode("bands").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n"), _leaders()).where("n > 1")
+        members = scratch.saved(keyed.join(shared, "key"), "members")
+
+        small = members.where(F.col("n") <= SMALL).select("key", "node")
+        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+        stars = members.where(F.col("n") > SMALL).select("node", F.explode("leaders").alias("lead")).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        tested = scratch.saved(pairs.union(stars).distinct(), "pairs")
+        taking_part = members.select("node").distinct()
+        texts = _among(_nodes_and_texts(docs, id_col, text_col), taking_part).groupBy("node").agg(F.min("text").alias("text"))
+        texts = scratch.saved(texts, "texts")
+        edges = scratch.saved(verified(tested, texts, weights, least), "links")
+        labels = components(edges, scratch.saved)
+
+        large = members.where(F.col("n") > SMALL).select("key", "node")
+        before = None
+        while True:
+            named = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+            several = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m")).where("m > 1").select("key", "most")
+            open_ = scratch.saved(named.join(several, "key"), "open")
+            outside = open_.where(F.col("label") != F.col("most")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+            sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("most")).cast("long")).alias("f"))
+            left, work = sizes.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum(F.col("f") * F.col("m")), F.lit(0))).first()
+            if not left:
+                break
+            last = work <= FEW_COMPARISONS or before is not None and left > WORTHWHILE * before
+            before = left
+            if last:
+                found = scratch.saved(_linked_in_blocks(open_, texts, weights, least), "links")
+            else:
+                inside = open_.where(F.col("label") == F.col("most")).groupBy("key").agg(_leaders(left))
+                leaders = inside.select("key", F.explode("leaders").alias("y"))
+                more = outside.join(leaders, "key").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                more = scratch.saved(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+                found = scratch.saved(verified(more, texts, weights, least), "links")
+                tested = tested.union(more)
+            if found.limit(1).count():
+                edges = edges.union(found)
+                labels = components(edges, scratch.saved)
+            if last:
+                break
+
+        labelled = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+        result = saved(labelled.select("node", "label").join(groups, "label").select("node", "label", "class_id", "class_size"), "classes")
     return signed.select("id", "node"), result
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``id_col``, ``class_id``, ``class_size``, ``n_links``.
+    """One row per document: ``id_col``, ``class_id``, ``class_size``.
 
     Documents are similar if the weighted Jaccard similarity of their shingles of five words (A-Z lower-cased; a text of
     one to four words is one shingle) is at least ``least``; classes are the connected components, exact copies included.
@@ -356,7 +375,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies.  Every document of a class has the same ``class_id``, its least id.
     """
     rows, found = classes(docs, id_col=id_col, text_col=text_col, least=least)
-    return rows.join(found, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links")
+    return rows.join(found, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
