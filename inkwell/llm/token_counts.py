@@ -113,7 +113,7 @@ def token_counts(
 
         return work
 
-    counted = map_texts(source, "__joined", keep, [T.StructField("__rows", T.ArrayType(row))], make, most=1 << 19)
+    counted = map_texts(source, "__joined", keep, [T.StructField("__rows", T.ArrayType(row))], make)
     counted = counted.select(*[F.col(quoted(c)) for c in keep], F.explode("__rows").alias("__row"))
     tokens = F.col("__row.n_tokens") if rule == "split" else F.col("__row.n_tokens").cast("long").alias("n_tokens")
     return counted.select(*[F.col(quoted(c)) for c in keep], "__row.field", "__row.section", "__row.char_start", "__row.char_end", tokens, "__row.n_crossing")
