@@ -36,6 +36,14 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((mixed(bits) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def _uniform_of(bits: int) -> float:
+    """The same for one number."""
+    x = bits & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ x >> 31) >> 12) * 2.0**-52 + 2.0**-53
+
+
 class Pieces:
     """A SentencePiece model's pieces as a lattice vocabulary.
 
@@ -108,7 +116,9 @@ class Lattice:
     """
 
     #: Nodes kept; beyond that, the next chunk starts with no words.
-    MOST_NODES = 1_200_000
+    MOST_NODES = 1_000_000
+    #: So few words left are handled one by one instead of together.
+    FEW = 2
     #: Characters of new words whose lattices are built at once.
     BUILT_CHARS = 1 << 16
 
@@ -124,13 +134,10 @@ class Lattice:
         self.first, self.choices = _Grown(np.int32), _Grown(np.int16)
         self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int16), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
 
-    def add(self, words: list[str]) -> None:
-        """Words that are not there yet, numbered from ``len(self.begin)`` on."""
-        if not words:
-            return
+    def add(self, code: np.ndarray, length: np.ndarray) -> None:
+        """Words that are not there yet, by their characters in a row, numbered from ``len(self.begin)`` on."""
         pieces = self.pieces
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        code = code.astype(np.uint64)
         end = np.cumsum(length)
         n = len(code)
         left = np.repeat(end, length) - np.arange(n)  # characters to the word's end
@@ -173,15 +180,18 @@ class Lattice:
         cuts = np.concatenate([[0], np.cumsum(np.bincount(left))])
         for distance in range(1, len(cuts) - 1):
             nodes = order[cuts[distance] : cuts[distance + 1]]
-            if not len(nodes):
-                continue
+            if len(nodes) <= self.FEW:  # the far ends of very long words
+                self._sum_back(order[cuts[distance] :].tolist(), first, choices, ahead, logp, beta)
+                break
             own = gathered(first[nodes], choices[nodes])
             starts = np.cumsum(choices[nodes]) - choices[nodes]
             beta[nodes] = np.logaddexp.reduceat(logp[own] + beta[ahead[own]], starts)
         logp = logp + beta[ahead] - beta[node]
         logp[choices[node] == 1] = 0.0
-        cum = np.cumsum(np.exp(logp))
-        cum -= np.concatenate([[0.0], cum])[first[node]]
+        cum = np.exp(logp)
+        for rank in range(1, int(choices.max())):  # each node by itself, so that no word's sums depend on other words
+            at = first[choices > rank] + rank
+            cum[at] += cum[at - 1]
         cum[first + choices - 1] = 2.0
         nodes, edges = len(self.first), len(self.node)
         for mine, new in (
@@ -190,6 +200,17 @@ class Lattice:
         ):
             mine.extend(new)
 
+    @staticmethod
+    def _sum_back(nodes: list[int], first: np.ndarray, choices: np.ndarray, ahead: np.ndarray, logp: np.ndarray, beta: np.ndarray) -> None:
+        """The same log-sums node by node, the operations in the same order."""
+        score, ahead = logp.tolist(), ahead.tolist()
+        for node in nodes:
+            begin = int(first[node])
+            total = score[begin] + beta[ahead[begin]]
+            for e in range(begin + 1, begin + int(choices[node])):
+                total = np.logaddexp(total, score[e] + beta[ahead[e]])
+            beta[node] = total
+
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every word of every normalised text in turn, and the words before each text (with the total).
 
@@ -202,9 +223,10 @@ class Lattice:
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         begin = np.concatenate([[0], np.cumsum(size + 1)])
         raw = np.frombuffer(joined, np.uint8)
-        mark = np.zeros(len(raw) + 3, bool)
-        mark[3:] = (raw == 0xE2) & (np.append(raw[1:], 0) == 0x96) & (np.append(raw[2:], [0, 0])[: len(raw)] == 0x81)
-        start = mark[3:] & ~mark[:-3]
+        lead = np.flatnonzero(raw[:-2] == 0xE2) if len(raw) > 2 else np.empty(0, np.int64)
+        lead = lead[(raw[lead + 1] == 0x96) & (raw[lead + 2] == 0x81)]
+        start = np.zeros(len(raw), bool)
+        start[lead[np.diff(lead, prepend=-9) != 3]] = True  # a mark right after another one begins no word
         full = size > 0
         start[begin[:-1][full]] = True
         edge = start.copy()
@@ -218,16 +240,21 @@ class Lattice:
         if len(missing):
             new, where = np.unique(hashes[missing], return_index=True)
             where = missing[where]
-            self._learn([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            self._learn(raw, start[where], end[where])
             self.table.add(new)
             number[missing] = self.table.find(hashes[missing])
         return number, np.searchsorted(start, begin)
 
-    def _learn(self, new: list[str]) -> None:
-        ends, at = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))), 0
-        while at < len(new):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.BUILT_CHARS, side="right")))
-            self.add(new[at:upto])
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Build the lattices of the words at these byte places, a bounded number of characters at once."""
+        size = end - start
+        own = raw[gathered(start, size)]
+        code = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])[np.concatenate([[0], np.cumsum(size)])]
+        at = 0
+        while at < len(size):
+            upto = max(at + 1, int(np.searchsorted(chars, chars[at] + self.BUILT_CHARS, side="right")) - 1)
+            self.add(code[chars[at] : chars[upto]], np.diff(chars[at : upto + 1]))
             at = upto
 
     def ways(self, edge: int) -> range:
@@ -242,7 +269,11 @@ class Lattice:
         active, steps = np.flatnonzero(node < end), []
         at, stop, key = node[active], end[active], key[active]
         counts, t = np.zeros(len(node), np.int64), 0
+        alone: list[tuple[int, list[int]]] = []
         while len(active):
+            if len(active) <= self.FEW:
+                alone = [(int(w), self._walk_on(int(a), int(b), int(k), t)) for w, a, b, k in zip(active, at, stop, key, strict=True)]
+                break
             u = _uniform(key + _STEP * np.uint64([t]))
             edge = first[at]
             wait = np.flatnonzero(cum[edge] <= u)
@@ -255,12 +286,31 @@ class Lattice:
             go = np.flatnonzero(at < stop)
             active, at, stop, key = active[go], at[go], stop[go], key[go]
             t += 1
+        taken = counts.copy()
+        for w, edges in alone:
+            counts[w] += len(edges)
         offset = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int64)
         for t, (who, edge) in enumerate(steps):
             out[offset[who] + t] = edge
+        for w, edges in alone:
+            at = int(offset[w] + taken[w])
+            out[at : at + len(edges)] = edges
         return out, counts
 
+    def _walk_on(self, node: int, stop: int, key: int, t: int) -> list[int]:
+        """The rest of one path, with the same random numbers."""
+        first, cum, size, out = self.first.all(), self.cum.all(), self.size.all(), []
+        while node < stop:
+            u = _uniform_of(key + int(_STEP) * t)
+            edge = int(first[node])
+            while cum[edge] <= u:
+                edge += 1
+            out.append(edge)
+            node += int(size[edge])
+            t += 1
+        return out
+
 
 class _Grown:
     """An array that grows at its end."""
@@ -315,12 +365,13 @@ class Samples:
         word_cut = np.concatenate([[0], np.cumsum(counts)])
         cut = word_cut[first_word]
         ids, id_cut = spelled(edges, cut)
-        sums = np.concatenate([[0.0], np.cumsum(lattice.logp.all()[edges])])
+        logp = lattice.logp.all()[edges]
         paths: list[list[_Path]] = []
         for d, (a, b, low, high) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), id_cut[:-1].tolist(), id_cut[1:].tolist(), strict=True)):
-            self._emit(d, ids[low:high], float(sums[b] - sums[a]), float(best[d]))
+            prefix = _sums(0.0, logp[a:b])
+            self._emit(d, ids[low:high], float(prefix[-1]), float(best[d]))
             w, x = int(first_word[d]), int(first_word[d + 1])
-            paths.append([_Path(self, d, 1, edges[a:b], sums[a : b + 1] - sums[a], word_cut[w : x + 1] - a, 0, 0.0, float(best[d]))] if b > a else [])
+            paths.append([_Path(self, d, 1, edges[a:b], prefix, word_cut[w : x + 1] - a, 0, 0.0, float(best[d]))] if b > a else [])
         for s in range(2, k + 1):
             begun, start, stop, start_key, owner = [], [], [], [], []
             for d, mine in enumerate(paths):
@@ -349,11 +400,11 @@ class Samples:
             cut = walked[of]
             whole = [np.concatenate([p.edges[:j], [edge], more[a:b]]) for (_, p, j, _, edge, _, _), a, b in zip(begun, cut[:-1], cut[1:], strict=True)]
             ids, id_cut = spelled(np.concatenate(whole), np.concatenate([[0], np.cumsum([len(x) for x in whole])]))
-            sums = np.concatenate([[0.0], np.cumsum(lattice.logp.all()[more])])
+            logp = lattice.logp.all()[more]
             for n, (d, p, j, top, _, phi, w) in enumerate(begun):
                 a, b = int(cut[n]), int(cut[n + 1])
-                self._emit(d, ids[id_cut[n] : id_cut[n + 1]], phi + float(sums[b] - sums[a]), top)
-                prefix = np.concatenate([p.prefix[: j + 1], phi + sums[a : b + 1] - sums[a]])
+                prefix = np.concatenate([p.prefix[: j + 1], _sums(phi, logp[a:b])])
+                self._emit(d, ids[id_cut[n] : id_cut[n + 1]], float(prefix[-1]), top)
                 ends = walked[of[n] + 1 : of[n + 1] + 1] - a + j + 1
                 paths[d].append(_Path(self, d, s, whole[n], prefix, np.concatenate([p.word_cut[: w + 1], ends]), j + 1, phi, top))
         kappa = [max((p.bound for p in mine), default=-np.inf) for mine in paths]
@@ -423,6 +474,12 @@ class _Path:
         return ways[min(len(ways) - 1, int(np.searchsorted(weight, self._uniform(s, 99) * weight[-1], side="right")))]
 
 
+def _sums(first: float, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(values) + 1)
+    out[0], out[1:] = first, values
+    return np.cumsum(out, out=out)
+
+
 def _log_less(a: float, b: float) -> float:
     """log(exp(a) - exp(b)); nothing if they are equal but for rounding."""
     return a + float(np.log(-np.expm1(b - a))) if b - a < -1e-12 else -np.inf

@@ -69,6 +69,16 @@ def test_words_kept_or_not_make_no_difference(pieces, monkeypatch):
         assert [x.tolist() for x in found.ids[0]] == wanted[i]
 
 
+def test_few_words_at_once_make_no_difference(pieces, monkeypatch):
+    texts = ["some words", "x" * 400 + "yz" * 100, "é🙂" * 80, "a", "internationalization"]
+    wanted = sampled(pieces, texts, 3)
+    for few in (0, 10**6):
+        monkeypatch.setattr(sp_lattice.Lattice, "FEW", few)
+        found = sampled(pieces, texts, 3)
+        assert [[x.tolist() for x in m] for m in found.ids] == [[x.tolist() for x in m] for m in wanted.ids]
+        assert found.gumbel == wanted.gumbel
+
+
 def test_tables(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate([*TEXTS, None])] + [(2, TEXTS[2], 0), (None, "no id", 0)], "doc_id long, text string, sample int")
     rows = sp_lattice.sample(docs, PATH, k=2, keep=["doc_id", "text"]).collect()
