@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Scratch, Words, chunks, mixed, quoted, saved
+from inkwell.llm.text import Scratch, Words, chunks, mixed, quoted, saved, tidied
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
@@ -181,7 +181,7 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n[i] for i in total], pa.int64())], names=["slice", "counts", "n"])
 
     schema = "slice int, counts binary, n bigint"
-    rows = source.mapInArrow(count, schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
+    rows = source.mapInArrow(tidied(count), schema).repartitionById(SLICES, F.col("slice")).mapInArrow(add, schema).collect()
     counts = np.zeros(size, np.int64)
     for r in rows:
         counts[r[0] * each : (r[0] + 1) * each] = np.frombuffer(pa.decompress(r[1], decompressed_size=8 * each, codec="zstd", asbytes=True), np.int64)
@@ -204,7 +204,7 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "node", "bands"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
                 good = pa.array([similarity(lists[x], lists[y]) >= least - 1e-9 for x, y in zip(a, b, strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -271,7 +271,7 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float)
                             links.append((min(x["node"], ys[j]["node"]), max(x["node"], ys[j]["node"])))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a binary, b binary").distinct()
+    return met.mapInArrow(tidied(run), "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:

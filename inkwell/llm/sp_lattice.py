@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.bpe import WordTable, gathered
-from inkwell.llm.text import chunks, kept_columns, map_texts, mixed, quoted, span_hashes
+from inkwell.llm.text import chunks, kept_columns, map_texts, mixed, quoted, span_hashes, tidied
 
 MARK = "▁"
 _STEP, _TOKEN = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
@@ -530,7 +530,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in (found.log_prob, found.gumbel, found.inclusion)]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, lists, *floats, pa.array(back, pa.bool_())], names=names)
 
-    return source.mapInArrow(run, schema).toDF(*keep, *results)
+    return source.mapInArrow(tidied(run), schema).toDF(*keep, *results)
 
 
 def encode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -593,7 +593,7 @@ def decode(encoded: DataFrame, model_path: str, *, keep: list[str], ids_col: str
             out = [None if x is None or not x.is_valid else decoder.text(np.asarray(x.values.drop_null(), np.int64)) for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(out, pa.string())], names=names)
 
-    return source.mapInArrow(run, schema).toDF(*keep, "decoded")
+    return source.mapInArrow(tidied(run), schema).toDF(*keep, "decoded")
 
 
 def segmentations(text: str, pieces: Pieces) -> dict[tuple[int, ...], float]:
