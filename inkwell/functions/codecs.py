@@ -255,26 +255,67 @@ def is_image(record: bytes) -> bool:
     return len(record) >= 4 and record.startswith((b"\xff\xd8", b"\x89PNG", b"GIF", b"BM"))
 
 
+#: Codes up to this length are looked up in a table by the next bits; longer ones are followed bit by bit.
+TABLE_BITS = 16
+
+
 def huffman_decoded(records: Iterable[bytes], codes: dict[int, tuple[int, int]], entries: dict[int, bytes]) -> bytes:
-    """Bit by bit, most significant first; each record starts anew and its padding bits are decoded as well."""
-    symbol_of = {key: s for s, key in codes.items()}
+    """Most significant bit first; each record starts anew and its padding bits are decoded as well.
+
+    Bits that begin no code are given up as many at a time as the longest code has.
+    """
+    spelt = {key: bytes((s,)) if s < 256 else entries.get(s - 256, b"") for s, key in codes.items()}
     longest = max(n for _, n in codes.values())
-    out = bytearray()
+    decode = _by_table(spelt, longest) if longest <= TABLE_BITS else lambda data, out: _by_bits(data, out, spelt, longest)
+    out: list[bytes] = []
     for record in records:
-        code = size = 0
-        for byte in record[data_start(record) :]:
-            for shift in range(7, -1, -1):
-                code, size = (code << 1 | byte >> shift & 1) & 0xFFFFFFFF, size + 1
-                symbol = symbol_of.get((code, size))
-                if symbol is not None:
-                    if symbol < 256:
-                        out.append(symbol)
-                    else:
-                        out += entries.get(symbol - 256, b"")
-                    code = size = 0
-                elif size >= longest:
-                    code = size = 0
-    return bytes(out)
+        decode(record[data_start(record) :], out)
+    return b"".join(out)
+
+
+def _by_bits(data: bytes, out: list[bytes], spelt: dict[tuple[int, int], bytes], longest: int) -> None:
+    code = size = 0
+    for byte in data:
+        for shift in range(7, -1, -1):
+            code, size = (code << 1 | byte >> shift & 1) & 0xFFFFFFFF, size + 1
+            found = spelt.get((code, size))
+            if found is not None:
+                out.append(found)
+            if found is not None or size >= longest:
+                code = size = 0
+
+
+def _by_table(spelt: dict[tuple[int, int], bytes], longest: int):
+    """A decoder that looks up the next ``longest`` bits; of codes that fit, the shortest counts."""
+    table: list[tuple[bytes, int] | None] = [None] * (1 << longest)
+    for (code, size), found in sorted(spelt.items(), key=lambda item: item[0][1]):
+        free = longest - size
+        if code < 1 << size:
+            for window in range(code << free, code + 1 << free):
+                if table[window] is None:
+                    table[window] = found, size
+
+    def decode(data: bytes, out: list[bytes]) -> None:
+        bits = held = 0
+        for byte in data:
+            bits, held = bits << 8 | byte, held + 8
+            while held >= longest:
+                found = table[bits >> held - longest]
+                if found is None:
+                    held -= longest
+                else:
+                    out.append(found[0])
+                    held -= found[1]
+                bits &= (1 << held) - 1
+        while held:  # fewer bits than the longest code has are left
+            found = table[bits << longest - held]
+            if found is None or found[1] > held:
+                return
+            out.append(found[0])
+            held -= found[1]
+            bits &= (1 << held) - 1
+
+    return decode
 
 
 def plausible(data: bytes) -> bool:

@@ -106,6 +106,17 @@ def test_huffman_text():
     assert codecs.huffman_text([cdic, body]) is None
 
 
+@given(st.dictionaries(st.integers(0, 270), st.integers(1, 9), min_size=1, max_size=12), st.lists(st.binary(max_size=30), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_decoding_by_table_is_decoding_by_bits(lengths, records):
+    codes, entries = codecs.canonical_codes(lengths), {i: b"<%d>" % i for i in range(10)}
+    spelt = {key: bytes((s,)) if s < 256 else entries.get(s - 256, b"") for s, key in codes.items()}
+    wanted: list[bytes] = []
+    for record in records:
+        codecs._by_bits(record[codecs.data_start(record) :], wanted, spelt, max(lengths.values()))
+    assert codecs.huffman_decoded(records, codes, entries) == b"".join(wanted)
+
+
 def test_mixed_text():
     html = bytes(16) + b"<html><body>" + b"x" * 30
     image = b"\x89PNG" + bytes(30)
