@@ -49,12 +49,15 @@ def book_id(path: Column) -> Column:
 
 
 def packed_texts(docs: DataFrame, *, compression: int = 1, exth: Column | None = None, data: Column | None = None, encoding: int = 65001) -> DataFrame:
-    """``documents`` as containers: record 0, then the text in records of 4,096 bytes."""
+    """``documents`` as containers: record 0, then the text in records of 4,096 bytes.
+
+    The text length, which nothing reads, stays 0: raw books include record 0, and a length with a byte ``<`` begins their html.
+    """
     data = F.encode(as_html("text"), "utf-8") if data is None else data
     rows = docs.select(F.col("doc_id").cast("string").alias("path"), data.alias("data"), *([exth.alias("exth")] if exth is not None else []))
     rows = books.held(books.held(rows, "data", F.col("data")), "parts", source.chunked(F.col("data")))
     parts = F.col("parts")
-    head = source.record0(compression=compression, text_length=F.octet_length("data"), records=F.size(parts), encoding=encoding, exth=F.col("exth") if exth is not None else None)
+    head = source.record0(compression=compression, records=F.size(parts), encoding=encoding, exth=F.col("exth") if exth is not None else None)
     return rows.select("path", source.packed(F.concat(F.lit("Book "), F.col("path")), F.concat(F.array(head), parts)).alias("content"))
 
 
