@@ -2,8 +2,10 @@
 
 1. The document frequencies of all shingles of five words are counted into a sketch of fixed size; its excess over the mean
    load of a bucket gives a shingle's document frequency, and 1 + ln((N + 1) / (df + 1)) / ln(N + 1) its weight per use.
-2. Each text gets ICWS samples (Ioffe 2010).  Its shingles are dealt into bins by hash and each round draws one sample per
-   bin, so a shingle costs a draw per round, not per sample; an empty bin borrows from the next that has shingles.
+2. Each text gets ICWS samples (Ioffe 2010).  A light text's are all drawn from its whole list of shingles.  In a heavier
+   one each round deals the uses of shingles into bins anew and draws one sample per bin, so a use costs a draw per round,
+   not per sample; an empty bin borrows from the next that has any.  Texts between SHORT and SHORT / least get both, as
+   the lighter of two similar texts weighs at least ``least`` of the other: every similar pair has samples of one kind.
 3. Samples are banded; texts that share a band's key are candidates.  All pairs of a small bucket are compared.  In a
    larger one all members are compared with a few leaders; then, wherever it still holds several components, the members
    outside the most common one with a few leaders of that one, as long as there are many and this joins many of them; and
@@ -30,6 +32,8 @@ from inkwell.llm.text import Scratch, Words, chunks, mixed, quoted, saved, tidie
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
+#: Texts of a weight up to SHORT / least have samples of the whole text; those of SHORT or more have samples by bins.
+SHORT = 200.0
 #: Buckets of the document-frequency sketch (log2), and its slices.
 SKETCH_BITS, SLICES = 22, 64
 #: Buckets with up to as many members have all their pairs compared.
@@ -72,20 +76,17 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
 
 
-def icws(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, BINS * ROUNDS) samples; and which texts have any shingle.  Input sorted by text and hash."""
-    out = np.zeros((n, ROUNDS, BINS), np.uint64)
-    has = np.zeros((n, BINS), bool)
+def icws(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """(n, BINS * ROUNDS) samples, ``bins`` a round; and which texts have any shingle.  Input sorted by text."""
+    rounds = BINS * ROUNDS // bins
+    out = np.zeros((n, rounds, bins), np.uint64)
+    has = np.zeros((n, rounds, bins), bool)
     if len(doc):
-        cell = doc * BINS + (gram >> np.uint64(45)).astype(np.int64)  # the top three bits: bins are runs of the sorted input
-        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        size = np.diff(np.append(start, len(cell)))
-        which = cell[start]
-        has.ravel()[which] = True
         log_w = np.log(weight).astype(np.float32)
         low = np.uint64(0xFFFFFFFF)
         half = np.uint64(32)
-        for r in range(ROUNDS):
+        small = np.min_scalar_type(n * bins)  # 16 bits are sorted by radix
+        for r in range(rounds):
             a = mixed(gram + np.uint64((2 * r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             b = mixed(a ^ np.uint64(0xA0761D6478BD642F))
             c = mixed(b ^ np.uint64(0xE7037ED1A0B428DB))
@@ -94,32 +95,58 @@ def icws(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int) -> tuple
             beta = _uniform(c & low)
             t = np.floor(log_w / rate + beta)
             score = scale - rate * (t - beta + 1)
-            least = np.repeat(np.minimum.reduceat(score, start), size)
+            cell, order = doc, None
+            if bins > 1:  # dealt anew each round, so that a shingle of one text alone cannot spoil the same bin every time
+                cell = doc * bins + ((c >> half) * np.uint64(bins) >> half).astype(np.int64)
+                order = np.argsort(cell.astype(small), kind="stable")
+                cell, score = cell[order], score[order]
+            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            least = np.repeat(np.minimum.reduceat(score, start), np.diff(np.append(start, len(cell))))
             hit = np.flatnonzero(score == least)
             first = hit[np.searchsorted(hit, start)]
-            sample = mixed(gram[first] ^ (t[first].astype(np.int64).view(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-            layer = np.zeros(n * BINS, np.uint64)
-            layer[which] = sample
-            out[:, r, :] = layer.reshape(n, BINS)
+            first = first if order is None else order[first]
+            d, k = np.divmod(cell[start], bins)
+            out[d, r, k] = mixed(gram[first] ^ (t[first].astype(np.int64).view(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+            has[d, r, k] = True
     filled = has.copy()
-    for step in range(1, BINS):
-        need = ~filled & np.roll(has, -step, axis=1)
+    for step in range(1, bins):
+        need = ~filled & np.roll(has, -step, axis=2)
         if need.any():
-            d, b = np.nonzero(need)
-            out[d, :, b] = mixed(out[d, :, (b + step) % BINS] + np.uint64(step))
+            d, r, b = np.nonzero(need)
+            out[d, r, b] = mixed(out[d, r, (b + step) % bins] + np.uint64(step))
             filled |= need
-    return out.reshape(n, ROUNDS * BINS), has.any(axis=1)
+    return out.reshape(n, rounds * bins), has.any(axis=(1, 2))
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys, each of ROWS samples and the band's number."""
+def band_keys(samples: np.ndarray, first: int = 1) -> np.ndarray:
+    """(n, BANDS) keys, each of ROWS samples and the band's number (from ``first`` on)."""
     parts = samples.reshape(len(samples), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    key = np.broadcast_to(np.arange(first, first + BANDS, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(ROWS):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
     return key
 
 
+def text_bands(doc: np.ndarray, gram: np.ndarray, uses: np.ndarray, weight: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of n texts, one text after another, and how many each has: BANDS, or twice as many between the two kinds.
+    ``weight`` is that of a single use."""
+    total = np.bincount(doc, uses * weight, minlength=n)
+    # the margin is for sums of floats; texts at it have both kinds
+    kinds = np.stack([(total > 0) & (total * least <= SHORT * (1 + 1e-6)), total >= SHORT * (1 - 1e-6)], axis=1)
+    keys = np.zeros((n, 2, BANDS), np.uint64)
+    for i, bins in enumerate((1, BINS)):
+        own = np.flatnonzero(kinds[:, i])
+        if len(own):
+            mine = np.flatnonzero(kinds[doc, i])
+            many, name = uses[mine], gram[mine]
+            if bins > 1:  # each use apart, weighing 1 to 2: a shingle of many uses would lie in one bin and a rare one fill another
+                mine = np.repeat(mine, many)
+                nth = np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)
+                name, many = np.where(nth > 0, mixed(gram[mine] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), gram[mine]), 1
+            keys[own, i] = band_keys(icws(np.searchsorted(own, doc[mine]), name, many * weight[mine], len(own), bins)[0], 1 + i * BANDS)
+    return keys[kinds].ravel(), kinds.sum(axis=1) * BANDS
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sorted (shingle, weight) lists."""
     if not len(a[0]) or not len(b[0]):
@@ -188,7 +215,7 @@ def shingle_weights(docs: DataFrame, text_col: str = "text") -> Weights:
     return Weights(counts, sum(r[2] for r in rows))
 
 
-def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, node, bands) of every document; no bands for a text without words."""
     source = _nodes_and_texts(docs, id_col, text_col)
     schema = T.StructType([source.schema["id"], T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -198,10 +225,9 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 doc, gram, uses = shingles(texts)
-                samples, any_word = icws(doc, gram, uses * table.of(gram), len(texts))
-                keys = band_keys(samples)[any_word].view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(any_word) * BANDS]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
+                keys, count = text_bands(doc, gram, uses, table.of(gram), len(texts), least)
+                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "node", "bands"])
 
     return source.mapInArrow(tidied(run), schema)
@@ -314,7 +340,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ``label`` names the class; ``class_id`` is its least id (null if all are), ``class_size`` its number of documents.
     """
     weights = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, text_col))  # 4 MB whatever the data
-    signed = saved(signatures(docs, weights, id_col, text_col), "signatures")
+    signed = saved(signatures(docs, weights, id_col, text_col, least), "signatures")
     with Scratch(docs.sparkSession) as scratch:
         nodes = scratch.saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
         keyed = nodes.select("node", F.explode("bands").alias("key"))

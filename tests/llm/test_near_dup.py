@@ -127,3 +127,38 @@ def test_components(spark):
 def test_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
     assert {r.doc_id: r.class_id for r in op4_near_duplicates(spark, "/root/testdata/sf0.001").collect()} == brute_classes(spark, docs)
+
+
+def keys_of(gram, uses):
+    """Band keys of texts with rows of shingles of the same weight a use."""
+    doc = np.repeat(np.arange(len(gram)), gram.shape[1])
+    order = np.lexsort((gram.ravel(), doc))
+    keys, count = near_dup.text_bands(doc, gram.ravel()[order], np.tile(uses, len(gram))[order], np.full(len(doc), 1.9), len(gram), 0.8)
+    return [set(k.tolist()) for k in np.split(keys, np.cumsum(count)[:-1])]
+
+
+def test_similar_texts_become_candidates_at_every_length():
+    rng = np.random.default_rng(3)
+    # shared shingles and those of one text alone; similarity 0.8 to 0.84.  At 95 and 118 the texts have unlike kinds of samples
+    for both, left, right in ((4, 1, 0), (8, 1, 1), (16, 2, 2), (20, 2, 2), (40, 5, 5), (95, 0, 20), (118, 0, 25), (200, 25, 25)):
+        gram = rng.integers(0, 1 << 48, (500, both + left + right), dtype=np.uint64)
+        a = keys_of(gram[:, : both + left], np.ones(both + left, np.int64))
+        b = keys_of(np.concatenate([gram[:, :both], gram[:, both + left :]], axis=1), np.ones(both + right, np.int64))
+        assert sum(x.isdisjoint(y) for x, y in zip(a, b, strict=True)) <= 2, (both, left, right)
+    # a line many times over, with and without a header of more shingles than the line has
+    gram = rng.integers(0, 1 << 48, (300, 30), dtype=np.uint64)
+    a, b = keys_of(gram, np.repeat([60, 1], [6, 24])), keys_of(gram[:, :6], np.full(6, 60))
+    assert not any(x.isdisjoint(y) for x, y in zip(a, b, strict=True))
+
+
+def test_planted_short_copies(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in range(8, 31):
+        for _ in range(12):
+            base = words(rng, n)
+            texts += [base, [*base, f"y{rng.randint(0, 10**6)}"]]
+            if n >= 20:
+                texts.append([f"z{rng.randint(0, 10**6)}", *base])
+    docs = dict(enumerate(" ".join(t) for t in texts))
+    assert found_classes(spark, docs) == brute_classes(spark, docs)
