@@ -221,8 +221,12 @@ SELECT doc_id, md5('<p>中文书籍内容测试中文书籍</p>' || text) AS tex
 """)
 def charset_repair(spark, sf_dir):
     """ASCII documents after a Chinese heading in GB18030, under a header that says UTF-8."""
+    return charset_repaired(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text")))
+
+
+def charset_repaired(docs: DataFrame) -> DataFrame:
+    """Any documents so; a text that is not ASCII is garbled, as its UTF-8 is read in the heading's character set."""
     heading = "<p>中文书籍内容测试中文书籍</p>".encode("gb18030")
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
     # a book whose text lies in a record of plain markup, so that the header is no part of what is probed
     head = source.record0(compression=books.HUFFMAN, encoding=65001)
     records = F.array(head, F.concat(F.lit(heading), text_bytes("text")))
@@ -268,8 +272,13 @@ def chapter_strategy(spark, sf_dir):
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[^ -~]', 'e', 'g')) AS text_md5, 'huffman' AS decoder FROM documents WHERE length(text) >= 100")
 def huffcdic_decode(spark, sf_dir):
     """Printable documents coded by eight bits a character (dictionary entries for capitals) and read back."""
-    ascii_text = F.regexp_replace("text", "[^ -~]", "e")
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 100).select("doc_id", F.encode(ascii_text, "utf-8").alias("data"))
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 100)
+    return huffcdic_decoded(docs.withColumn("text", F.regexp_replace("text", "[^ -~]", "e")))
+
+
+def huffcdic_decoded(docs: DataFrame) -> DataFrame:
+    """Any documents coded by eight bits a byte and read back; a book of less than 100 bytes of text is given as its raw records."""
+    docs = docs.select("doc_id", text_bytes("text").alias("data"))
     # 256 symbols of eight bits get the codes 0 to 255 in order; capitals are entries 0 to 25, numbered from 256 on
     capitals = list(range(256, 282))
     literals = [s for s in range(256) if not 65 <= s <= 90][: 256 - len(capitals)]
@@ -434,7 +443,18 @@ SELECT doc_id, '全文' AS title, 'whole' AS strategy, md5('<p>' || text || '</p
 """)
 def open_book(spark, sf_dir):
     """From container to chapters: scan, header, text, character set, chapters."""
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    return opened(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text")))
+
+
+@query("""
+SELECT doc_id, '全文' AS title, 'whole' AS strategy, md5('<p>' || coalesce(text, '') || '</p>') AS content_md5, 'raw' AS decoder FROM documents
+""")
+def open_book_all(spark, sf_dir):
+    """The same of every document, whatever its characters; a null text is empty."""
+    return opened(table(spark, sf_dir, "documents"))
+
+
+def opened(docs: DataFrame) -> DataFrame:
     content = packed_texts(docs, data=F.concat(F.lit(b"<p>"), text_bytes("text"), F.lit(b"</p>")))
     texts = books.texts(books.parsed(content))
     chapters = books.chapter_table(books.chaptered(texts)).join(texts.select("path", "decoder"), "path")
