@@ -28,8 +28,8 @@ from inkwell.llm.bpe import gathered, of_worker, shipped
 from inkwell.llm.text import chunks, quoted, shared_dir
 
 MAGIC = b"RPG1"
-#: Ids of a block (about), rounds of replacement, pairs replaced in a round at most, and least uses of a pair.
-BLOCK_IDS, ROUNDS, ROUND_PAIRS, LEAST_USES = 1 << 20, 5, 2048, 8
+#: Ids of a block (about), pairs replaced in a round at most, and least uses of a pair.
+BLOCK_IDS, ROUND_PAIRS, LEAST_USES = 1 << 20, 2048, 8
 
 
 class Grammar:
@@ -64,10 +64,11 @@ class Grammar:
         return flat[gathered(begin[symbols], size[symbols])]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUNDS) -> tuple[Grammar, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and the symbols before each document (with the total); ``ends`` are the documents' ends in ``ids``.
 
-    While two bytes can hold them, there are at most 65,536 symbols in all.
+    Rounds go on until no pair has LEAST_USES or the symbols are used up.  While two bytes can hold them, there are at most
+    65,536 symbols in all.
     """
     seq = ids.astype(np.uint32)
     final = np.zeros(len(seq) + 1, bool)  # the last symbol of a document; one more entry for "none"
@@ -76,9 +77,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = RO
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     symbols, room = terminals, (1 << 16) - terminals if terminals < 1 << 16 else 1 << 20
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and room > 0:
         wide = symbols > 1 << 16
         key = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if wide else (seq[:-1] << np.uint32(16) | seq[1:])
         free = ~final[:-1]

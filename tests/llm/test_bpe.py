@@ -57,6 +57,17 @@ def test_grammar_shrinks_repeats_and_wide_vocabularies():
         repair_store.Block(b"nothing at all")
 
 
+def test_copies_of_a_long_text_shrink_to_rules():
+    text = np.random.default_rng(8).integers(0, 1000, 1000).astype(np.int32)
+    ids, ends = np.tile(text, 400), np.arange(1, 401) * 1000
+    blob = repair_store.packed(ids, ends, 1000)
+    block = repair_store.Block(blob)
+    assert len(block.symbols) <= 3 * 400 and block.grammar.length.max() >= 300
+    assert block.all()[0].tolist() == ids.tolist() and block.document(399).tolist() == text.tolist()
+    one = repair_store.Block(repair_store.packed(np.zeros(1 << 16, np.int32), np.array([1 << 16]), 1000))
+    assert len(one.symbols) <= 16 and one.run(5, 900).tolist() == [0] * 895
+
+
 def test_store(spark, bpe):
     rows = [(i * 3 % 41, t) for i, t in enumerate(SAMPLES * 4)] + [(None, "null id"), (50, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
