@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import map_texts, quoted
+from inkwell.llm.text import map_texts, quoted, share_bound
 
 #: n-gram hash buckets, and the rows that the classifiers are fitted on at most (about; shared out by language).
 BUCKETS, SAMPLE_ROWS = 1 << 12, 3200
+#: Languages learned at most, and sampled rows of each at least.
+MOST_LANGUAGES, LEAST_EACH = 256, 12
+#: Texts counted at once: each has a row of all buckets.
+TEXTS_AT_ONCE = 512
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -93,18 +97,23 @@ class Ecoc:
         return best, p.max(1) / p.sum(1), second - loss.min(1)
 
 
-def fitted(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Ecoc | None:
-    """Fit on a deterministic sample of about ``sample_rows`` rows for which ``learn`` holds and lang is not null."""
+def fitted(
+    docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES
+) -> Ecoc | None:
+    """Fit on a deterministic sample of about ``sample_rows`` rows for which ``learn`` holds and lang and text are not null.
+
+    The rows are shared out by language, LEAST_EACH at least.  The ``most_languages`` languages of the most documents are
+    learned, so that a column of stray values makes neither the sample nor the code unbounded.  None if nothing can be
+    learned.
+    """
     rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text"), F.col(quoted(lang_col)).cast("string").alias("__lang"), learn.alias("__learn"))
-    rows = rows.where(F.col("__learn") & F.col("__lang").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("__lang").count().collect()}  # as many rows as there are languages
+    rows = rows.where(F.col("__learn") & F.col("__lang").isNotNull() & F.col("__text").isNotNull())
+    counts = rows.groupBy("__lang").agg(F.approx_count_distinct(F.xxhash64("__id"), 0.02).alias("n")).orderBy(F.desc("n"), "__lang").limit(most_languages).collect()
     if not counts:
         return None
-    each = max(1, sample_rows // len(counts))
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("__lang") == lang, min(1.0, each / n)).otherwise(share)
-    picked = rows.where(F.col("__text").isNotNull() & (F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < share * 1_000_003))
+    each = max(LEAST_EACH, sample_rows // len(counts))
+    bounds = docs.sparkSession.createDataFrame([(lang, share_bound(each, n)) for lang, n in counts], "__lang string, __below bigint")
+    picked = rows.join(F.broadcast(bounds), "__lang").where(F.col("__below").isNull() | (F.xxhash64("__id") < F.col("__below")))
     # repeated rows count once, so that one hot id cannot fill the sample
     picked = picked.groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))
 
@@ -116,7 +125,7 @@ def fitted(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col:
         return work
 
     fields = [T.StructField("__x", T.BinaryType()), T.StructField("__lettered", T.BooleanType())]
-    got = sorted(map(tuple, map_texts(picked, "__text", ["__id", "__lang"], fields, make).where("__lettered").collect()), key=lambda r: (str(r[0]), r[1]))
+    got = sorted(map(tuple, map_texts(picked, "__text", ["__id", "__lang"], fields, make, rows=TEXTS_AT_ONCE).where("__lettered").collect()), key=lambda r: (str(r[0]), r[1]))
     if not got:
         return None
     x = np.stack([np.frombuffer(r[2], np.float16).astype(np.float32) for r in got])
@@ -142,4 +151,4 @@ def identify(docs: DataFrame, model: Ecoc | None, *, keep: list[str] | None = No
         return work
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    return map_texts(docs, text_col, ["doc_id"] if keep is None else keep, fields, make)
+    return map_texts(docs, text_col, ["doc_id"] if keep is None else keep, fields, make, rows=TEXTS_AT_ONCE)

@@ -7,6 +7,7 @@ Conventions that hold for every operator here:
   untouched.
 * A null text counts as empty unless the operator says otherwise; nulls in ``keep`` columns are passed on.
 * Repeated rows are rows of their own: nothing is keyed by an id that might repeat unless the operator says so.
+* Columns that an operator makes on its way are told apart from the input's by place, so no input column's name clashes.
 * An empty table gives an empty result with the same schema.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,15 +56,39 @@ def learned_fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 != 0
 
 
-def hashed_share(share: float, *cols: Column) -> Column:
-    """A deterministic sample of about ``share`` of the rows."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1_000_003)) < int(min(1.0, share) * 1_000_003)
+def share_bound(n: float, total: float) -> int | None:
+    """The 64-bit hash that n of ``total`` values lie below on average; None if all of them do."""
+    return None if n >= total else -(1 << 63) + int(int(n) * (1 << 64) // max(1, int(total)))
+
+
+def sampled(df: DataFrame, n: int, *cols: Column) -> DataFrame:
+    """The rows whose ``cols`` hash low, so low that about ``n`` different values of them do, whatever the table's size.
+
+    A value is in the sample with all its rows or not at all.  The number of different values is Spark's estimate (within a
+    few hundredths) from a sketch of fixed size, so a value that fills the table counts once.
+    """
+    total = df.select(F.approx_count_distinct(F.xxhash64(*cols), 0.02)).first()[0]
+    return df.where(below(share_bound(n, total), *cols))
+
+
+def below(bound: int | None, *cols: Column) -> Column:
+    return F.lit(True) if bound is None else F.xxhash64(*cols) < F.lit(bound)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only if unset)."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a folder of this machine; any other one is refused, as the executors would
+    write to disks that no one else reads.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return _placed(top, spark.sparkContext.master, what)
+
+
+def _placed(top: str | None, master: str, what: str) -> str:
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "inkwell-checkpoints")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -74,6 +100,53 @@ def saved(df: DataFrame, what: str, at: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A join's key is dealt to several tasks if it has over a thousandth of the rows, and so many at least.
+HOT_ROWS = 512
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """``left.join(right, key, how)`` in which no key of ``left`` fills a task, however many rows it has.
+
+    ``left`` has to be a saved table (its rows are counted and numbered) and ``how`` inner, left or left_semi.  At most a
+    thousand keys have over a thousandth of the rows; their rows are dealt out by number, and ``right``'s rows for these keys
+    are there once for each part.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    most = max(least, total // 1000)
+    hot = [] if total <= least else counts.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")).collect()
+    if not hot:
+        return left.join(right, key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([left.schema[key], T.StructField("__parts", T.IntegerType())])))
+    parts = F.when(F.col(key).isNull(), 1000).otherwise(F.coalesce("__parts", F.lit(1)))  # null keys meet nothing
+    part = F.pmod(F.col("__row"), parts.cast("long")).cast("int")
+    numbered = left.withColumn("__row", F.monotonically_increasing_id()).join(few, key, "left").withColumn("__part", part).drop("__row", "__parts")
+    there = right.join(few, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return numbered.join(there, [key, "__part"], how).drop("__part")
+
+
+class Bits:
+    """A set of hashes as a bitmap of fixed size: ``found`` tells which hashes may be in it."""
+
+    def __init__(self, bits: int, rows: list[tuple[int, bytes]]) -> None:
+        self.bits = bits
+        self.map = np.zeros(1 << (bits - 3), np.uint8)
+        for bucket, part in rows:
+            at = (bucket - 1) << 12
+            self.map[at : at + len(part)] = np.frombuffer(part, np.uint8)
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.bits)
+        return (self.map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def hash_bits(hashes: DataFrame, column: str, bits: int = 25) -> Bits:
+    """The bitmap (4 MB for 25 bits, whatever the data) of a column of 64-bit hashes; parts of 4 KB are put together by executors."""
+    place = F.shiftrightunsigned(F.col(column), 64 - bits) + 1  # those functions count from 1
+    parts = hashes.where(F.col(column).isNotNull()).groupBy(F.call_function("bitmap_bucket_number", place).alias("bucket"))
+    return Bits(bits, [(r[0], bytes(r[1])) for r in parts.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("part")).collect()])
+
+
 class Scratch:
     """Saved tables that go when the work that needs them is done."""
 
@@ -93,15 +166,19 @@ class Scratch:
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batch of about ``most`` bytes of text, each with its texts as bytes (null: empty)."""
+#: Rows that a chunk has at most, so that arrays with a fixed size per text are bounded and a text's place fits 16 bits.
+CHUNK_ROWS = 1 << 14
+
+
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batch of about ``most`` bytes of text and at most ``rows`` rows, each with its texts as bytes (null: empty)."""
     array = batch.column(batch.schema.get_field_index(column))
     size = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
         before = int(ends[at - 1]) if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
         part = batch.slice(at, upto - at)
         texts = part.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
         yield part, [t or b"" for t in texts]
@@ -125,7 +202,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def map_texts(
-    df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list]], most: int = CHUNK_BYTES
+    df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list]], most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add ``fields`` to ``keep`` by a function of chunks of whole texts; ``make`` runs once in each Python worker task.
 
@@ -140,7 +217,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part, texts in chunks(batch, "__text", most):
+            for part, texts in chunks(batch, "__text", most, rows):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(own))] + made, names=names)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Words, hashed_share, map_texts, quoted
+from inkwell.llm.text import Words, below, map_texts, quoted, sampled, share_bound
 
 #: Word hash buckets; the positives and the unlabelled rows that the model is fitted on at most (about).
 BUCKETS, POSITIVE_ROWS, UNLABELLED_ROWS = 1 << 18, 3000, 9000
@@ -83,27 +83,29 @@ def fitted(
     """Fit on bounded deterministic samples of the rows for which ``learn(id column)`` holds; None without any positive.
 
     The prior is the share of label 1 among all those labels.  The unlabelled sample is of all learnable documents that
-    are not among the sampled positives.  Repeated ids count once; null ids, texts and labels take no part.
+    are not among the sampled positives (of those, if there are no others).  Repeated ids count once; null ids, texts and
+    labels, and labels of no document, take no part.
     """
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text")).where(F.col("__text").isNotNull() & F.col("__id").isNotNull())
+    rows = rows.where(learn(F.col("__id")))
     tagged = labels.select(F.col(quoted(label_id_col)).alias("__id"), F.col(quoted(toxic_col)).cast("int").alias("__toxic"))
-    tagged = tagged.where(F.col("__id").isNotNull() & F.col("__toxic").isNotNull() & learn(F.col("__id")))
+    tagged = tagged.where(F.col("__id").isNotNull() & F.col("__toxic").isNotNull() & learn(F.col("__id"))).join(rows.select("__id").distinct(), "__id", "left_semi")
     n, toxic = tagged.agg(F.count("*"), F.coalesce(F.sum((F.col("__toxic") == 1).cast("long")), F.lit(0))).first()
     if not toxic:
         return None
     prior = float(np.clip(toxic / n, 0.01, 0.9))
-    chosen = tagged.where((F.col("__toxic") == 1) & hashed_share(positive_rows / toxic, F.col("__id"))).select("__id").distinct()
-    ids = F.broadcast(chosen.withColumn("__p", F.lit(True)))  # about positive_rows ids by the filter above
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text")).where(F.col("__text").isNotNull() & F.col("__id").isNotNull())
-    total = rows.select("__id").where(learn(F.col("__id"))).count()
-    rows = rows.where(learn(F.col("__id"))).join(ids, "__id", "left")
-    rows = rows.where(F.col("__p") | hashed_share(unlabelled_rows / max(1, total), F.col("__id"), F.lit("u")))
+    chosen = sampled(tagged.where(F.col("__toxic") == 1), positive_rows, F.col("__id")).select("__id").distinct()
+    ids = F.broadcast(chosen.withColumn("__p", F.lit(True)))  # about positive_rows ids, however many there are
+    total = rows.select(F.approx_count_distinct("__id", 0.02)).first()[0]
+    rows = rows.join(ids, "__id", "left")
+    rows = rows.where(F.col("__p") | below(share_bound(unlabelled_rows, total), F.col("__id"), F.lit("u")))
     rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__p").alias("__p"))
     got = sorted(map(tuple, _featured(rows).collect()), key=lambda r: str(r[0]))
     positive = [np.frombuffer(r[2], np.int32) for r in got if r[1]]
     unlabelled = [np.frombuffer(r[2], np.int32) for r in got if not r[1]]
-    if not positive or not unlabelled:
-        return None
-    return NnPu.fit(positive, unlabelled, prior)
+    if not positive:
+        raise ValueError("there are toxic documents, but none is in the sample")
+    return NnPu.fit(positive, unlabelled or positive, prior)
 
 
 def _featured(rows: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import hashed_share, kept_columns, quoted
+from inkwell.llm.text import kept_columns, quoted, sampled
 
 RULES = "host string, path string, verdict string"
-#: Keys that are sampled (about) to place the bounds of the ranges.
-SAMPLE_KEYS = 20_000
+#: Urls that are sampled (about) to place the bounds of the ranges, and of each range at least.
+SAMPLE_KEYS, SAMPLES_PER_RANGE = 20_000, 20
 
 
 def _after_scheme(url: Column) -> Column:
@@ -112,14 +112,15 @@ def url_filter(
     own = [f.name for f in fields]
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     url = F.col(quoted(url_col)).cast("string")
-    urls = pages.select(*columns, url_host(url).alias("__host"), url_path(url).alias("__path"), F.xxhash64(url, *[F.col(quoted(c)).cast("string") for c in keep]).alias("__salt"))
+    # the salt tells repeated rows apart; a row's number is the same whenever its task is run again
+    salt = F.xxhash64(url, *[F.col(quoted(c)).cast("string") for c in keep], F.monotonically_increasing_id())
+    urls = pages.select(*columns, url_host(url).alias("__host"), url_path(url).alias("__path"), salt.alias("__salt"))
     urls = urls.withColumn("__key", F.reverse(F.split("__host", r"\.", -1)))
 
-    # bounds: quantiles of (key, salt) of a bounded hashed sample; a hot key takes several bounds that differ by salt
-    total = pages.count()
-    drawn = urls.where(hashed_share(SAMPLE_KEYS / max(1, total), F.col("__salt"))).select("__key", "__salt").limit(4 * SAMPLE_KEYS).collect()
+    # bounds: quantiles of (key, salt) of a hashed sample; a hot key takes several bounds that differ by salt
+    drawn = sampled(urls, max(SAMPLE_KEYS, SAMPLES_PER_RANGE * n), F.col("__salt")).select("__key", "__salt").collect()
     sample = sorted((tuple(r[0]), r[1]) for r in drawn)
-    bounds = [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) >= n else []
+    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     @F.pandas_udf(T.IntegerType())
     def range_of(key, salt):
