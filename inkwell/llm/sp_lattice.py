@@ -15,6 +15,7 @@ are built once, and all words of a chunk's texts take their decisions together i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +116,7 @@ class Lattice:
     ``first[node]``, shorter pieces first; ``cum`` sums their conditional probabilities (2 at the last).
     """
 
-    #: Nodes kept; beyond that, the next chunk starts with no words.
+    #: Nodes kept; beyond that, the next chunk starts with no more than the words that were used again, up to half as many.
     MOST_NODES = 1_000_000
     #: So few words left are handled one by one instead of together.
     FEW = 2
@@ -130,10 +131,31 @@ class Lattice:
         self.table = WordTable()
         self.extra: list[list[int]] = []  # ids of the characters without a piece
         self.spelt: dict[int, int] = {}
-        self.begin, self.end = _Grown(np.int32), _Grown(np.int32)
+        self.begin, self.end, self.hash, self.uses = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint64), _Grown(np.int32)
         self.first, self.choices = _Grown(np.int32), _Grown(np.int16)
         self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int16), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
 
+    def forget(self) -> None:
+        """Drop the words used once, and of the others the least used ones beyond half of MOST_NODES."""
+        begin, end, uses = self.begin.all(), self.end.all(), self.uses.all()
+        order = np.argsort(-uses, kind="stable")
+        order = order[uses[order] > 1]
+        kept = np.sort(order[np.cumsum((end - begin)[order]) <= self.MOST_NODES // 2])
+        size = (end - begin)[kept].astype(np.int64)
+        nodes = gathered(begin[kept].astype(np.int64), size)
+        choices = self.choices.all()[nodes].astype(np.int64)
+        edges = gathered(self.first.all()[nodes].astype(np.int64), choices)
+        ends = np.cumsum(size)
+        self.table = WordTable()
+        self.table.add(self.hash.all()[kept])
+        for mine, new in (
+            (self.hash, self.hash.all()[kept]), (self.uses, np.zeros(len(kept), np.int32)), (self.begin, ends - size), (self.end, ends),
+            (self.first, np.cumsum(choices) - choices), (self.choices, choices), (self.node, np.repeat(np.arange(len(nodes)), choices)),
+            (self.size, self.size.all()[edges]), (self.piece, self.piece.all()[edges]), (self.logp, self.logp.all()[edges]), (self.cum, self.cum.all()[edges]),
+        ):
+            mine.used = 0
+            mine.extend(new)
+
     def add(self, code: np.ndarray, length: np.ndarray) -> None:
         """Words that are not there yet, by their characters in a row, numbered from ``len(self.begin)`` on."""
         pieces = self.pieces
@@ -181,7 +203,7 @@ class Lattice:
         for distance in range(1, len(cuts) - 1):
             nodes = order[cuts[distance] : cuts[distance + 1]]
             if len(nodes) <= self.FEW:  # the far ends of very long words
-                self._sum_back(order[cuts[distance] :].tolist(), first, choices, ahead, logp, beta)
+                self._sum_back(order[cuts[distance] :], first, choices, ahead, logp, beta)
                 break
             own = gathered(first[nodes], choices[nodes])
             starts = np.cumsum(choices[nodes]) - choices[nodes]
@@ -201,15 +223,16 @@ class Lattice:
             mine.extend(new)
 
     @staticmethod
-    def _sum_back(nodes: list[int], first: np.ndarray, choices: np.ndarray, ahead: np.ndarray, logp: np.ndarray, beta: np.ndarray) -> None:
+    def _sum_back(nodes: np.ndarray, first: np.ndarray, choices: np.ndarray, ahead: np.ndarray, logp: np.ndarray, beta: np.ndarray) -> None:
         """The same log-sums node by node, the operations in the same order."""
-        score, ahead = logp.tolist(), ahead.tolist()
-        for node in nodes:
-            begin = int(first[node])
-            total = score[begin] + beta[ahead[begin]]
-            for e in range(begin + 1, begin + int(choices[node])):
+        own = gathered(first[nodes], choices[nodes])
+        score, ahead, at = logp[own].tolist(), ahead[own].tolist(), 0
+        for node, many in zip(nodes.tolist(), choices[nodes].tolist(), strict=True):
+            total = score[at] + beta[ahead[at]]
+            for e in range(at + 1, at + many):
                 total = np.logaddexp(total, score[e] + beta[ahead[e]])
             beta[node] = total
+            at += many
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every word of every normalised text in turn, and the words before each text (with the total).
@@ -217,7 +240,7 @@ class Lattice:
         A word is a run of word marks with what follows up to the next mark.
         """
         if len(self.first) > self.MOST_NODES:
-            self.clear()
+            self.forget() if len(self.extra) < self.MOST_NODES else self.clear()
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         joined = b"\xff".join([*parts, b""])  # a byte that no text has
         size = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -242,7 +265,11 @@ class Lattice:
             where = missing[where]
             self._learn(raw, start[where], end[where])
             self.table.add(new)
+            self.hash.extend(new)
+            self.uses.extend(np.zeros(len(new), np.int32))
             number[missing] = self.table.find(hashes[missing])
+        uses = self.uses.all()
+        uses += np.bincount(number, minlength=len(uses)).astype(np.int32)
         return number, np.searchsorted(start, begin)
 
     def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
@@ -431,7 +458,7 @@ class _Path:
 
     def _uniform(self, s: int, what: int) -> float:
         key = int(self.samples.keys[self.d]) + s * int(_STEP) + self.s * int(_TOKEN) + what * 0x9E3779B97F4A7C15
-        return float(_uniform(np.array([key & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+        return _uniform_of(key)
 
     def leave(self, s: int, tries: int = 32) -> tuple[int, float, int, float] | None:
         """Where the next segmentation leaves the path, its perturbed score, the edge it takes there and the log-probability
@@ -454,7 +481,8 @@ class _Path:
         u, v = self._uniform(s, 100 + 2 * n), self._uniform(s, 101 + 2 * n)
         # what is left is between the probability of the whole path and that of the prefix
         left = self.phi + np.log1p(u * np.expm1(float(self.prefix[-1]) - self.phi))
-        j = int(np.searchsorted(-self.prefix[self.since + 1 :], -left, side="left")) + self.since
+        after = self.prefix[self.since + 1 :]
+        j = len(after) - int(np.searchsorted(after[::-1], left, side="right")) + self.since
         j = min(j, len(self.edges) - 1)
         own = int(self.edges[j])
         ways = [e for e in lattice.ways(own) if e != own]
@@ -496,6 +524,18 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+_of_worker: dict[tuple[str, float], tuple[Lattice, Decoder]] = {}
+
+
+def of_worker(proto: bytes, alpha: float) -> tuple[Lattice, Decoder]:
+    """This Python worker's lattice of words and decoder for a model; they serve all the tasks that the worker runs."""
+    key = hashlib.sha256(proto).hexdigest(), alpha
+    if key not in _of_worker:
+        _of_worker.clear()
+        _of_worker[key] = Lattice(Pieces(proto, alpha)), Decoder(proto)
+    return _of_worker[key]
+
+
 def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha: float = 1.0, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k rows per text: ``keep``, ``sample`` (from 1), ``ids``, ``log_prob``, ``gumbel``, ``inclusion``, ``round_trip``.
 
@@ -513,8 +553,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(proto.value, alpha))
-        decoder = Decoder(proto.value)
+        lattice, decoder = of_worker(proto.value, alpha)
         for batch in batches:
             for part, texts in chunks(batch, "__text", 1 << 19):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
