@@ -12,10 +12,12 @@
    at last the members still outside with all members of other components.  So every pair of different texts that shares a
    bucket is either compared or already in one class.  That last comparison runs in blocks of members, and only links that
    join components leave it.
-4. Pairs are verified on whole texts: weighted Jaccard similarity of at least 0.8.
+4. Pairs are verified on whole texts: weighted Jaccard similarity of at least 0.8.  The text of a leader goes once to each
+   block of the members that are compared with it.
 5. Classes are the connected components, found by minimum labels and pointer jumping over the verified pairs.
 
-Exact copies are one node from the start (128-bit hash of the text), so groups of copies cost a row each.
+Exact copies are one node from the start (128-bit hash of the text), so groups of copies cost a row each.  Keys with many
+rows (a bucket, a leader, a label, the text of many copies) are dealt to several tasks in every join.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Scratch, Words, chunks, mixed, quoted, saved, tidied
+from inkwell.llm.text import Scratch, Words, chunks, dealt_join, mixed, quoted, saved, tidied
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
@@ -44,8 +46,12 @@ LEADERS, WORTHWHILE = 4, 0.5
 FEW_COMPARISONS = 50_000_000
 #: Outsiders and members of a block (about).
 BLOCK_OUTSIDE, BLOCK_MEMBERS = 32, 128
-#: Values of a node's hash that a broadcast filter may hold: at most so many rows, however many nodes there are.
-SLOTS = 1 << 18
+#: Blocks of outsiders of a bucket (about) that meet all its members in one task.
+BLOCKS_AT_ONCE = 4
+#: Members and bytes of text (about) that are compared with a leader in one block.
+HUB_MEMBERS, HUB_BYTES = 256, 1 << 20
+#: Bits of a filter of nodes (log2): it is broadcast as at most 2^18 rows of 64, however many nodes there are.
+FILTER_BITS = 24
 
 _GRAM_BITS = np.uint64(48)
 
@@ -233,25 +239,38 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(tidied(run), schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, texts: DataFrame, weights, least: float, scratch: Scratch) -> DataFrame:
+    """The saved pairs (a, b) of nodes whose texts are similar enough.  ``lead`` tells that b may be in many pairs, not a.
+
+    The members of a leader's pairs are dealt to blocks; rows are sorted so that each block's leader comes before them.
+    """
+    sides = pairs.select(F.when(F.col("lead"), F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(F.col("lead"), F.col("a")).otherwise(F.col("b")).alias("node"))
+    blocks = F.ceil(F.greatest(F.count("*") / HUB_MEMBERS, F.sum("size") / HUB_BYTES)).alias("blocks")
+    many = scratch.saved(sides.join(texts.select("node", "size"), "node").groupBy("hub").agg(blocks).where("blocks > 1"), "hubs")
+    placed = dealt_join(sides, many, "hub", "left").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    placed = scratch.saved(placed, "placed")
+    heads = scratch.saved(placed.select("hub", "block").distinct(), "heads")
+    first = dealt_join(heads, texts.select(F.col("node").alias("hub"), "text"), "hub").select("hub", "block", F.lit(False).alias("member"), F.col("hub").alias("node"), "text")
+    rest = placed.join(texts.select("node", "text"), "node").select("hub", "block", F.lit(True).alias("member"), "node", "text")
+    rows = first.union(rest).repartition("hub", "block").sortWithinPartitions("hub", "block", "member").select("member", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = weights.value
+        hub, its = b"", (np.empty(0), np.empty(0))
         for batch in batches:
-            for part, _ in chunks(batch, "text_b"):
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                known = dict(zip(a, part.column(2).cast(pa.binary()).to_pylist(), strict=True)) | dict(zip(b, part.column(3).cast(pa.binary()).to_pylist(), strict=True))
-                doc, gram, uses = shingles(list(known.values()))
+            for part, texts in chunks(batch, "text"):
+                doc, gram, uses = shingles(texts)
                 weight = uses * table.of(gram)
-                cut = np.searchsorted(doc, np.arange(len(known) + 1))
-                lists = {node: (gram[i:j], weight[i:j]) for node, i, j in zip(known, cut[:-1], cut[1:], strict=True)}
-                good = pa.array([similarity(lists[x], lists[y]) >= least - 1e-9 for x, y in zip(a, b, strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+                links: list[tuple[bytes, bytes]] = []
+                for member, node, i, j in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), cut[:-1], cut[1:], strict=True):
+                    if not member:
+                        hub, its = node, (gram[i:j].copy(), weight[i:j].copy())
+                    elif similarity(its, (gram[i:j], weight[i:j])) >= least - 1e-9:
+                        links.append((min(hub, node), max(hub, node)))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(tidied(run), "a binary, b binary")
+    return rows.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -259,11 +278,11 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, weights, least: float)
     of other labels.  Blocks of members meet blocks of outsiders; a row is one pair of blocks, and of the links in it those
     are given that join labels which no link before them has joined."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("most")).cast("long")).alias("f"))
-    full = rows.join(sizes, "key").join(texts, "node").withColumn("h", F.xxhash64("node", F.lit("block")))
+    full = dealt_join(rows, sizes, "key").join(texts.select("node", "text"), "node").withColumn("h", F.xxhash64("node", F.lit("block")))
     member = F.struct("node", "label", "text")
     outside = full.where(F.col("label") != F.col("most")).groupBy("key", F.pmod("h", F.ceil(F.col("f") / BLOCK_OUTSIDE)).alias("i")).agg(F.collect_list(member).alias("xs"))
     members = full.groupBy("key", F.pmod("h", F.ceil(F.col("m") / BLOCK_MEMBERS)).alias("j")).agg(F.collect_list(member).alias("ys"))
-    met = outside.join(members, "key").select("xs", "ys")
+    met = dealt_join(outside, members, "key", number=F.col("i"), least=BLOCKS_AT_ONCE).select("xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Weights = weights.value
@@ -309,10 +328,10 @@ def components(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame] =
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "m").alias("next"))
+        near = dealt_join(both, labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
+        step = saved(labels.join(near, "node", "left").select("node", "label", F.least("label", "m").alias("next")), "steps")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
-        step = saved(step.join(jump, "next", "left").select("node", "label", F.least("next", "jumped").alias("next")), "labels")
+        step = saved(dealt_join(step, jump, "next", "left").select("node", "label", F.least("next", "jumped").alias("next")), "labels")
         more = step.where(F.col("next") != F.col("label")).limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
         if not more:
@@ -324,46 +343,52 @@ def _leaders(seed: int = 0) -> Column:
     return F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i), F.lit(seed))) for i in range(LEADERS)])).alias("leaders")
 
 
-def _slot(node: Column) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(SLOTS))
-
+def _among(rows: DataFrame, nodes: DataFrame, there: bool = True) -> DataFrame:
+    """Rows whose node may be (``there=False``: is surely not) among ``nodes``.
 
-def _among(rows: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose node may be (left_anti: is surely not) among ``nodes``: a filter of at most SLOTS rows is broadcast."""
-    slots = nodes.select(_slot(F.col("node")).alias("__slot")).distinct()
-    return rows.withColumn("__slot", _slot(F.col("node"))).join(F.broadcast(slots), "__slot", how).drop("__slot")
+    The filter has 2^FILTER_BITS bits, whatever the number of nodes; of N nodes' hashes it lets about N / 2^FILTER_BITS of
+    the other rows through, so beyond some ten millions of nodes it turns few away.
+    """
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = nodes.select(F.floor(place / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumn("__word", F.floor(place / 64)).join(F.broadcast(words), "__word", "left_outer")
+    may = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return found.where(may if there else ~may).select(*rows.columns)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every document, and (node, label, class_id, class_size) of every different text.
+    """(id, node) of every document, and (node, label, class_id, class_size, copies) of every different text.
 
-    ``label`` names the class; ``class_id`` is its least id (null if all are), ``class_size`` its number of documents.
+    ``label`` names the class; ``class_id`` is its least id (null if all are), ``class_size`` its number of documents, and
+    ``copies`` that of the text.
     """
     weights = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, text_col))  # 4 MB whatever the data
     signed = saved(signatures(docs, weights, id_col, text_col, least), "signatures")
     with Scratch(docs.sparkSession) as scratch:
         nodes = scratch.saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
         keyed = nodes.select("node", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n"), _leaders()).where("n > 1")
-        members = scratch.saved(keyed.join(shared, "key"), "members")
+        shared = scratch.saved(keyed.groupBy("key").agg(F.count("*").alias("n"), _leaders()).where("n > 1"), "buckets")
+        members = scratch.saved(dealt_join(keyed, shared, "key", counts=shared.select("key", F.col("n").alias("__n")), number=F.xxhash64("node")), "members")
 
         small = members.where(F.col("n") <= SMALL).select("key", "node")
-        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        stars = members.where(F.col("n") > SMALL).select("node", F.explode("leaders").alias("lead")).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        tested = scratch.saved(pairs.union(stars).distinct(), "pairs")
+        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b", F.lit(False).alias("lead"))
+        stars = members.where(F.col("n") > SMALL).select("node", F.explode("leaders").alias("y")).where("node <> y")
+        tested = scratch.saved(_distinct(pairs.union(_oriented(stars.withColumnRenamed("node", "x")))), "pairs")
         taking_part = members.select("node").distinct()
         texts = _among(_nodes_and_texts(docs, id_col, text_col), taking_part).groupBy("node").agg(F.min("text").alias("text"))
-        texts = scratch.saved(texts, "texts")
-        edges = scratch.saved(verified(tested, texts, weights, least), "links")
+        texts = scratch.saved(texts.withColumn("size", F.octet_length("text")), "texts")
+        edges = scratch.saved(verified(tested, texts, weights, least, scratch), "links")
         labels = components(edges, scratch.saved)
 
         large = members.where(F.col("n") > SMALL).select("key", "node")
         before = None
         while True:
-            named = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            named = scratch.saved(large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
             counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-            several = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m")).where("m > 1").select("key", "most")
-            open_ = scratch.saved(named.join(several, "key"), "open")
+            several = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("m"), F.sum("c").alias("__n")).where("m > 1")
+            several = scratch.saved(several, "several")
+            open_ = scratch.saved(dealt_join(named, several.select("key", "most"), "key", counts=several.select("key", "__n")), "open")
             outside = open_.where(F.col("label") != F.col("most")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
             sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("most")).cast("long")).alias("f"))
             left, work = sizes.agg(F.coalesce(F.sum("f"), F.lit(0)), F.coalesce(F.sum(F.col("f") * F.col("m")), F.lit(0))).first()
@@ -376,9 +401,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             else:
                 inside = open_.where(F.col("label") == F.col("most")).groupBy("key").agg(_leaders(left))
                 leaders = inside.select("key", F.explode("leaders").alias("y"))
-                more = outside.join(leaders, "key").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                more = _distinct(_oriented(dealt_join(outside, leaders, "key", number=F.xxhash64("x"))))
                 more = scratch.saved(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-                found = scratch.saved(verified(more, texts, weights, least), "links")
+                found = scratch.saved(verified(more, texts, weights, least, scratch), "links")
                 tested = tested.union(more)
             if found.limit(1).count():
                 edges = edges.union(found)
@@ -386,12 +411,21 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             if last:
                 break
 
-        labelled = nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = scratch.saved(nodes.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         groups = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-        result = saved(labelled.select("node", "label").join(groups, "label").select("node", "label", "class_id", "class_size"), "classes")
+        result = saved(dealt_join(labelled.select("node", "label", "copies"), groups, "label").select("node", "label", "class_id", "class_size", "copies"), "classes")
     return signed.select("id", "node"), result
 
 
+def _oriented(rows: DataFrame) -> DataFrame:
+    """Members x and leaders y as pairs."""
+    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("y") > F.col("x")).alias("lead"))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("lead").alias("lead"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: ``id_col``, ``class_id``, ``class_size``.
 
@@ -401,20 +435,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies.  Every document of a class has the same ``class_id``, its least id.
     """
     rows, found = classes(docs, id_col=id_col, text_col=text_col, least=least)
-    return rows.join(found, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
+    return dealt_join(rows, found, "node", counts=_copies(found)).select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def _copies(found: DataFrame) -> DataFrame:
+    return found.select("node", F.col("copies").alias("__n"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents, all columns as they are, with one of each class: that with its least id.
 
-    Documents in no class are passed on where they lie; only those that may be in one are shuffled.
+    Classes are those of ``near_duplicates``.  Of repeated rows one stays; a null id is the least only where all are null;
+    an empty table gives an empty one; columns of any name are passed on.  Documents in no class stay where they lie; those
+    that may be in one by a filter of fixed size (see ``_among``) are shuffled.
     """
     _, found = classes(docs, id_col=id_col, text_col=text_col, least=least)
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("id"), F.unhex(F.md5(text)).alias("node"))
-    groups = saved(found.where("class_size > 1").select("node", "label", "class_id"), "groups")
-    alone = _among(rows, groups, "left_anti").select("row.*")
-    maybe = _among(rows, groups).join(groups, "node", "left")
-    unique = maybe.where(F.col("label").isNull()).select("row.*")
-    first = maybe.where(F.col("label").isNotNull() & F.col("id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.first("row").alias("row")).select("row.*")
+    groups = saved(found.where("class_size > 1").select("node", "label", "class_id", "copies"), "groups")
+    alone = _among(rows, groups, False).select("row.*")
+    maybe = _among(rows, groups)
+    named = dealt_join(maybe, groups.drop("copies"), "node", "left", counts=_copies(groups), number=F.xxhash64("id"))
+    unique = named.where(F.col("label").isNull()).select("row.*")
+    first = named.where(F.col("label").isNotNull() & F.col("id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.first("row").alias("row")).select("row.*")
     return alone.unionByName(unique).unionByName(first)

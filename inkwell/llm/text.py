@@ -104,14 +104,17 @@ def saved(df: DataFrame, what: str, at: str | None = None) -> DataFrame:
 HOT_ROWS = 512
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+def dealt_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None, number: Column | None = None, least: int = HOT_ROWS
+) -> DataFrame:
     """``left.join(right, key, how)`` in which no key of ``left`` fills a task, however many rows it has.
 
-    ``left`` has to be a saved table (its rows are counted and numbered) and ``how`` inner, left or left_semi.  At most a
-    thousand keys have over a thousandth of the rows; their rows are dealt out by number, and ``right``'s rows for these keys
-    are there once for each part.
+    ``how`` is inner, left or left_semi.  ``counts`` has the rows of each key (``key``, ``__n``), which are counted else;
+    ``number`` tells a key's rows apart, whenever a task is run again.  Without it ``left`` has to be read from files, where
+    a row's place does.  At most a thousand keys have over a thousandth of the rows; their rows are dealt out by number,
+    and ``right``'s rows for these keys are there once for each part.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).first()[0] or 0
     most = max(least, total // 1000)
     hot = [] if total <= least else counts.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")).collect()
@@ -119,8 +122,8 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
         return left.join(right, key, how)
     few = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([left.schema[key], T.StructField("__parts", T.IntegerType())])))
     parts = F.when(F.col(key).isNull(), 1000).otherwise(F.coalesce("__parts", F.lit(1)))  # null keys meet nothing
-    part = F.pmod(F.col("__row"), parts.cast("long")).cast("int")
-    numbered = left.withColumn("__row", F.monotonically_increasing_id()).join(few, key, "left").withColumn("__part", part).drop("__row", "__parts")
+    numbered = left.withColumn("__row", F.monotonically_increasing_id() if number is None else number).join(few, key, "left")
+    numbered = numbered.withColumn("__part", F.pmod(F.col("__row"), parts.cast("long")).cast("int")).drop("__row", "__parts")
     there = right.join(few, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return numbered.join(there, [key, "__part"], how).drop("__part")
 
