@@ -3,14 +3,17 @@
 The library's byte-level pre-tokenizer cuts a text into words that are encoded each by itself, so the ids of a text are
 the ids of its words in turn.  Texts of plain characters (printable ASCII, tab, line feed, carriage return and the letters
 of Latin-1; no apostrophe that may begin a contraction) are cut here, all at once in numpy, and each distinct word goes to
-the library once; any other text, and any vocabulary with another pre-tokenizer, goes to the library whole.  Words are
-told apart by a 64-bit hash.
+the library once; any other text, any text with an added token of the vocabulary, and any vocabulary with another
+pre-tokenizer, goes to the library whole.  Words are told apart by a 64-bit hash.
+
+A special token's name in a text is that token, as the library has it; ``special_as_text`` makes it ordinary text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 from pyspark import Broadcast
@@ -38,10 +41,10 @@ _KIND = np.array([_kind(b) for b in range(256)], np.uint8)
 _AFTER_APOSTROPHE = np.array([chr(b) in "stmdlrv" for b in range(256)])
 
 
-def cut_words(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_words(raw: np.ndarray, first: np.ndarray, whole: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts that lie in ``raw``, and which texts are not plain (and so have none).
 
-    Text i begins at ``first[i]`` and a zero byte follows it.  A run of white space gives its last blank to the word that
+    Text i begins at ``first[i]`` and a zero byte follows it; those in ``whole`` are not plain.  A run of white space gives its last blank to the word that
     follows; its last character, if no blank, is a word of its own there; what comes before, and a run that ends the text,
     is one word.
     """
@@ -61,6 +64,7 @@ def cut_words(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         inner = np.setdiff1d(zero, ends, assume_unique=True)
         odd[inner] = True
     strange = np.zeros(len(ends), bool)
+    strange[whole] = True
     strange[np.searchsorted(first, np.flatnonzero(odd), side="right") - 1] = True
     white, white_before, wordy_after = kind >= _BLANK, before >= _BLANK, (after >= _LETTER) & (after <= _MARK)
     start = (kind >= _LETTER) & (kind <= _MARK) & (kind != before) & (before != _BLANK)
@@ -120,17 +124,23 @@ class WordTable:
 
 
 class ByteBpe:
-    def __init__(self, config: str) -> None:
+    def __init__(self, config: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         parts = json.loads(config)
+        added = [x for x in parts.get("added_tokens") or [] if x["content"]]
+        self.added = [x["content"].encode() for x in added if not (special_as_text and x.get("special"))]
         pre = parts.get("pre_tokenizer") or {}
-        self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts.get("normalizer")
+        # words of letters are encoded in a row, so an added token must not be able to lie in such a row
+        self.plain = all(re.search(r"[^\w\s]", t.decode()) for t in self.added)
+        self.plain &= pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts.get("normalizer")
         #: the bytes that each id stands for (byte-level vocabularies have a character per byte)
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        for x in added:
+            self.lengths[x["id"]] = len(x["content"].encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -184,7 +194,8 @@ class ByteBpe:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
         raw = np.frombuffer(joined, np.uint8)
-        start, end, strange = cut_words(raw, first)
+        there = [t for t in self.added if t in joined]
+        start, end, strange = cut_words(raw, first, [i for i, x in enumerate(texts) if any(t in x for t in there)] if there else [])
         hashes = np.maximum(span_hashes(raw, start, end), np.uint64(1))
         at = self.table.find(hashes)
         missing = np.flatnonzero(at < 0)
@@ -205,15 +216,16 @@ class ByteBpe:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-_of_worker: dict[str, ByteBpe] = {}
+_of_worker: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def of_worker(config: str) -> ByteBpe:
+def of_worker(config: str, special_as_text: bool = False) -> ByteBpe:
     """This Python worker's encoder for a vocabulary; its cache serves all the tasks that the worker runs."""
-    if config not in _of_worker:
+    key = config, special_as_text
+    if key not in _of_worker:
         _of_worker.clear()
-        _of_worker[config] = ByteBpe(config)
-    return _of_worker[config]
+        _of_worker[key] = ByteBpe(*key)
+    return _of_worker[key]
 
 
 def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -181,13 +181,14 @@ BLOCK_SCHEMA = T.StructType([
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shards: int | None = None, block_ids: int = BLOCK_IDS
+    docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shards: int | None = None, block_ids: int = BLOCK_IDS,
+    special_as_text: bool = False,
 ) -> None:
     """Encode every whole text (null: empty), append ``end_id`` to each document, and write blocks in ascending id order.
 
     One shuffle, of the texts, to ranges of the id; the ranges come from approximate quantiles of the id column alone.
-    Null ids come first; rows that share an id are ordered by a hash of their text.
-    """
+    Null ids come first; rows that share an id are ordered by a hash of their text; an empty table writes no blocks.
+    """
     spark = docs.sparkSession
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col(quoted(id_col)).cast("long").alias("i"))
@@ -199,7 +200,7 @@ def write(
     dealt = rows.withColumn("s", shard.cast("int")).repartitionById(n, F.col("s")).sortWithinPartitions("s", F.col("i").asc_nulls_first(), F.xxhash64("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = of_worker(config.value)
+        bpe = of_worker(config.value, special_as_text)
         terminals = bpe.tokenizer.get_vocab_size()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         at: list[int] = [-1, 0, 0]  # shard, block, ids before it
@@ -250,7 +251,7 @@ def _number_below(value: Column, bounds: list[int]) -> Column:
 def read(spark: SparkSession, path: str, end_id: int | None = 0) -> DataFrame:
     """Per document, decoded from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 
-    A block knows the ids before it in its shard, so only the shards' totals are summed up; the payloads stay where they are.
+    A row for every row written, repeated ones included; ``doc_id`` is null where it was.  A block knows the ids before it in its shard, so only the shards' totals are summed up; the payloads stay where they are.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     offsets, total = {}, 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.bpe import of_worker, shipped
-from inkwell.llm.text import map_texts, quoted
+from inkwell.llm.text import kept_columns, map_texts, quoted
 
 #: first: to the section with the token's first byte; last: with its last; most: with most of its bytes (the first, if
 #: equal); split: shared out in proportion to its bytes.
@@ -52,30 +52,30 @@ def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndar
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_path: str, *, keep: list[str] | None = None, fields: tuple[str, ...] = ("text",), rule: str = "first", sections: bool = True
+    docs: DataFrame, tokenizer_path: str, *, keep: list[str] | None = None, fields: tuple[str, ...] = ("text",), rule: str = "first", sections: bool = True, special_as_text: bool = False
 ) -> DataFrame:
     """One row per section: ``keep``, ``field``, ``section`` (from 0), ``char_start``, ``char_end``, ``n_tokens``, ``n_crossing``.
 
     A section is a line with its line feed (``sections=False``: the whole field); the line feed that joins two fields
     belongs to the end of the first.  Places count from the start of the joined text.  A null or empty field has one
     empty section with no tokens, so no document is lost; the tokens of a document always add up to its encoding.
-    ``n_crossing`` counts the tokens with a byte in the section and one outside.  Read in place, no shuffle.
+    ``n_crossing`` counts the tokens with a byte in the section and one outside.  Repeated rows are counted each, an empty
+    table has no sections, and input columns named like a result are replaced.  Read in place, no shuffle.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    keep = ["doc_id"] if keep is None else keep
-    own = {"field", "section", "char_start", "char_end", "n_tokens", "n_crossing"}
-    keep = [c for c in keep if c.lower() not in own]
+    kept, columns, own = kept_columns(docs, ["doc_id"] if keep is None else keep, {"field", "section", "char_start", "char_end", "n_tokens", "n_crossing"})
+    keep = [f.name for f in own]
     config = shipped(docs.sparkSession, tokenizer_path)
     names = list(fields)
     values = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in names]
-    source = docs.select(*[F.col(quoted(c)) for c in keep], F.concat_ws("\n", *values).alias("__joined"), F.array(*[F.octet_length(v) for v in values]).alias("__sizes"))
+    source = docs.select(*columns, F.concat_ws("\n", *values).alias("__joined"), F.array(*[F.octet_length(v) for v in values]).alias("__sizes"))
     # the sizes ride in front of the text, so that one column of whole texts goes to Python
     source = source.withColumn("__joined", F.concat(F.concat_ws(",", "__sizes"), F.lit("\n"), F.col("__joined")))
     row = T.StructType([T.StructField("field", T.StringType()), *[T.StructField(c, T.IntegerType() if c == "section" else T.LongType()) for c in ("section", "char_start", "char_end")], T.StructField("n_tokens", T.DoubleType()), T.StructField("n_crossing", T.LongType())])
 
     def make():
-        bpe = of_worker(config.value)
+        bpe = of_worker(config.value, special_as_text)
         length = bpe.lengths
 
         def work(texts: list[bytes]) -> list:
@@ -114,6 +114,7 @@ def token_counts(
         return work
 
     counted = map_texts(source, "__joined", keep, [T.StructField("__rows", T.ArrayType(row))], make)
-    counted = counted.select(*[F.col(quoted(c)) for c in keep], F.explode("__rows").alias("__row"))
+    counted = counted.select(*keep, F.explode("__rows").alias("__row"))
     tokens = F.col("__row.n_tokens") if rule == "split" else F.col("__row.n_tokens").cast("long").alias("n_tokens")
-    return counted.select(*[F.col(quoted(c)) for c in keep], "__row.field", "__row.section", "__row.char_start", "__row.char_end", tokens, "__row.n_crossing")
+    found = counted.select(*keep, "__row.field", "__row.section", "__row.char_start", "__row.char_end", tokens, "__row.n_crossing")
+    return found.toDF(*kept, *found.columns[len(keep) :])

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from inkwell.llm import repair_store, token_counts
 from inkwell.llm.bpe import ByteBpe
@@ -20,11 +21,28 @@ def bpe():
         return ByteBpe(f.read())
 
 
-def wanted(bpe, texts):
-    return [e.ids for e in bpe.tokenizer.encode_batch(texts, add_special_tokens=False)]
+FRESH = {False: Tokenizer.from_file(PATH), True: Tokenizer.from_file(PATH)}
+FRESH[True].encode_special_tokens = True
 
 
-@given(st.lists(st.text(alphabet="aB \n\t.,'stl1é×Ω漢\x00", max_size=15), max_size=8))
+def wanted(bpe, texts, special_as_text=False):
+    """By a tokenizer of its own, straight from the file."""
+    return [e.ids for e in FRESH[special_as_text].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_special_tokens():
+    text = "hello <|endoftext|> world"
+    for as_text, ids in ((False, [31373, 220, 50256, 995]), (True, [31373, 1279, 91, 437, 1659, 5239, 91, 29, 995])):
+        with open(PATH, encoding="utf-8") as f:
+            bpe = ByteBpe(f.read(), as_text)
+        texts = [text, "hello world", "<|endoftext|>" * 3, "a<|endoftext|>b <|endoftext|", ""]
+        found, counts = bpe.encode([t.encode() for t in texts])
+        assert found[: counts[0]].tolist() == ids
+        assert found.tolist() == [i for x in wanted(bpe, texts, as_text) for i in x]
+        assert bpe.lengths[found].sum() == sum(map(len, texts))
+
+
+@given(st.lists(st.text(alphabet="aB \n\t.,'stl1é×Ω漢\x00", max_size=15) | st.sampled_from(["<|endoftext|>", "a <|endoftext|> b"]), max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_ids_are_the_librarys(bpe, texts):
     ids, counts = bpe.encode([t.encode() for t in texts])
@@ -141,6 +159,9 @@ def test_token_counts_table(spark, bpe):
     joined = {1: ["\nx"], 2: ["a\nb\n\n"] * 2, 3: ["é\n漢字\nzz\ny"]}
     assert totals == {i: sum(map(len, wanted(bpe, t))) for i, t in joined.items()}
     assert token_counts.token_counts(docs.limit(0), PATH).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "j", "r", 7, "f")], "doc_id long, text string, __joined string, __rows string, __sizes int, field string")
+    row = token_counts.token_counts(clash, PATH, keep=clash.columns).first()
+    assert (row["__joined"], row["__rows"], row["__sizes"], row.field, row.text, row.n_tokens) == ("j", "r", 7, "text", "a b", 2)
     assert token_counts.token_counts(docs, PATH, sections=False).where("doc_id = 1").first().n_tokens == 0
 
 
