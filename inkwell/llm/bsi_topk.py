@@ -9,6 +9,7 @@ left at the boundary, which are tied exactly, by id.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -186,7 +187,8 @@ def top_k(
     Queries are the rows that ``query_filter`` (a function of the id column; default all) holds for, candidates all rows
     but those with the query's id; ties go to the smaller id.  Rows with a null id or vector, or a null or non-finite
     component, take no part; an empty vector takes part with score 0; vectors of different lengths never meet.  Repeated
-    rows are candidates of their own; repeated queries give repeated answers only once.  Every block of rows meets every
+    rows are candidates of their own.  A query is an id with a quantised vector: rows that share both are answered once, rows
+    that share the id only are answered each by itself (their answers differ by nothing but score).  Every block of rows meets every
     block of queries once; a task holds one index block and one query block at a time.
     """
     spark = vectors.sparkSession
@@ -197,10 +199,11 @@ def top_k(
     # as few partitions as fill their blocks: a block's bitmaps are added at a cost per slice, however short
     index = saved(_blocks(rows.coalesce(max(1, vectors.count() // block_rows)), block_rows, scale), "index")
     asked = rows.where(query_filter(F.col("i"))) if query_filter else rows
+    asked = asked.select("i", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     asked = saved(asked.distinct(), "queries")
     n_asked = asked.count()
     each = min(block_queries, max(LEAST_QUERIES, -(-n_asked // groups)))
-    asked = _blocks(asked.coalesce(max(1, n_asked // each)), each, scale)
+    asked = _blocks(asked.coalesce(max(1, n_asked // each)), each, 1.0)
     # index blocks are dealt to groups of tasks; if there are few, each goes to several tasks, which share the queries
     index = index.select(F.pmod(F.hash("name"), F.lit(groups)).alias("g"), F.col("name").alias("index_name"), "dims", F.col("payload").alias("index_payload"))
     holding = [r[0] for r in index.select("g").distinct().collect()]  # as many as groups at most
@@ -209,7 +212,7 @@ def top_k(
     asked = asked.select(F.explode(F.lit(holding or [0]).cast("array<int>")).alias("g"), "dims", F.pmod(F.hash("name"), F.lit(shares)).alias("q"), F.col("payload").alias("query_payload"))
     # a merge join gives all query blocks of an index block in a row, and spills if they are many
     pairs = index.join(asked.hint("merge"), ["g", "q", "dims"])
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None, None]
@@ -218,16 +221,17 @@ def top_k(
                 if last[0] != (name := name.as_py()):
                     last[:] = [name, Index(*_unpacked(blob.as_py()))]
                 part: Index = last[1]
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for query_id, query in zip(*_unpacked(queries.as_py()), strict=True):
                     at = part.top(query, k, int(query_id))
                     out[0].extend([query_id] * len(at))
-                    out[1].extend(part.ids[at])
-                    out[2].extend(part.values[at] @ query)
+                    out[1].extend([int.from_bytes(hashlib.md5(query.tobytes()).digest()[:8], "little", signed=True)] * len(at))
+                    out[2].extend(part.ids[at])
+                    out[3].extend(part.values[at] @ query)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in out], names=schema.names)
 
     found = pairs.select("index_name", "index_payload", "query_payload").mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

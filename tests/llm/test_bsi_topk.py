@@ -40,5 +40,12 @@ def test_few_rows(spark):
     assert answers(spark, [(0, []), (1, []), (2, [1.0])], query_filter=lambda i: i == 0) == [(0, 1, 1, 0)]
 
 
+def test_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0001]), (1, [3.0, 2.0]), (2, [1.0, 4.0]), (2, [1.0, 4.0])]
+    found = answers(spark, rows, k=2, query_filter=lambda i: i % 50 == 0)
+    one, two = [(50, 1, 1, 3 << 16), (50, 2, 2, 1 << 16)], [(50, 1, 2, 4 << 16), (50, 2, 2, 4 << 16)]
+    assert found == sorted(one + two)
+
+
 def test_query(spark):
     assert differences(spark, "/root/testdata/sf0.001", op5_exact_topk, OP5_SQL) == []
