@@ -51,13 +51,13 @@ FROM clean
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every whole text, decoded again; a digest of each one's ids."""
-    return sampled_and_decoded(table(spark, sf_dir, "documents"))
+    """Every whole text's own encoding (sample 0) and two distinct sampled ones, decoded again; a digest of each one's ids."""
+    rows = encoded(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "gumbel", "inclusion", "round_trip")
 
 
-def sampled_and_decoded(docs: DataFrame) -> DataFrame:
-    samples = sp_lattice.sample(docs, tokenizer_path("piece_bpe_32k.model"), k=2)
-    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "gumbel", "inclusion", "round_trip")
+def encoded(docs: DataFrame, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return sp_lattice.sample(docs, tokenizer_path("piece_bpe_32k.model"), k=2, own=True, keep=keep, key_col=key_col, text_col=text_col)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

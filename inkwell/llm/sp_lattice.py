@@ -109,6 +109,78 @@ def _piece_hash(text: str) -> int:
     return int(mixed(np.array([h], np.uint64))[0])
 
 
+def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of normalised texts in a row, where their words start and end and what they hash to, and the words before each
+    text (with the total).  A word is a run of word marks with what follows up to the next mark."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\xff".join([*parts, b""])  # a byte that no text has
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    raw = np.frombuffer(joined, np.uint8)
+    lead = np.flatnonzero(raw[:-2] == 0xE2) if len(raw) > 2 else np.empty(0, np.int64)
+    lead = lead[(raw[lead + 1] == 0x96) & (raw[lead + 2] == 0x81)]
+    start = np.zeros(len(raw), bool)
+    start[lead[np.diff(lead, prepend=-9) != 3]] = True  # a mark right after another one begins no word
+    full = size > 0
+    start[begin[:-1][full]] = True
+    edge = start.copy()
+    edge[begin[1:] - 1] = True
+    at = np.flatnonzero(edge)
+    real = np.flatnonzero(start[at])
+    start, end = at[real], at[real + 1] if len(real) else at[real]
+    hashes = np.maximum(span_hashes(raw, start, end), np.uint64(1))
+    return raw, start, end, hashes, np.searchsorted(start, begin)
+
+
+class Encoder:
+    """The library's own encoding, with a cache of words.
+
+    Where no piece goes over from a word to the next one and normalising does no more than to turn blanks into marks, the
+    ids of a text are the ids of its words in turn, and each distinct word goes to the library once; else whole texts do.
+    """
+
+    #: Words kept; the cache starts anew beyond that.
+    MOST_WORDS = 1_000_000
+
+    def __init__(self, proto: bytes) -> None:
+        import sentencepiece
+
+        self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.by_words = sp.normalize(" a  b ") == f"{MARK}{MARK}a{MARK}{MARK}b{MARK}" and not any(MARK in t.lstrip(MARK) for t in pieces)
+        self.blank = sp.encode("a ")[len(sp.encode("a")) :]  # of a mark alone
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.begin, self.size, self.ids = WordTable(), _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+
+    def encode(self, texts: list[str], normal: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each; ``normal`` are the normalised texts, if at hand."""
+        if not self.by_words:
+            lists = [np.array(x, np.int32) for x in self.processor.encode(texts)]
+            return np.concatenate([np.empty(0, np.int32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
+        if len(self.begin) > self.MOST_WORDS:
+            self._clear()
+        raw, start, end, hashes, first_word = cut_words(normal if normal is not None else [self.processor.normalize(t) for t in texts])
+        number = self.table.find(hashes)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, where = np.unique(hashes[missing], return_index=True)
+            where = missing[where]
+            # the library puts the first mark back, but for a text of nothing else
+            own = [raw[a:b].tobytes().decode()[1:].replace(MARK, " ") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+            lists = [x if t else self.blank for t, x in zip(own, self.processor.encode(own), strict=True)]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.begin.extend(len(self.ids) + np.cumsum(size) - size)
+            self.size.extend(size)
+            self.ids.extend(np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())))
+            self.table.add(new)
+            number[missing] = self.table.find(hashes[missing])
+        size = self.size.all()[number]
+        cut = np.concatenate([[0], np.cumsum(size)])[first_word]
+        return self.ids.all()[gathered(self.begin.all()[number], size)], np.diff(cut)
+
+
 class Lattice:
     """Lattices of distinct words, one after the other; words are added as they come, and kept for later texts.
 
@@ -235,29 +307,10 @@ class Lattice:
             at += many
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of every word of every normalised text in turn, and the words before each text (with the total).
-
-        A word is a run of word marks with what follows up to the next mark.
-        """
+        """The number of every word of every normalised text in turn, and the words before each text (with the total)."""
         if len(self.first) > self.MOST_NODES:
             self.forget() if len(self.extra) < self.MOST_NODES else self.clear()
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-        joined = b"\xff".join([*parts, b""])  # a byte that no text has
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.concatenate([[0], np.cumsum(size + 1)])
-        raw = np.frombuffer(joined, np.uint8)
-        lead = np.flatnonzero(raw[:-2] == 0xE2) if len(raw) > 2 else np.empty(0, np.int64)
-        lead = lead[(raw[lead + 1] == 0x96) & (raw[lead + 2] == 0x81)]
-        start = np.zeros(len(raw), bool)
-        start[lead[np.diff(lead, prepend=-9) != 3]] = True  # a mark right after another one begins no word
-        full = size > 0
-        start[begin[:-1][full]] = True
-        edge = start.copy()
-        edge[begin[1:] - 1] = True
-        at = np.flatnonzero(edge)
-        real = np.flatnonzero(start[at])
-        start, end = at[real], at[real + 1] if len(real) else at[real]
-        hashes = np.maximum(span_hashes(raw, start, end), np.uint64(1))
+        raw, start, end, hashes, first_word = cut_words(texts)
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
@@ -270,7 +323,7 @@ class Lattice:
             number[missing] = self.table.find(hashes[missing])
         uses = self.uses.all()
         uses += np.bincount(number, minlength=len(uses)).astype(np.int32)
-        return number, np.searchsorted(start, begin)
+        return number, first_word
 
     def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Build the lattices of the words at these byte places, a bounded number of characters at once."""
@@ -524,63 +577,78 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-_of_worker: dict[tuple[str, float], tuple[Lattice, Decoder]] = {}
+_of_worker: dict[tuple[str, float], tuple[Lattice, Encoder, Decoder]] = {}
 
 
-def of_worker(proto: bytes, alpha: float) -> tuple[Lattice, Decoder]:
-    """This Python worker's lattice of words and decoder for a model; they serve all the tasks that the worker runs."""
+def of_worker(proto: bytes, alpha: float = 1.0) -> tuple[Lattice, Encoder, Decoder]:
+    """This Python worker's lattice of words, encoder and decoder for a model; they serve all the tasks that the worker runs."""
     key = hashlib.sha256(proto).hexdigest(), alpha
     if key not in _of_worker:
         _of_worker.clear()
-        _of_worker[key] = Lattice(Pieces(proto, alpha)), Decoder(proto)
+        _of_worker[key] = Lattice(Pieces(proto, alpha)), Encoder(proto), Decoder(proto)
     return _of_worker[key]
 
 
-def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha: float = 1.0, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha: float = 1.0, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text", own: bool = False) -> DataFrame:
     """k rows per text: ``keep``, ``sample`` (from 1), ``ids``, ``log_prob``, ``gumbel``, ``inclusion``, ``round_trip``.
 
-    ``round_trip`` tells whether decoding the ids gives the text back (as the model normalises it).
+    ``round_trip`` tells whether decoding the ids gives the text back (as the model normalises it).  With ``own`` the
+    library's own encoding comes as sample 0 before them, without scores.
 
     Whole texts; a null one counts as empty, and an empty one has one segmentation without ids.  Random numbers come from
     the seed and the row's key alone: the same row gives the same samples on any cluster, and rows that share key and text
     share them.  Texts with fewer than k segmentations give all of them.  Read in place, no shuffle.
     """
     results = ["sample", "ids", "log_prob", "gumbel", "inclusion", "round_trip"]
-    keep, columns, own = kept_columns(docs, ["doc_id"] if keep is None else keep, set(results))
+    keep, columns, fields = kept_columns(docs, ["doc_id"] if keep is None else keep, set(results))
     proto = shipped(docs.sparkSession, model_path)
     source = docs.select(*columns, F.xxhash64(F.lit(seed), F.col(quoted(key_col))).alias("__key"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType(own + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")] + [T.StructField("round_trip", T.BooleanType())])
+    schema = T.StructType(fields + [T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "gumbel", "inclusion")] + [T.StructField("round_trip", T.BooleanType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, decoder = of_worker(proto.value, alpha)
+        lattice, encoder, decoder = of_worker(proto.value, alpha)
         for batch in batches:
             for part, texts in chunks(batch, "__text", 1 << 19):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
-                normal = [lattice.pieces.normalized(t.decode("utf-8", "replace")) for t in texts]
+                texts = [t.decode("utf-8", "replace") for t in texts]
+                normal = [lattice.pieces.normalized(t) for t in texts]
                 found = Samples(normal, keys, lattice, k)
-                back = [decoder.marked(x) == t for t, mine in zip(normal, found.ids, strict=True) for x in mine]
-                counts = [len(x) for x in found.ids]
+                scores = [found.log_prob, found.gumbel, found.inclusion]
+                lists = found.ids
+                if own:
+                    flat, size = encoder.encode(texts, normal)
+                    lists = [[x, *mine] for x, mine in zip(np.split(flat, np.cumsum(size)[:-1]), lists, strict=True)]
+                    scores = [[[None, *mine] for mine in x] for x in scores]
+                back = [decoder.marked(x) == t for t, mine in zip(normal, lists, strict=True) for x in mine]
+                counts = [len(x) for x in lists]
                 rows = pa.array(np.repeat(np.arange(len(texts)), counts))
-                ids = [x for mine in found.ids for x in mine]
+                ids = [x for mine in lists for x in mine]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-                numbers = pa.array([i + 1 for n in counts for i in range(n)], pa.int32())
-                floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in (found.log_prob, found.gumbel, found.inclusion)]
-                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, lists, *floats, pa.array(back, pa.bool_())], names=names)
+                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+                numbers = pa.array([i + (not own) for n in counts for i in range(n)], pa.int32())
+                floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in scores]
+                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, arrays, *floats, pa.array(back, pa.bool_())], names=names)
 
     return source.mapInArrow(tidied(run), schema).toDF(*keep, *results)
 
 
 def encode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus ``ids``: the library's own encoding of each whole text (null: empty)."""
+    """``keep`` columns plus ``ids``: the library's own encoding of each whole text.
+
+    A null text counts as empty and has no ids; repeated rows get a row each; an empty table gives an empty one; an input
+    column ``ids`` is replaced.  Read in place, no shuffle.
+    """
     proto = shipped(docs.sparkSession, model_path)
 
     def make():
-        import sentencepiece
+        encoder = of_worker(proto.value)[1]
+
+        def work(texts: list[bytes]) -> list:
+            ids, size = encoder.encode([t.decode("utf-8", "replace") for t in texts])
+            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))]
 
-        sp = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
-        return lambda texts: [[sp.encode(t.decode("utf-8", "replace")) for t in texts]]
+        return work
 
     return map_texts(docs, text_col, ["doc_id"] if keep is None else keep, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
 
@@ -626,7 +694,7 @@ def decode(encoded: DataFrame, model_path: str, *, keep: list[str], ids_col: str
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(proto.value)
+        decoder = of_worker(proto.value)[2]
         for batch in batches:
             column = batch.column(len(keep))
             out = [None if x is None or not x.is_valid else decoder.text(np.asarray(x.values.drop_null(), np.int64)) for x in column]

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkwell.llm import secret_scan, winnow
+from inkwell.llm import secret_scan, toxicity, winnow
 from inkwell.llm.queries import table
+from inkwell.llm.text import learned_fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,8 +67,18 @@ def test_encoding(steps):
     assert set(ids(steps["sentencepiece"])) == set(ids(steps["secrets"]))
 
 
+def test_toxic_documents_go(spark, steps):
+    """Those that the same classifier calls toxic, scored word by word."""
+    model = toxicity.fitted(steps["raw"], table(spark, SF, "labels"), learned_fold)
+    kept = set(ids(steps["toxicity"]))
+    for r in steps["raw"].collect():
+        words = {w: h for w, h in zip(*(lambda w: ([w.word(i) for i in range(len(w))], w.hash.tolist()))(winnow.Words([r.text.encode()])), strict=True)}
+        score = model.bias + sum(float(model.weight[h % toxicity.BUCKETS]) for h in {h % toxicity.BUCKETS: h for h in words.values()}.values())
+        assert (score < 0) == (r.doc_id in kept) or abs(score) < 1e-3
+
+
 def test_run_gives_the_same(spark, steps):
-    digest = lambda df: hashlib.sha256(repr(sorted((r.doc_id, r.sample, r.ids_hash) for r in df.collect())).encode()).hexdigest()
+    digest = lambda df: hashlib.sha256(repr(sorted((r.doc_id, r.sample, r.ids) for r in df.collect())).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, SF)) == digest(steps["sentencepiece"])
 
 
@@ -84,4 +95,21 @@ def test_odd_rows(spark, tmp_path):
             assert docs.count() == 3  # null and empty texts are copies of each other
     kept = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     assert kept[None] == ("[REDACTED] and more", 19) and kept[4] == ("clean text " * 3, 33)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 8  # three of two texts each, two of the empty one
+
+
+def test_clashing_columns_stay(spark):
+    """Columns named like those that operators add go through all stages as they are."""
+    added = ["score", "spans", "items", "predicted", "contaminated", "n_words", "n_hit", "hit_spans", "node", "id", "row", "label", "__text", "__k0", "new", "Doc_Id"]
+    docs = table(spark, SF, "documents").select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in added])
+    first = docs
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF).persist()
+            assert docs.dtypes == first.dtypes, name
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in added)
+        assert stage is not corpus_pipeline.STAGES[-1][1] and corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns[0] == "doc_id"
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")

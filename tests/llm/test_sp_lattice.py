@@ -2,12 +2,13 @@ import collections
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from inkwell.llm import sp_lattice
-from inkwell.llm.queries import op2_sentencepiece, tokenizer_path
+from inkwell.llm.queries import op2_sentencepiece, table, tokenizer_path
 
-PATH = tokenizer_path("piece_bpe_32k.model")
+PATH, SF = tokenizer_path("piece_bpe_32k.model"), "/root/testdata/sf0.001"
 TEXTS = ["", "a", "the cats sat", "  two  blanks ", "Ж𐍈 漢\n\ttab", "x" * 300, "a▁b", "naïve café"]
 
 
@@ -96,7 +97,32 @@ def test_tables(spark):
     assert sp_lattice.sample(docs.limit(0), PATH).count() == 0
 
 
+@given(st.lists(st.text(alphabet="aBthe \n▁,.é漢🙂\x00", max_size=25), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_encoding_is_the_librarys(texts):
+    texts = [t.replace("▁", "") for t in texts] + texts
+    for most in (3, 1_000_000):
+        encoder.MOST_WORDS = most
+        ids, size = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == encoder.processor.encode(texts) if texts else not len(ids)
+
+
+encoder = sp_lattice.Encoder(open(PATH, "rb").read())
+
+
 def test_query(spark):
-    rows = op2_sentencepiece(spark, "/root/testdata/sf0.001")
-    assert rows.where(~F.col("round_trip")).count() == 0
-    assert rows.groupBy("doc_id").agg(F.countDistinct("ids_hash").alias("n")).where("n <> 2").count() == 0
+    """The library's own ids by a processor of its own, and the samples decoded by it."""
+    rows = op2_sentencepiece(spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    counts = collections.Counter((r.doc_id, r.sample) for r in rows)
+    assert set(counts.values()) == {1} and {i for i, _ in counts} == set(docs) and all(r.round_trip for r in rows)
+    for r in rows:
+        if r.sample == 0:
+            assert r.n_tokens == len(encoder.processor.encode(docs[r.doc_id])) and r.log_prob is None
+    samples = sp_lattice.sample(table(spark, SF, "documents"), PATH, k=2, own=True).collect()
+    for r in samples:
+        assert encoder.processor.decode(r.ids) == docs[r.doc_id]
+        assert r.sample or r.ids == encoder.processor.encode(docs[r.doc_id])
+    for i, text in docs.items():
+        mine = [tuple(r.ids) for r in samples if r.doc_id == i and r.sample]
+        assert len(set(mine)) == len(mine) == (2 if text else 1)
