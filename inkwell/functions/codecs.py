@@ -5,9 +5,12 @@ They run once per book inside Arrow UDFs; every function takes and returns plain
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: Limits of the heuristics.
 MOST_TABLE_SYMBOLS, MOST_SCANNED_SYMBOLS, MOST_ENTRIES, MOST_UNCOUNTED_ENTRIES, MOST_ENTRY_BYTES = 10_000, 5_000, 100_000, 50_000, 4096
 PROBED_CHARS, PROBED_CJK_CHARS, FEW_REPLACEMENTS, LEAST_CJK = 10_000, 200, 5, 2
@@ -67,6 +70,10 @@ def text_start(record0: bytes) -> int:
 # ---- LZ77 ----
 
 
+#: A blank and a letter in one code.
+_SPACED = [bytes((0x20, code ^ 0x80)) for code in range(0xC0, 0x100)]
+
+
 def lz77_into(data: bytes, out: bytearray) -> None:
     """Decode one record after what is already in ``out``; references reach back over records."""
     at, end = 0, len(data)
@@ -79,8 +86,7 @@ def lz77_into(data: bytes, out: bytearray) -> None:
         elif code < 0x80:
             out.append(code)
         elif code >= 0xC0:
-            out.append(0x20)
-            out.append(code ^ 0x80)
+            out += _SPACED[code - 0xC0]
         else:
             if at >= end:
                 return
@@ -94,9 +100,8 @@ def lz77_into(data: bytes, out: bytearray) -> None:
                 out += b" " * size
             elif back >= size:
                 out += out[start : start + size]
-            else:
-                for i in range(size):
-                    out.append(out[start + i])
+            else:  # the copy runs into itself
+                out += (out[start:] * size)[:size]
 
 
 def lz77(records: Iterable[bytes]) -> bytes:
@@ -106,31 +111,45 @@ def lz77(records: Iterable[bytes]) -> bytes:
     return bytes(out)
 
 
-def lz77_packed(data: bytes) -> bytes:
-    """An encoder for fixtures and for writing books: greedy matches of 3 to 10 bytes up to 2,047 back."""
-    out, at, seen = bytearray(), 0, {}
-    while at < len(data):
-        key = data[at : at + 3]
-        back = at - seen.get(key, -1 << 20)
-        if len(key) == 3 and 0 < back <= 2047:
+def lz77_single(data: bytes, size: int) -> bytes:
+    """One record alone, cut off at ``size`` bytes."""
+    return lz77([data])[:size]
+
+
+def lz77_packed(data: bytes, record_bytes: int | None = None) -> list[bytes]:
+    """An encoder for fixtures and for writing books: greedy matches of 3 to 10 bytes up to 2,047 back.
+
+    The text of a record has about ``record_bytes`` bytes (default: all are one record); references reach back over records.
+    """
+    text = np.frombuffer(data, np.uint8).astype(np.int64)
+    before = np.full(len(data), -1, np.int64)  # the last place before with the same three bytes
+    if len(data) > 3:
+        key = text[:-2] << 16 | text[1:-1] << 8 | text[2:]
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        before[order[same + 1]] = order[same]
+    before[np.arange(len(data)) - before > 2047] = -1
+    earlier = before.tolist()
+    records, out, at, begun, end = [], bytearray(), 0, 0, len(data)
+    while at < end:
+        if record_bytes and at - begun >= record_bytes:
+            records.append(bytes(out))
+            out, begun = bytearray(), at
+        if (place := earlier[at]) >= 0:
             size = 3
-            while size < 10 and at + size < len(data) and data[at + size - back] == data[at + size]:
+            while size < 10 and at + size < end and data[place + size] == data[at + size]:
                 size += 1
-            pair = 0x8000 | back << 3 | (size - 3)
-            out += bytes((pair >> 8, pair & 0xFF))
-        elif data[at] == 0x20 and at + 1 < len(data) and 0x40 <= data[at + 1] < 0x80:
+            out += (0x8000 | at - place << 3 | size - 3).to_bytes(2, "big")
+        elif data[at] == 0x20 and at + 1 < end and 0x40 <= data[at + 1] < 0x80:
             size = 2
             out.append(data[at + 1] ^ 0x80)
-        elif data[at] == 0 or 9 <= data[at] < 0x80:
-            size = 1
-            out.append(data[at])
         else:
             size = 1
-            out += bytes((1, data[at]))
-        for i in range(at, at + size):
-            seen[data[i : i + 3]] = i
+            if not (data[at] == 0 or 9 <= data[at] < 0x80):
+                out.append(1)
+            out.append(data[at])
         at += size
-    return bytes(out)
+    return [*records, bytes(out)]
 
 
 # ---- Huffman ----
@@ -264,15 +283,25 @@ def huffman_decoded(records: Iterable[bytes], codes: dict[int, tuple[int, int]],
 
     Bits that begin no code are given up as many at a time as the longest code has.
     """
-    spelt = {key: bytes((s,)) if s < 256 else entries.get(s - 256, b"") for s, key in codes.items()}
-    longest = max(n for _, n in codes.values())
-    decode = _by_table(spelt, longest) if longest <= TABLE_BITS else lambda data, out: _by_bits(data, out, spelt, longest)
-    out: list[bytes] = []
+    decode, out = _decoding(codes, entries), []
     for record in records:
         decode(record[data_start(record) :], out)
     return b"".join(out)
 
 
+def _decoding(codes: dict[int, tuple[int, int]], entries: dict[int, bytes]):
+    spelt = {key: bytes((s,)) if s < 256 else entries.get(s - 256, b"") for s, key in codes.items()}
+    longest = max(n for _, n in codes.values())
+    return _by_table(spelt, longest) if longest <= TABLE_BITS else lambda data, out: _by_bits(data, out, spelt, longest)
+
+
+@functools.lru_cache(maxsize=8)
+def _decoder(huff: bytes, cdic: bytes):
+    """The decoder of a pair of records, kept for the books that share them; None if either does not read."""
+    lengths, entries = code_lengths(huff), dictionary(cdic)
+    return _decoding(canonical_codes(lengths), entries) if lengths and entries else None
+
+
 def _by_bits(data: bytes, out: list[bytes], spelt: dict[tuple[int, int], bytes], longest: int) -> None:
     code = size = 0
     for byte in data:
@@ -286,33 +315,48 @@ def _by_bits(data: bytes, out: list[bytes], spelt: dict[tuple[int, int], bytes],
 
 
 def _by_table(spelt: dict[tuple[int, int], bytes], longest: int):
-    """A decoder that looks up the next ``longest`` bits; of codes that fit, the shortest counts."""
+    """A decoder that looks up the next ``longest`` bits; of codes that fit, the shortest counts.
+
+    What TABLE_BITS bits at once give is worked out when they are first met, and kept.
+    """
     table: list[tuple[bytes, int] | None] = [None] * (1 << longest)
     for (code, size), found in sorted(spelt.items(), key=lambda item: item[0][1]):
-        free = longest - size
         if code < 1 << size:
+            free = longest - size
             for window in range(code << free, code + 1 << free):
                 if table[window] is None:
                     table[window] = found, size
+    met: dict[int, tuple[bytes, int]] = {}
+    last = (1 << longest) - 1
+
+    def several(bits: int) -> tuple[bytes, int]:
+        parts, used = [], 0
+        while used + longest <= TABLE_BITS:
+            found = table[bits >> TABLE_BITS - longest - used & last]
+            used += longest if found is None else found[1]
+            parts.append(b"" if found is None else found[0])
+        met[bits] = b"".join(parts), used
+        return met[bits]
 
     def decode(data: bytes, out: list[bytes]) -> None:
         bits = held = 0
-        for byte in data:
-            bits, held = bits << 8 | byte, held + 8
-            while held >= longest:
-                found = table[bits >> held - longest]
-                if found is None:
-                    held -= longest
-                else:
-                    out.append(found[0])
-                    held -= found[1]
+        for at in range(0, len(data), 6):
+            part = data[at : at + 6]
+            bits, held = bits << 8 * len(part) | int.from_bytes(part, "big"), held + 8 * len(part)
+            while held >= TABLE_BITS:
+                window = bits >> held - TABLE_BITS
+                found, used = met.get(window) or several(window)
+                out.append(found)
+                held -= used
                 bits &= (1 << held) - 1
-        while held:  # fewer bits than the longest code has are left
-            found = table[bits << longest - held]
-            if found is None or found[1] > held:
+        while held:
+            found = table[(bits >> held - longest if held >= longest else bits << longest - held) & last]
+            used = longest if found is None else found[1]
+            if used > held:  # fewer bits are left than the code has
                 return
-            out.append(found[0])
-            held -= found[1]
+            if found is not None:
+                out.append(found[0])
+            held -= used
             bits &= (1 << held) - 1
 
     return decode
@@ -334,12 +378,14 @@ def huffman_text(records: list[bytes]) -> bytes | None:
             huff = record
         elif record[:4] == b"CDIC":
             cdic = record
-    lengths = code_lengths(huff) if huff and cdic else None
-    entries = dictionary(cdic) if huff and cdic else {}
-    if not lengths or not entries:
+    decode = _decoder(huff, cdic) if huff and cdic else None
+    if decode is None:
         return None
     body = [r for r in records if len(r) >= 4 and r[:4] not in (b"HUFF", b"CDIC") and not looks_like_image(r)]
-    decoded = huffman_decoded(body, canonical_codes(lengths), entries)
+    out: list[bytes] = []
+    for r in body:
+        decode(r[data_start(r) :], out)
+    decoded = b"".join(out)
     if plausible(decoded):
         return decoded
     plain = b"".join(r[data_start(r) :] for r in body)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of outer tags, page breaks and image references decide what is split, removed and replaced, and
+#: the whole book's title is shown.
 OUTER_TAGS = r"(?i)</?(?:html|body|head|meta|title|link)[^>]*>"
 PAGE_BREAK = r"""(?i)<\s*(?:mbp:)?pagebreak[^>]*>|<hr[^>]*class\s*=\s*['"]?pagebreak['"]?[^>]*>"""
 IMAGE_REFERENCE = r"""<img[^>]*filepos\s*=\s*['"]#?(\d+)['"][^>]*>"""
