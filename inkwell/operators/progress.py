@@ -1,7 +1,7 @@
 """Reading progress: messages, the debounced scroll position, the chapter cursor, and the latest state of each book.
 
-All of it is keyed; every aggregate combines on the map side, and no key's events are gathered except for the cursor, whose
-fold needs a key's events in order.
+All of it is keyed, and every aggregate combines on the map side.  The cursor folds a key's events by spans of time first, so
+that no key's events are gathered in one place.
 """
 
 from __future__ import annotations
@@ -42,16 +42,22 @@ def debounced(events: DataFrame, *, keys: list[str], ts_col: str = "ts", value_c
     return runs.select(*keys, F.col("__last.ts").alias("ts"), F.col("__last.value").alias("value"))
 
 
-def latest(events: DataFrame, *, keys: list[str], ts_col: str, value_cols: list[str]) -> DataFrame:
-    """The last event of each key."""
-    last = F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys([*value_cols, ts_col])]), F.col(ts_col)).alias("__last")
+def latest(events: DataFrame, *, keys: list[str], ts_col: str, value_cols: list[str], order_cols: list[str] | None = None) -> DataFrame:
+    """The last event of each key; of events of the same time that with the largest ``order_cols``, then values."""
+    wanted = list(dict.fromkeys([*value_cols, ts_col]))
+    order = F.struct(*[F.col(c) for c in dict.fromkeys([ts_col, *(order_cols or []), *value_cols])])
+    last = F.max_by(F.struct(*[F.col(c) for c in wanted]), order).alias("__last")
     return events.groupBy(*keys).agg(last).select(*keys, "__last.*")
 
 
 def upserted(store: DataFrame, updates: DataFrame) -> DataFrame:
-    """The store with the updates in it: the latest row of each book."""
-    both = store.unionByName(updates)
-    return latest(both, keys=["book_path"], ts_col="last_read", value_cols=["chapter_index", "scroll_percent"]).select(store.columns)
+    """The store with the updates in it: the latest row of each book; of the same time, an update's."""
+    both = store.withColumn("__new", F.lit(0)).unionByName(updates.withColumn("__new", F.lit(1)))
+    return latest(both, keys=["book_path"], ts_col="last_read", value_cols=["chapter_index", "scroll_percent"], order_cols=["__new"]).select(store.columns)
+
+
+#: The store's times keep their microseconds.
+_TIMES = ("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def loaded(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +66,11 @@ def loaded(spark: SparkSession, path: str) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], STORE)
-    return spark.read.schema(STORE).option("mode", "PERMISSIVE").json(path).where(F.col("book_path").isNotNull())
+    return spark.read.schema(STORE).option("mode", "PERMISSIVE").option(*_TIMES).json(path).where(F.col("book_path").isNotNull())
 
 
 def saved_to(store: DataFrame, path: str) -> None:
-    store.write.mode("overwrite").json(path)
+    store.write.mode("overwrite").option(*_TIMES).json(path)
 
 
 def restored(books: DataFrame, store: DataFrame, *, path_col: str = "path", chapters_col: str = "n_chapters") -> DataFrame:
@@ -75,11 +81,24 @@ def restored(books: DataFrame, store: DataFrame, *, path_col: str = "path", chap
     return joined.select(books["*"], F.when(fits, F.col("__c")).otherwise(0).alias("current_chapter"))
 
 
-def cursor(events: DataFrame, *, keys: list[str], last_chapter: Column, ts_col: str = "ts", type_col: str = "type", order_cols: list[str] | None = None) -> DataFrame:
-    """``keys`` and ``chapter``: where each key's prev and next events lead from chapter 0, staying within the book."""
+def cursor(
+    events: DataFrame, *, keys: list[str], last_chapter: Column, ts_col: str = "ts", type_col: str = "type", order_cols: list[str] | None = None, span: str = "1 hour"
+) -> DataFrame:
+    """``keys`` and ``chapter``: where each key's prev and next events lead from chapter 0, staying within the book.
+
+    ``last_chapter`` is the same for all events of a key.  Steps that stay within bounds compose to one such step (by, lowest
+    result, highest result), so the events of each ``span`` of time are folded to one, and a key's spans then in turn.
+    """
     order = [F.col(c) for c in [ts_col, *(order_cols or [])]]
     moves = events.where(F.col(type_col).isin("prev", "next"))
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.when(F.col(type_col) == "next", 1).otherwise(-1).alias("__step"))))
-    folded = moves.groupBy(*keys).agg(steps.alias("__steps"), F.max(last_chapter).alias("__last"))
-    at = F.aggregate("__steps", F.lit(0), lambda a, s: F.greatest(F.lit(0), F.least(F.col("__last").cast("int"), a + s["__step"])))
-    return folded.select(*keys, at.alias("chapter"))
+    rows = moves.select(*keys, F.window(F.col(ts_col).cast("timestamp"), span)["start"].alias("__span"), F.struct(*order, F.when(F.col(type_col) == "next", 1).otherwise(-1).alias("__step")).alias("__event"), last_chapter.cast("int").alias("__last"))
+    spans = rows.groupBy(*keys, "__span").agg(F.array_sort(F.collect_list("__event")).alias("__events"), F.max("__last").alias("__last"))
+    far = 1 << 30
+    within = lambda x: F.greatest(F.lit(0), F.least(F.col("__last"), x))
+    folded = F.aggregate(
+        "__events", F.struct(F.lit(0).alias("by"), F.lit(-far).alias("low"), F.lit(far).alias("high")),
+        lambda f, e: F.struct((f["by"] + e["__step"]).alias("by"), within(f["low"] + e["__step"]).alias("low"), within(f["high"] + e["__step"]).alias("high")),
+    )
+    steps = spans.select(*keys, F.struct("__span", folded.alias("f")).alias("__f")).groupBy(*keys).agg(F.array_sort(F.collect_list("__f")).alias("__fs"))
+    at = F.aggregate("__fs", F.lit(0), lambda a, s: F.greatest(s["f"]["low"], F.least(s["f"]["high"], a + s["f"]["by"])))
+    return steps.select(*keys, at.alias("chapter"))

@@ -42,7 +42,7 @@ def keep_store(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
     """Write a stream of progress rows into a store, the latest row of each book.
 
     Every batch writes a new version beside the old one and only then counts, so a batch that is run again after a failure
-    starts from the version before it.
+    starts from the version before it; versions before that one are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -50,20 +50,22 @@ def keep_store(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
         before = latest_version(spark, path, number)
         store = spark.read.schema(progress.STORE).parquet(f"{path}/v{before}") if before is not None else spark.createDataFrame([], progress.STORE)
         progress.upserted(store, batch.select(store.columns)).write.mode("overwrite").parquet(f"{path}/v{number}")
+        for old in [] if before is None else _versions(spark, path):
+            if old < before:
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
 def latest_version(spark, path: str, below: int | None = None) -> int | None:
     """The newest complete version of a store, older than ``below`` if given."""
+    return max((n for n in _versions(spark, path) if below is None or n < below), default=None)
+
+
+def _versions(spark, path: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return None
-    done = []
-    for entry in files.listStatus(top):
-        name = entry.getPath().getName()
-        if name[:1] == "v" and name[1:].isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-            done.append(int(name[1:]))
-    return max((n for n in done if below is None or n < below), default=None)
+    names = [entry.getPath().getName() for entry in files.listStatus(top)] if files.exists(top) else []
+    return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(top, f"{n}/_SUCCESS"))]

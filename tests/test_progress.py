@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -48,6 +49,27 @@ def test_cursor_stays_in_the_book(spark):
     assert sorted(map(tuple, found.collect())) == [("a", 1), ("b", 0)]
 
 
+def test_ties(spark):
+    rows = [("a", at(5), 1, 0.5), ("a", at(5), 3, 0.1), ("a", at(5), 2, 0.9)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp, n int, value double")
+    assert progress.latest(events, keys=["k"], ts_col="ts", value_cols=["value"], order_cols=["n"]).first().value == 0.1
+    store = spark.createDataFrame([("a", 9, 0.9, at(5)), ("b", 9, 0.9, at(6))], progress.STORE)
+    new = spark.createDataFrame([("a", 1, 0.1, at(5)), ("b", 1, 0.1, at(5))], progress.STORE)
+    assert sorted((r.book_path, r.chapter_index) for r in progress.upserted(store, new).collect()) == [("a", 1), ("b", 9)]
+
+
+def test_cursor_over_many_spans(spark):
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(3)}", T0 + timedelta(minutes=rng.randrange(6000)), rng.choice(["next", "next", "prev"]), i) for i in range(3000)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp, type string, n int")
+    for last in (0, 3, 40):
+        wanted = {}
+        for k, _, kind, _ in sorted(rows, key=lambda r: (r[1], r[3])):
+            wanted[k] = min(last, wanted.get(k, 0) + 1) if kind == "next" else max(0, wanted.get(k, 0) - 1)
+        found = progress.cursor(events, keys=["k"], last_chapter=F.lit(last), order_cols=["n"])
+        assert {r.k: r.chapter for r in found.collect()} == wanted
+
+
 def stream(spark, tmp_path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
