@@ -1,13 +1,14 @@
 """The book pipeline: containers to headers, metadata, text, images, chapters and pages.
 
-Everything stays on a book's row until a published table is exploded from it, so no step shuffles.  Headers, records,
-images and metadata fields are built-in expressions; text decoding and HTML run in Arrow UDFs, a few books at a time.
+Everything stays on a book's row until a published table is exploded from it, so no step shuffles and none joins: a book's
+cover and pictures are looked up in its row.  Headers, records, images and metadata fields are built-in expressions; text
+decoding and HTML run in Arrow UDFs, which get the columns they read and no others.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,18 +81,16 @@ def record_table(books: DataFrame) -> DataFrame:
     return books.select("path", F.explode("records").alias("r")).select("path", "r.*")
 
 
-def _per_book(source: DataFrame, schema: str | T.StructType, one: Callable[[dict], dict]) -> DataFrame:
-    """A function of one book's values, in small Arrow batches."""
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
+def _per_book(one: Callable[..., object], schema: str, *columns: Column) -> Column:
+    """A function of one book's values as a column.  Spark bounds the bytes of a batch; results go back a few books at a time."""
+    kind = T._parse_datatype_string(schema)
+    arrow = _arrow(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BOOKS_AT_ONCE):
-                rows = [one(r) for r in batch.slice(at, BOOKS_AT_ONCE).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+    def run(*values: pa.Array) -> pa.Array:
+        parts = [pa.array([one(*v) for v in zip(*(x.slice(at, BOOKS_AT_ONCE).to_pylist() for x in values), strict=True)], arrow) for at in range(0, len(values[0]), BOOKS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-    return source.mapInArrow(run, schema)
+    return F.arrow_udf(run, kind)(*columns)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -103,14 +102,12 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def with_exth(books: DataFrame) -> DataFrame:
-    """``path`` and ``exth``: the metadata entries, in order.  Only record 0 goes to Python."""
-    source = books.select("path", F.get("records", F.lit(0))["data"].alias("record0"), F.col("header.exth_at").alias("at"))
+    """The books with ``exth``: the metadata entries, in order.  Only record 0 goes to Python."""
 
-    def one(row: dict) -> dict:
-        found = codecs.exth_records(row["record0"] or b"", row["at"] or 0)
-        return {"path": row["path"], "exth": [{"ord": i, "tag": t, "length": n, "raw": raw} for i, (t, n, raw) in enumerate(found)]}
+    def one(record0: bytes | None, at: int | None) -> list[dict]:
+        return [{"ord": i, "tag": t, "length": n, "raw": raw} for i, (t, n, raw) in enumerate(codecs.exth_records(record0 or b"", at or 0))]
 
-    return _per_book(source, f"path string, exth {EXTH}", one)
+    return held(books, "exth", _per_book(one, EXTH, F.get("records", F.lit(0))["data"], F.col("header.exth_at")))
 
 
 def last_of(exth: Column, tag: int) -> Column:
@@ -118,15 +115,31 @@ def last_of(exth: Column, tag: int) -> Column:
     return F.try_element_at(F.filter(exth, lambda x: x["tag"] == tag), F.lit(-1))["raw"]
 
 
-def book_info(exth: DataFrame) -> DataFrame:
-    """One row per book: text fields (empty if missing), ``cover_index`` (-1), ``updated_at`` (last date that reads, or null)."""
+def _info_fields() -> list[Column]:
     entries = F.col("exth")
     fields = [F.coalesce(B.utf8_text(last_of(entries, tag)), F.lit("")).alias(name) for name, tag in TAGS.items()]
-    cover = B.big_endian(last_of(entries, COVER_TAG), 0, 4)
-    cover = F.when(cover >= 1 << 31, cover - (1 << 32)).otherwise(cover)
     dates = F.transform(F.filter(entries, lambda x: x["tag"] == UPDATED_TAG), lambda x: F.try_to_timestamp(B.utf8_text(x["raw"])))
     updated = F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(-1))
-    return exth.select("path", *fields, F.coalesce(cover, F.lit(-1)).cast("int").alias("cover_index"), updated.alias("updated_at"))
+    return [*fields, cover_index(entries).alias("cover_index"), updated.alias("updated_at")]
+
+
+def cover_index(exth: Column) -> Column:
+    """The record number in the last entry of the cover, -1 without one or if it has under four bytes."""
+    cover = B.big_endian(last_of(exth, COVER_TAG), 0, 4)
+    return F.coalesce(F.when(cover >= 1 << 31, cover - (1 << 32)).otherwise(cover), F.lit(-1)).cast("int")
+
+
+def book_info(exth: DataFrame, *, strict: bool = False) -> DataFrame:
+    """One row per book: text fields (empty if missing), ``cover_index`` (-1), ``updated_at`` (last date that reads, or null),
+    ``error``.
+
+    A cover entry of under four bytes is no number: ``error`` says so, and ``strict`` raises.
+    """
+    raw = last_of(F.col("exth"), COVER_TAG)
+    error = F.when(raw.isNotNull() & (F.octet_length(raw) < 4), F.lit("the cover entry is too short for a number"))
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat_ws(": ", "path", error)).cast("string"))
+    return exth.select("path", *_info_fields(), error.alias("error"))
 
 
 def image_list() -> Column:
@@ -146,62 +159,70 @@ def images(books: DataFrame) -> DataFrame:
     return books.select("path", F.explode(image_list()).alias("i")).select("path", F.col("i.idx").alias("record_idx"), "i.mime", "i.data")
 
 
-def covers(info: DataFrame, pictures: DataFrame) -> DataFrame:
-    """``info`` with ``cover_url``: the data URI of the image whose record number is the cover's; empty without one."""
-    mine = pictures.select(F.col("path").alias("p"), F.col("record_idx").alias("r"), B.data_uri(F.col("mime"), F.col("data")).alias("cover_url"))
-    joined = info.join(mine, (F.col("path") == F.col("p")) & (F.col("cover_index") == F.col("r")), "left")
-    return joined.select(info["*"], F.coalesce("cover_url", F.lit("")).alias("cover_url"))
+def covers(exth: DataFrame) -> DataFrame:
+    """Books with their metadata and ``cover_url``: the data URI of the image whose record number is the cover's; empty without one."""
+    rows = exth.select("path", *_info_fields(), image_list().alias("pictures"))
+    mine = F.get(F.filter("pictures", lambda x: x["idx"] == F.col("cover_index")), F.lit(0))
+    return rows.withColumn("cover_url", F.coalesce(B.data_uri(mine["mime"], mine["data"]), F.lit(""))).drop("pictures")
 
 
-def texts(books: DataFrame, *, repair: bool = True) -> DataFrame:
-    """``path``, ``html``, ``decoder``, ``charset`` of every readable book."""
-    source = books.where("status = 'OK'").select(
-        "path", F.col("header.compression").alias("compression"), F.col("header.text_encoding").alias("encoding"), F.col("image_start").alias("start"),
-        F.transform("records", lambda r: r["data"]).alias("records"),
-    )
+TEXT = "struct<html:string,decoder:string,charset:string,n_bytes:bigint>"
+
+
+def texts(books: DataFrame, *, repair: bool = True, pictures: bool = False) -> DataFrame:
+    """``path``, ``html``, ``decoder``, ``charset``, ``n_bytes`` (of the decoded records) of every readable book.
 
-    def one(row: dict) -> dict:
-        records = row["records"]
-        if row["compression"] == RAW:
-            data, decoder = b"".join(records[: row["start"]]), "raw"
-        elif row["compression"] == PALMDOC:
-            data, decoder = codecs.lz77([records[0][codecs.text_start(records[0]) :], *records[1 : row["start"]]]), "palmdoc"
+    With ``pictures`` the images go with it, for ``inlined``.
+    """
+
+    def one(records: list[bytes], compression: int, encoding: int, start: int) -> dict:
+        if compression == RAW:
+            data, decoder = b"".join(records[:start]), "raw"
+        elif compression == PALMDOC:
+            data, decoder = codecs.lz77([records[0][codecs.text_start(records[0]) :], *records[1:start]]), "palmdoc"
         else:
             data, decoder = codecs.mixed_text(records)
-        text, charset = codecs.decoded_text(data, row["encoding"], repair)
-        return {"path": row["path"], "html": codecs.cleaned(text), "decoder": decoder, "charset": charset}
+        text, charset = codecs.decoded_text(data, encoding, repair)
+        return {"html": codecs.cleaned(text), "decoder": decoder, "charset": charset, "n_bytes": len(data)}
 
-    return _per_book(source, "path string, html string, decoder string, charset string", one)
+    read = _per_book(one, TEXT, F.transform("records", lambda r: r["data"]), F.col("header.compression"), F.col("header.text_encoding"), F.col("image_start"))
+    more = [image_list().alias("pictures")] if pictures else []
+    return books.where("status = 'OK'").select("path", read.alias("t"), *more).select("path", "t.*", *(["pictures"] if pictures else []))
 
 
 def chaptered(found: DataFrame) -> DataFrame:
-    """``path``, ``html`` (with ids for made-up anchors), ``chapters``, ``strategy``; blank books have no chapters."""
+    """``found`` with ``html`` (with ids for made-up anchors), ``chapters``, ``strategy``; blank books have no chapters."""
 
-    def one(row: dict) -> dict:
-        source = row["html"] or ""
+    def one(source: str | None) -> dict:
+        source = source or ""
         if not source.strip():
-            return {"path": row["path"], "html": source, "chapters": [], "strategy": "blank"}
+            return {"html": source, "chapters": [], "strategy": "blank"}
         parts, strategy = html.chapters(source)
         rows = [{"idx": c.idx, "title": c.title, "anchor": c.anchor, "html_content": c.html_content} for c in parts]
-        return {"path": row["path"], "html": html.with_anchor_ids(source, parts), "chapters": rows, "strategy": strategy}
+        return {"html": html.with_anchor_ids(source, parts), "chapters": rows, "strategy": strategy}
 
-    return _per_book(found.select("path", "html"), f"path string, html string, chapters {CHAPTERS}, strategy string", one)
+    others = [F.col(c) for c in found.columns if c not in ("html", "chapters", "strategy")]
+    return found.select(*others, _per_book(one, f"struct<html:string,chapters:{CHAPTERS},strategy:string>", F.col("html")).alias("c")).select(*others, "c.*")
 
 
 def chapter_table(found: DataFrame) -> DataFrame:
     return found.select("path", "strategy", F.explode("chapters").alias("c")).select("path", "strategy", "c.*")
 
 
-def inlined(found: DataFrame, books: DataFrame) -> DataFrame:
-    """``found`` with image references in ``html`` replaced by the images (left join by book and record number)."""
-    pictures = books.select(F.col("path").alias("p"), image_list().alias("pictures"))
-    source = found.join(pictures, F.col("path") == F.col("p"), "left").select(found["*"], "pictures")
+def chapter_at(found: DataFrame, idx: Column) -> DataFrame:
+    """``path`` and the chapter with a number (from 0); none where the book has no such chapter."""
+    one = found.select("path", F.get("chapters", idx).alias("c"))
+    return one.where(F.col("c").isNotNull()).select("path", "c.*")
+
 
-    def one(row: dict) -> dict:
-        mine = {x["idx"]: (x["mime"], base64.b64encode(x["data"]).decode()) for x in row.pop("pictures") or []}
-        return row | {"html": html.with_images(row["html"] or "", mine).replace("\0", "")}
+def inlined(found: DataFrame) -> DataFrame:
+    """``found`` without ``pictures``, image references in ``html`` replaced by them; references to others stay."""
 
-    return _per_book(source, found.schema, one)
+    def one(source: str | None, pictures: list[dict] | None) -> str:
+        mine = {x["idx"]: (x["mime"], base64.b64encode(x["data"]).decode()) for x in pictures or []}
+        return html.with_images(source or "", mine).replace("\0", "")
+
+    return found.select(*[_per_book(one, "string", F.col("html"), F.col("pictures")).alias("html") if c == "html" else F.col(c) for c in found.columns if c != "pictures"])
 
 
 #: Label, background, text and link colour of each theme.
@@ -219,9 +240,22 @@ THEMES = [
 ]
 
 
+#: The style of a page, by element; the theme's colours, font size and line height come on top.
+STYLES = [
+    ("body", "padding: 15px 20px 30px 20px; max-width: 780px; margin: 0 auto; font-family: 'Georgia', 'Songti SC', 'Noto Serif SC', 'Source Han Serif SC', serif; word-wrap: break-word; overflow-wrap: break-word; -webkit-font-smoothing: antialiased"),
+    ("p", "margin: 0.3em 0; text-indent: 2em; text-align: justify"),
+    ("h1, h2, h3, h4", "margin: 0.8em 0 0.3em 0; font-weight: bold; text-indent: 0"),
+    ("img", "max-width: 100% !important; height: auto !important; display: block; margin: 1em auto; background-color: transparent"),
+    ("a", "text-decoration: none"),
+    ("blockquote", "margin: 0.5em 0; padding: 0.5em 1em; border-left: 3px solid rgba(0,0,0,.1); background-color: rgba(0,0,0,.02)"),
+    ("code, pre", "font-family: 'Consolas', 'Courier New', monospace; font-size: 0.9em"),
+]
+
+
 def css(theme: int = 0, font_size: int = 18, line_height: float = 1.6) -> str:
     _, background, color, link = THEMES[theme]
-    return f"body{{background-color:{background};color:{color};font-size:{font_size}px;line-height:{line_height};max-width:780px;margin:0 auto}} a{{color:{link}}} img{{max-width:100%}}"
+    chosen = {"body": f"background-color: {background}; color: {color}; font-size: {font_size}px; line-height: {line_height}; ", "a": f"color: {link}; "}
+    return "\n".join(f"{element} {{{chosen.get(element, '')}{style}}}" for element, style in STYLES)
 
 
 def anchors_json(chapters: Column) -> Column:
@@ -229,12 +263,17 @@ def anchors_json(chapters: Column) -> Column:
     return F.to_json(F.transform(chapters, lambda c: F.regexp_replace(c["anchor"], "^#+", "")))
 
 
+#: Seconds after which a page scrolls, in thousandths.
+SCROLL_AFTER = 100
+
+
 def pages(found: DataFrame, current: Column | None = None, style: str | None = None) -> DataFrame:
     """``path``, ``page``: the whole book as one HTML page that scrolls to the current chapter (from 0, clamped)."""
     at = S.clamped(current if current is not None else F.lit(0), F.size("chapters"))
     parts = [
-        F.lit(f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'/><style>{style or css()}</style></head><body>\n"), F.col("html"),
-        F.lit("\n<script>setTimeout(function(){var a="), anchors_json(F.col("chapters")), F.lit(", t=a["), at.cast("string"),
-        F.lit("], e=t&&(document.getElementById(t)||document.getElementsByName(t)[0]);if(e)e.scrollIntoView();},100);</script>\n</body></html>"),
+        F.lit("<!DOCTYPE html>\n<html><head><meta charset='utf-8'/><meta name='viewport' content='width=device-width, initial-scale=1.0'/>"),
+        F.lit(f"<style>{style or css()}</style></head><body>\n"), F.col("html"), F.lit("\n<script>setTimeout(() => {const a = "), anchors_json(F.col("chapters")),
+        F.lit(", t = a["), at.cast("string"), F.lit("], e = t && (document.getElementById(t) || document.getElementsByName(t)[0]); "),
+        F.lit(f"if (e) e.scrollIntoView({{behavior: 'instant', block: 'start'}});}}, {SCROLL_AFTER});</script>\n</body></html>"),
     ]
     return found.select("path", F.concat(*parts).alias("page"))

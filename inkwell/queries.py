@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import binary as B
 from inkwell.functions import codecs
 from inkwell.functions import strings as S
 from inkwell.operators import progress
+from inkwell.operators.codes import canonical_codes, end_offsets
 from inkwell.plans import books
 from inkwell.sources import books as source
 
@@ -48,16 +50,13 @@ def book_id(path: Column) -> Column:
     return path.cast("long")
 
 
-def packed_texts(docs: DataFrame, *, compression: int = 1, exth: Column | None = None, data: Column | None = None, encoding: int = 65001) -> DataFrame:
-    """``documents`` as containers: record 0, then the text in records of 4,096 bytes.
-
-    The text length, which nothing reads, stays 0: raw books include record 0, and a length with a byte ``<`` begins their html.
-    """
+def packed_texts(docs: DataFrame, *, compression: int = 1, text_length: int = 0, exth: Column | None = None, data: Column | None = None, encoding: int = 65001) -> DataFrame:
+    """``documents`` as containers: record 0, then the text in records of 4,096 bytes."""
     data = F.encode(as_html("text"), "utf-8") if data is None else data
     rows = docs.select(F.col("doc_id").cast("string").alias("path"), data.alias("data"), *([exth.alias("exth")] if exth is not None else []))
     rows = books.held(books.held(rows, "data", F.col("data")), "parts", source.chunked(F.col("data")))
     parts = F.col("parts")
-    head = source.record0(compression=compression, records=F.size(parts), encoding=encoding, exth=F.col("exth") if exth is not None else None)
+    head = source.record0(compression=compression, text_length=text_length, records=65, encoding=encoding, exth=F.col("exth") if exth is not None else None)
     return rows.select("path", source.packed(F.concat(F.lit("Book "), F.col("path")), F.concat(F.array(head), parts)).alias("content"))
 
 
@@ -76,10 +75,8 @@ SELECT doc_id, CAST(coalesce(o, 0) AS BIGINT) AS off, CAST(coalesce(lead(o) OVER
 """)
 def record_end_offsets(spark, sf_dir):
     """Ten documents make one file: each record ends where the next begins, the last at the file's end."""
-    w = Window.partitionBy(F.floor(F.col("doc_id") / 10)).orderBy("doc_id")
-    sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
-    offs = sized.select("doc_id", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    return offs.select("doc_id", "off", F.coalesce(F.lead("off").over(w), F.col("total")).alias("end_off"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    return end_offsets(sized, file=F.floor(F.col("doc_id") / 10), offset_col="doc_id").select("doc_id", "off", "end_off")
 
 
 @query(r"""
@@ -114,18 +111,11 @@ def pagebreak_split(spark, sf_dir):
 @query("""
 WITH s AS (SELECT doc_id AS symbol, CAST(1 + n_chars % 24 AS INTEGER) AS len FROM documents),
 c AS (SELECT symbol, len, coalesce(sum(CAST(1 AS HUGEINT) << (32 - len)) OVER (ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-SELECT symbol, len, CAST((before >> (32 - len)) & 4294967295 AS BIGINT) AS code FROM c
+SELECT symbol, len, code, reverse(lpad(bin(code), len, '0')) AS mirrored FROM (SELECT symbol, len, CAST((before >> (32 - len)) & 4294967295 AS BIGINT) AS code FROM c)
 """)
 def huffman_codes(spark, sf_dir):
-    """Canonical codes of a table with a symbol per document: one prefix sum per length, from the counts of the lengths."""
-    symbols = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("symbol"), (F.col("n_chars") % 24 + 1).cast("int").alias("len"))
-    lengths = symbols.groupBy("len").agg(F.count("*").alias("n"))  # 32 rows at most
-    w = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
-    begun = lengths.select("len", F.coalesce(F.sum(F.col("n") * F.expr("shiftleft(1L, 32 - len)")).over(w), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("len").orderBy("symbol")) - 1
-    placed = symbols.withColumn("place", place).join(F.broadcast(begun), "len")
-    code = (F.expr("shiftright(before, 32 - len)") + F.col("place")).bitwiseAND(0xFFFFFFFF)
-    return placed.select("symbol", "len", code.alias("code"))
+    """Canonical codes of a table with a symbol per document, and their bits in reverse."""
+    return canonical_codes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("symbol"), (F.col("n_chars") % 24 + 1).cast("int").alias("len")))
 
 
 @query("SELECT page_id, md5('data:image/jpeg;base64,' || to_base64(encode(html))) AS uri_md5 FROM pages")
@@ -170,7 +160,7 @@ SELECT doc_id, '<p>' || doc_id || '</p><img src=''data:image/png;base64,iVBOR29u
 def filepos_inline(spark, sf_dir):
     """Image references replaced by the images; the one to a record that is not there stays."""
     found = books.parsed(illustrated(table(spark, sf_dir, "documents")))
-    return books.inlined(books.texts(found).select("path", "html"), found).select(book_id(F.col("path")).alias("doc_id"), "html")
+    return books.inlined(books.texts(found, pictures=True)).select(book_id(F.col("path")).alias("doc_id"), "html")
 
 
 @query("""
@@ -178,7 +168,7 @@ SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'data:image/png;base64,iVBOR29uZQ=='
 """)
 def cover_lookup(spark, sf_dir):
     found = books.parsed(illustrated(table(spark, sf_dir, "documents")))
-    return books.covers(books.book_info(books.with_exth(found)), books.images(found)).select(book_id(F.col("path")).alias("doc_id"), "cover_url")
+    return books.covers(books.with_exth(found)).select(book_id(F.col("path")).alias("doc_id"), "cover_url")
 
 
 @query("""
@@ -201,36 +191,44 @@ def exth_book_info(spark, sf_dir):
 
 @query("SELECT doc_id, md5('<html>' || coalesce(text, '') || '</html>') AS text_md5, 'palmdoc' AS decoder FROM documents")
 def palmdoc_roundtrip(spark, sf_dir):
-    """Every document compressed by LZ77 over all its records, packed, and read back by the book pipeline."""
+    """Every document compressed by LZ77, in records of about 4,096 bytes of text that refer back over records, and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(as_html("text"), "utf-8").alias("data"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codecs.lz77_packed(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codecs.lz77_packed(x, 4096) for x in batch.column(1).to_pylist()], pa.list_(pa.binary()))], names=["doc_id", "parts"])
 
-    packed = docs.mapInArrow(pack, "doc_id bigint, data binary")
-    # a code of the compressed text may not be cut in two, so it goes into the file as one record after record 0
-    head = source.record0(compression=books.PALMDOC, records=1, exth=source.exth_block([]))
-    found = packed.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(head, F.col("data"))).alias("content"))
+    packed = docs.mapInArrow(pack, "doc_id bigint, parts array<binary>")
+    head = source.record0(compression=books.PALMDOC, records=F.size("parts"), exth=source.exth_block([]))
+    found = packed.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.concat(F.array(head), F.col("parts"))).alias("content"))
     texts = books.texts(books.parsed(found))
     return texts.select(book_id(F.col("path")).alias("doc_id"), F.md5(F.col("html").cast("binary")).alias("text_md5"), "decoder")
 
 
-@query(r"""
-SELECT doc_id, md5('<p>中文书籍内容测试中文书籍</p>' || text) AS text_md5, 'gbk' AS charset FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')
-""")
-def charset_repair(spark, sf_dir):
-    """ASCII documents after a Chinese heading in GB18030, under a header that says UTF-8."""
-    return charset_repaired(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text")))
+#: A heading by doc_id % 4 in the character set it names, under a header that says UTF-8 (cp1252: that).  Those of the
+#: Chinese sets are left with replacement characters as UTF-8; the last one's characters have no place in GBK.
+CHARSETS = [("cp1252", "<p>Grüße, señor: “naïve” – 5 €</p>"), ("utf-8", "<p>中文书籍 Grüße</p>"), ("gbk", "<p>中文书籍内容测试中文书籍</p>"), ("gb18030", "<p>" + "龴" * 8 + "</p>")]
 
 
-def charset_repaired(docs: DataFrame) -> DataFrame:
-    """Any documents so; a text that is not ASCII is garbled, as its UTF-8 is read in the heading's character set."""
-    heading = "<p>中文书籍内容测试中文书籍</p>".encode("gb18030")
-    # a book whose text lies in a record of plain markup, so that the header is no part of what is probed
-    head = source.record0(compression=books.HUFFMAN, encoding=65001)
-    records = F.array(head, F.concat(F.lit(heading), text_bytes("text")))
-    content = docs.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), records).alias("content"))
+@query("""
+WITH h AS (SELECT doc_id, doc_id % 4 AS k, hex(encode(coalesce(text, ''))) AS x FROM documents)
+SELECT doc_id, md5(CASE k WHEN 0 THEN '<p>Grüße, señor: “naïve” – 5 €</p>' WHEN 1 THEN '<p>中文书籍 Grüße</p>' WHEN 2 THEN '<p>中文书籍内容测试中文书籍</p>' ELSE '<p>龴龴龴龴龴龴龴龴</p>' END || '<div>' || x || '</div>') AS text_md5,
+       CASE k WHEN 0 THEN 'cp1252' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'gbk' ELSE 'gb18030' END AS charset FROM h
+""")
+def charset_repair(spark, sf_dir):
+    """Every document's text in hexadecimal after a heading in one of four character sets."""
+    kind = F.col("doc_id") % len(CHARSETS)
+    heading = F.lit(CHARSETS[-1][1].encode(CHARSETS[-1][0]))
+    for i, (name, text) in enumerate(CHARSETS[:-1]):
+        heading = F.when(kind == i, F.lit(text.encode(name))).otherwise(heading)
+    text = F.concat(heading, F.lit(b"<div>"), F.encode(F.hex(text_bytes("text")), "utf-8"), F.lit(b"</div>"))
+    return charset_repaired(table(spark, sf_dir, "documents"), text, F.when(kind == 0, 1252).otherwise(65001))
+
+
+def charset_repaired(docs: DataFrame, text: Column, encoding: Column) -> DataFrame:
+    """A book whose text lies in a record of plain markup, so that the header is no part of what is probed."""
+    head = source.record0(compression=books.HUFFMAN, encoding=encoding)
+    content = docs.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(head, text)).alias("content"))
     texts = books.texts(books.parsed(content))
     return texts.select(book_id(F.col("path")).alias("doc_id"), F.md5(F.col("html").cast("binary")).alias("text_md5"), "charset")
 
@@ -269,37 +267,245 @@ def chapter_strategy(spark, sf_dir):
     return books.chaptered(pages).select(book_id(F.col("path")).alias("page_id"), "strategy")
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '[^ -~]', 'e', 'g')) AS text_md5, 'huffman' AS decoder FROM documents WHERE length(text) >= 100")
+HUFFMAN_HEADING = "<html><body><p>The history of these books is in this paragraph of the text, and then there is the rest of them.</p><p>"
+HUFFMAN_END = "</p></body></html>"
+
+
+@query(f"""
+SELECT doc_id, md5('{HUFFMAN_HEADING}' || coalesce(text, '') || '{HUFFMAN_END}') AS text_md5, 'huffman' AS decoder FROM documents
+""")
 def huffcdic_decode(spark, sf_dir):
-    """Printable documents coded by eight bits a character (dictionary entries for capitals) and read back."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 100)
-    return huffcdic_decoded(docs.withColumn("text", F.regexp_replace("text", "[^ -~]", "e")))
-
-
-def huffcdic_decoded(docs: DataFrame) -> DataFrame:
-    """Any documents coded by eight bits a byte and read back; a book of less than 100 bytes of text is given as its raw records."""
-    docs = docs.select("doc_id", text_bytes("text").alias("data"))
-    # 256 symbols of eight bits get the codes 0 to 255 in order; capitals are entries 0 to 25, numbered from 256 on
-    capitals = list(range(256, 282))
-    literals = [s for s in range(256) if not 65 <= s <= 90][: 256 - len(capitals)]
-    code = {s: i for i, s in enumerate(sorted(literals + capitals))}
-    swap = bytes(code[256 + b - 65] if 65 <= b <= 90 else code.get(b, 0) for b in range(256))
-    huff = b"HUFF" + bytes(4) + b"".join(s.to_bytes(2, "big") + b"\x08\x00" for s in sorted(code))
-    cdic = b"CDIC" + bytes(4) + (26).to_bytes(2, "big") + b"".join(b"\x01" + bytes((65 + i,)) for i in range(26))
+    """Every document after a heading, in codes of 4 to 12 bits and dictionary entries, read back with record 0 among the records.
+
+    The code table has each of the three formats, the dictionary each of the five layouts, by doc_id.
+    """
+    return huffman_books(table(spark, sf_dir, "documents"))
+
+
+#: Lengths of codes: eight letters, sixteen more, 64 signs, and what is left.
+OFTEN, LESS_OFTEN = b" etaoins", b"hrdlucmfwypvbgk,"
+#: Entry 0 is ``th``, the capitals follow.
+ENTRIES = [b"th", *[bytes((65 + i,)) for i in range(26)]]
+
+
+def code_lengths() -> dict[int, int]:
+    """symbol -> length; 256 and on are dictionary entries.  Not all codes of 12 bits are taken: ones alone begin none."""
+    symbols = [s for s in range(256) if not 65 <= s <= 90] + [256 + i for i in range(len(ENTRIES))]
+    often, less_often = list(OFTEN), list(LESS_OFTEN)
+    signs = [s for s in symbols if s not in often and s not in less_often][32:96]
+    return {s: 4 if s in often else 6 if s in less_often else 9 if s in signs else 12 for s in symbols}
+
+
+def huff_record(lengths: dict[int, int], kind: int) -> bytes:
+    """A code table in one of the three formats: sub-tables at six places, pairs, or a table somewhere behind zeros."""
+    words = lambda symbols: b"".join(s.to_bytes(2, "big") for s in symbols)
+    table_of = lambda symbols: len(symbols).to_bytes(2, "big") + bytes(lengths[s] for s in symbols) + words(symbols)
+    symbols = sorted(lengths)
+    if kind == 0:
+        tables = [table_of(symbols[i::6]) for i in range(6)]
+        places = [40 + sum(map(len, tables[:i])) for i in range(6)]
+        return b"HUFF" + bytes(4) + b"".join(x.to_bytes(4, "big") for x in (1, 1, *places)) + b"".join(tables)
+    if kind == 1:
+        return b"HUFF" + bytes(4) + b"".join(s.to_bytes(2, "big") + bytes((lengths[s], 0)) for s in symbols)
+    return b"HUFF" + bytes(12) + table_of(symbols)
+
+
+def cdic_record(kind: int) -> bytes:
+    """The dictionary in one of the five layouts; the layouts before it find nothing in it."""
+    n = len(ENTRIES)
+    body = b"".join(len(e).to_bytes(2 if kind == 3 else 1, "big") + e for e in ENTRIES)
+    counts = {0: n.to_bytes(2, "big"), 1: bytes(4) + n.to_bytes(4, "big"), 2: bytes(4) + n.to_bytes(2, "big"), 3: n.to_bytes(2, "big"), 4: bytes(4)}
+    return b"CDIC" + bytes(4) + counts[kind] + body + bytes(4) * (kind == 4)
+
+
+def huffman_record(data: bytes, codes: dict[int, tuple[int, int]]) -> bytes:
+    """A record of coded text.  Sixteen bytes are skipped, then come ones, which begin no code and no tag, up to where tags
+    are looked for, and ones fill the end."""
+    symbols = np.frombuffer(data, np.uint8).astype(np.int64)
+    capital = (symbols >= 65) & (symbols <= 90)
+    symbols = np.where(capital, symbols - 65 + 257, symbols)
+    pair = np.flatnonzero((symbols[:-1] == ord("t")) & (symbols[1:] == ord("h")))
+    symbols[pair] = 256
+    symbols = np.delete(symbols, pair + 1)
+    code, size = np.zeros(300, np.int64), np.zeros(300, np.int64)
+    for s, (c, n) in codes.items():
+        code[s], size[s] = c, n
+    sizes = size[symbols]
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bits = np.repeat(code[symbols], sizes) >> (np.repeat(sizes, sizes) - 1 - place) & 1
+    bits = np.concatenate([bits, np.ones(-len(bits) % 8, np.int64)])
+    return bytes(16) + b"\xff" * 504 + np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def huffman_books(docs: DataFrame, record_bytes: int = 4096) -> DataFrame:
+    """Texts between a heading and end tags coded, packed and read back; record 0, a table and a dictionary of no use, and the
+    real ones come first."""
+    docs = docs.select("doc_id", F.concat(F.lit(HUFFMAN_HEADING.encode()), text_bytes("text"), F.lit(HUFFMAN_END.encode())).alias("data"))
+    lengths = code_lengths()
+    codes = codecs.canonical_codes(lengths)
+    tables, dictionaries = [huff_record(lengths, i) for i in range(3)], [cdic_record(i) for i in range(5)]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(16) + x.translate(swap) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
-
-    packed = docs.mapInArrow(pack, "doc_id bigint, data binary")
-    # record 0 is laid out as a HUFF record would not be, and looks like an image, so that only the text is decoded
-    head = source.record0(compression=books.HUFFMAN)
-    found = packed.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(head, F.lit(huff), F.lit(cdic), F.col("data"))).alias("content"))
-    parsed = books.parsed(found).withColumn("records", F.filter("records", lambda r: r["idx"] > 0))
-    texts = books.texts(parsed)
+            rows = []
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [huffman_record(data[at : at + record_bytes], codes) for at in range(0, len(data), record_bytes)]
+                rows.append([b"HUFFnone", tables[i % 3], b"CDICnone", dictionaries[i % 5], *parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "parts"])
+
+    packed = docs.mapInArrow(pack, "doc_id bigint, parts array<binary>")
+    head = source.record0(compression=books.HUFFMAN, records=F.size("parts"))
+    found = packed.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.concat(F.array(head), F.col("parts"))).alias("content"))
+    texts = books.texts(books.parsed(found))
     return texts.select(book_id(F.col("path")).alias("doc_id"), F.md5(F.col("html").cast("binary")).alias("text_md5"), "decoder")
 
 
+@query("""
+SELECT doc_id, CASE WHEN length(x) >= 74 THEN 'direct' ELSE 'raw' END AS decoder,
+       md5(CASE WHEN length(x) >= 74 THEN head || 'Zzz' || x ELSE 'DH' || chr(16) || head || '12345Qq' || repeat('0', 40) || 'Zzz' || x END) AS text_md5
+FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, 'MOBI�' || chr(2) || '��' AS head FROM documents)
+""")
+def undecoded_text(spark, sf_dir):
+    """Books without code tables: from where text seems to begin in each record, or all records as they are if that is little.
+
+    Records of under four bytes are left out, those of under ten where text is looked for; record 0 is cut short.
+    """
+    head = F.substr(source.record0(compression=books.HUFFMAN), F.lit(1), F.lit(40))
+    text = F.concat(F.lit(b"0" * 40 + b"Zzz"), F.encode(F.hex(text_bytes("text")), "utf-8"))
+    records = F.array(head, F.lit(b"abc"), F.lit(b"12345Qq"), text)
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), records).alias("content"))
+    texts = books.texts(books.parsed(found))
+    return texts.select(book_id(F.col("path")).alias("doc_id"), "decoder", F.md5(F.col("html").cast("binary")).alias("text_md5"))
+
+
+@query("""
+SELECT doc_id, 248 + octet_length(encode(t)) AS n_bytes, md5('<<<<A' || chr(16) || 'MOBI�' || chr(2) || '��' || t) AS text_md5 FROM (SELECT doc_id, '<html>' || coalesce(text, '') || '</html>' AS t FROM documents)
+""")
+def raw_records(spark, sf_dir):
+    """Uncompressed books begin with record 0: its bytes count, and a ``<`` among them begins the text."""
+    found = books.parsed(packed_texts(table(spark, sf_dir, "documents"), text_length=0x3C3C3C3C))
+    return books.texts(found).select(book_id(F.col("path")).alias("doc_id"), "n_bytes", F.md5(F.col("html").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5('<html>' || coalesce(text, '') || '</html>') AS text_md5 FROM documents")
+def palmdoc_single(spark, sf_dir):
+    """Every document as one compressed record, decoded alone up to its size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(as_html("text"), "utf-8").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back = [codecs.lz77_single(codecs.lz77_packed(x)[0], len(x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["doc_id", "data"])
+
+    return docs.mapInArrow(run, "doc_id bigint, data binary").select("doc_id", F.md5("data").alias("text_md5"))
+
+
+@query("""
+SELECT doc_id, left(doc_id || '??', 31) AS name, 'BOOKMOBI' AS db_type, CAST(CASE doc_id % 3 WHEN 0 THEN 3 ELSE 0 END AS INTEGER) AS n_one, CAST(CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN 0 ELSE least(358, 353 + n) - 1 END AS INTEGER) AS n_two
+FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+""")
+def record_slices(spark, sf_dir):
+    """Records cut by their table.  One that ends past the file or before its begin is empty; one that lies before the others
+    goes on to the file's end."""
+    whole = source.packed(F.concat(F.col("doc_id").cast("string"), F.lit("é")), F.array(source.record0(), F.lit(b"one"), text_bytes("text")))
+    kind = F.col("doc_id") % 3
+    third = F.when(kind == 1, F.lit(b"\xff\xff\xff\xf0")).otherwise(F.lit(b"\x00\x00\x00\x01"))  # the offset of the third record
+    rest = F.substr(whole, F.lit(99), F.when(kind == 1, F.octet_length(whole)).otherwise(260))
+    content = F.when(kind == 0, whole).otherwise(F.concat(F.substr(whole, F.lit(1), F.lit(94)), third, rest))
+    found = books.parsed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    size = lambda i: F.octet_length(F.get("records", F.lit(i))["data"])
+    return found.select(book_id(F.col("path")).alias("doc_id"), "name", "db_type", size(1).alias("n_one"), size(2).alias("n_two"))
+
+
+@query("""
+SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN doc_id % 1000 ELSE -1 END AS INTEGER) AS cover_index, CASE doc_id % 3 WHEN 1 THEN 'the cover entry is too short for a number' END AS error FROM documents
+""")
+def cover_entries(spark, sf_dir):
+    """Cover entries of four bytes, of two, and none at all."""
+    kind = F.col("doc_id") % 3
+    exth = source.exth_block([(503, F.lit(b"t")), (books.COVER_TAG, F.when(kind == 0, source.number_bytes(F.col("doc_id") % 1000, 4)).when(kind == 1, F.lit(b"ab")))])
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(source.record0(exth=exth))).alias("content"))
+    return books.book_info(books.with_exth(books.parsed(found))).select(book_id(F.col("path")).alias("doc_id"), "cover_index", "error")
+
+
+def page_broken(pages: DataFrame) -> DataFrame:
+    """Pages with a page break before each paragraph; on every second page a marked title comes after it."""
+    mark = F.when(F.col("page_id") % 2 == 0, '<mbp:pagebreak/><b class="chapter-name">Part &amp; </b><p>').otherwise("<hr class='pagebreak'/><p>")
+    return pages.select(F.col("page_id").cast("string").alias("path"), F.replace("html", F.lit("<p>"), mark).alias("html"))
+
+
+PIECES_SQL = r"""
+WITH cut AS (SELECT page_id, string_split(replace(html, '<p>', '<mbp:pagebreak/>' || CASE WHEN page_id % 2 = 0 THEN '<b class="chapter-name">Part &amp; </b>' ELSE '' END || '<p>'), '<mbp:pagebreak/>') AS p FROM pages),
+piece AS (SELECT page_id, pos, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS piece FROM (SELECT page_id, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS piece FROM cut)),
+chapter AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS idx, piece,
+  trim(replace(replace(replace(replace(regexp_extract(piece, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>', 1), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&')) AS h1 FROM piece WHERE piece <> '')
+"""
+
+
+@query(PIECES_SQL + """
+SELECT page_id, idx, CASE WHEN h1 <> '' AND length(h1) < 100 THEN h1 WHEN contains(piece, 'class="chapter-name"') THEN 'Part &' ELSE '第 ' || (idx + 1) || ' 节' END AS title, 'pagebreak' AS strategy, md5(piece) AS content_md5 FROM chapter
+""")
+def pagebreak_chapters(spark, sf_dir):
+    """Chapters by page breaks: titles from a heading of under 100 characters, a marked element, or by number."""
+    found = books.chapter_table(books.chaptered(page_broken(table(spark, sf_dir, "pages"))))
+    return found.select(book_id(F.col("path")).alias("page_id"), "idx", "title", "strategy", F.md5(F.col("html_content").cast("binary")).alias("content_md5"))
+
+
+@query(PIECES_SQL + "SELECT page_id, idx, md5(piece) AS content_md5 FROM chapter WHERE idx = page_id % 7")
+def chapter_by_index(spark, sf_dir):
+    """One chapter of each page by its number; pages with fewer have none."""
+    found = books.chaptered(page_broken(table(spark, sf_dir, "pages")))
+    one = books.chapter_at(found, (book_id(F.col("path")) % 7).cast("int"))
+    return one.select(book_id(F.col("path")).alias("page_id"), "idx", F.md5(F.col("html_content").cast("binary")).alias("content_md5"))
+
+
+PAGE_STYLE = """body {background-color: #f1e8d0; color: #5b4636; font-size: 20px; line-height: 1.8; padding: 15px 20px 30px 20px; max-width: 780px; margin: 0 auto; font-family: 'Georgia', 'Songti SC', 'Noto Serif SC', 'Source Han Serif SC', serif; word-wrap: break-word; overflow-wrap: break-word; -webkit-font-smoothing: antialiased}
+p {margin: 0.3em 0; text-indent: 2em; text-align: justify}
+h1, h2, h3, h4 {margin: 0.8em 0 0.3em 0; font-weight: bold; text-indent: 0}
+img {max-width: 100% !important; height: auto !important; display: block; margin: 1em auto; background-color: transparent}
+a {color: #008b8b; text-decoration: none}
+blockquote {margin: 0.5em 0; padding: 0.5em 1em; border-left: 3px solid rgba(0,0,0,.1); background-color: rgba(0,0,0,.02)}
+code, pre {font-family: 'Consolas', 'Courier New', monospace; font-size: 0.9em}"""
+PAGE_HEAD = "<!DOCTYPE html>\n<html><head><meta charset='utf-8'/><meta name='viewport' content='width=device-width, initial-scale=1.0'/><style>" + PAGE_STYLE + "</style></head><body>\n"
+PAGE_SCRIPT = """\n<script>setTimeout(() => {const a = ["__ch0","b"], t = a[@], e = t && (document.getElementById(t) || document.getElementsByName(t)[0]); if (e) e.scrollIntoView({behavior: 'instant', block: 'start'});}, 100);</script>\n</body></html>"""
+
+
+@query(
+    "SELECT doc_id, md5('" + PAGE_HEAD.replace("'", "''") + """<h1 id="__ch0">A</h1><p>' || hex(encode(coalesce(text, ''))) || '</p><img src=''data:image/png;base64,iVBOR29uZQ=='' style=''max-width:100%;'' /><h2 id="b">B</h2>"""
+    + PAGE_SCRIPT.replace("'", "''").replace("@", "' || least(1, doc_id % 3) || '") + "') AS page_md5 FROM documents"
+)
+def rendered_page(spark, sf_dir):
+    """Books as whole pages in a theme: style, text with its picture, anchors and the chapter to scroll to."""
+    text = F.concat(F.lit("<h1>A</h1><p>"), F.hex(text_bytes("text")), F.lit("</p><img filepos='2'><h2 id=\"b\">B</h2>"))
+    head = source.record0(records=1, first_image=2)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("x"), F.array(head, F.encode(text, "utf-8"), F.lit(b"\x89PNGone"))).alias("content"))
+    found = books.inlined(books.chaptered(books.texts(books.parsed(docs), pictures=True)))
+    page = books.pages(found, (book_id(F.col("path")) % 3).cast("int"), books.css(2, 20, 1.8))
+    return page.select(book_id(F.col("path")).alias("doc_id"), F.md5(F.col("page").cast("binary")).alias("page_md5"))
+
+
+@query("SELECT unnest(['region', 'nation']) || '.parquet' AS name, 'NOT_BOOKMOBI' AS status, 0 AS book_files")
+def book_files(spark, sf_dir):
+    """The small tables' files read as books of any name: none is one.  By name alone the folder has no book at all."""
+    found = source.read_books(spark, sf_dir, any_file=True)
+    small = found.where(F.element_at(F.split("path", "/"), -1).isin("region.parquet", "nation.parquet"))
+    named = source.read_books(spark, sf_dir).select(F.lit(1).alias("one")).agg(F.count("*").cast("int").alias("book_files"))
+    rows = books.parsed(small).select(F.element_at(F.split("path", "/"), -1).alias("name"), "status")
+    return rows.crossJoin(F.broadcast(named))  # one row
+
+
+@query("SELECT doc_id, 'huffman' AS decoder, md5('<><>' || hex(encode(coalesce(text, '')))) AS text_md5 FROM documents")
+def implausible_codes(spark, sf_dir):
+    """A code table that reads but gives nothing readable: the records' bytes are taken as they are, record 0's too."""
+    huff = b"HUFF" + bytes(4) + b"\x00\x80\x0c\x00"
+    cdic = b"CDIC" + bytes(4) + b"\x00\x01\x01x"
+    text = F.concat(source.zeros(16), F.encode(F.hex(text_bytes("text")), "utf-8"), source.zeros(16))
+    head = source.record0(compression=books.HUFFMAN, first_image=0x3C3E3C3E)  # <><>
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("b"), F.array(head, F.lit(huff), F.lit(cdic), text)).alias("content"))
+    texts = books.texts(books.parsed(found))
+    return texts.select(book_id(F.col("path")).alias("doc_id"), "decoder", F.md5(F.col("html").cast("binary")).alias("text_md5"))
+
+
 @query("""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'TOO_SMALL' WHEN 2 THEN 'NOT_BOOKMOBI' WHEN 3 THEN 'NO_RECORDS' WHEN 4 THEN 'ENCRYPTED' ELSE 'UNSUPPORTED_COMPRESSION' END AS status FROM documents
 """)
@@ -330,7 +536,7 @@ def chapter_anchors(spark, sf_dir):
     return again.select(book_id(F.col("path")).alias("page_id"), F.md5(books.anchors_json(F.col("chapters")).cast("binary")).alias("anchors_md5"), F.size("chapters").cast("long").alias("n_chapters"))
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def progress_latest(spark, sf_dir):
     return progress.latest(table(spark, sf_dir, "events"), keys=["user_id"], ts_col="ts", value_cols=["event_type"]).select("user_id", "event_type", "ts")
 
@@ -373,6 +579,30 @@ def progress_restored(spark, sf_dir):
     return progress.restored(docs, store).select(book_id(F.col("path")).alias("doc_id"), F.coalesce("current_chapter", F.lit(0)).cast("int").alias("current_chapter"))
 
 
+@query("""
+SELECT user_id, arg_max(event_id % 8, (ts, event_id % 8)) AS chapter_index, max(ts) AS last_read FROM events WHERE event_type <> 'error' GROUP BY user_id
+""")
+def progress_store(spark, sf_dir):
+    """A JSON store written from clicks, read, brought up to date with views, written and read again."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("book_path"), (F.col("event_id") % 8).cast("int").alias("chapter_index"), F.lit(0.0).alias("scroll_percent"), F.col("ts").cast("timestamp").alias("last_read"))
+    path = source.shared_path(spark, "progress")
+    old, new = rows.where("event_type = 'click'").drop("event_type"), rows.where("event_type NOT IN ('click', 'error')").drop("event_type")
+    progress.saved_to(progress.upserted(progress.loaded(spark, f"{path}/none"), old), f"{path}/1")
+    progress.saved_to(progress.upserted(progress.loaded(spark, f"{path}/1"), new), f"{path}/2")
+    found = progress.loaded(spark, f"{path}/2")
+    return found.select(book_id(F.col("book_path")).alias("user_id"), F.col("chapter_index").cast("long").alias("chapter_index"), F.col("last_read").cast("timestamp_ntz").alias("last_read"))
+
+
+@query("""
+SELECT event_id, CASE WHEN x < 0.33 THEN 'prev' WHEN x > 0.66 THEN 'next' END AS clicked, [NULL, 'prev', 'prev', 'next', 'next', 'next'][event_id % 6 + 1] AS pressed FROM (SELECT event_id, (event_id % 100) / 100 AS x FROM events)
+""")
+def reader_actions(spark, sf_dir):
+    """What clicks across the window and keys do."""
+    keys = F.array(*[F.lit(k) for k in ("Enter", "ArrowLeft", "PageUp", "ArrowRight", "PageDown", " ")])
+    click = progress.action_of_click((F.col("event_id") % 100).cast("double"), F.lit(100.0))
+    return table(spark, sf_dir, "events").select("event_id", click.alias("clicked"), progress.action_of_key(F.get(keys, (F.col("event_id") % 6).cast("int"))).alias("pressed"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_type = 'click' THEN 'next' WHEN event_type = 'view' THEN 'prev' ELSE 'progress' END AS type, CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE value END AS value
 FROM events WHERE event_type <> 'error'
@@ -438,24 +668,16 @@ def chapter_navigation(spark, sf_dir):
     return rows.select("page_id", "idx", S.progress_label(F.col("idx"), F.col("n")).alias("label"), S.clamped(F.col("idx") - 1, F.col("n")).alias("prev_idx"), S.clamped(F.col("idx") + 1, F.col("n")).alias("next_idx"))
 
 
-@query("""
-SELECT doc_id, '全文' AS title, 'whole' AS strategy, md5('<p>' || text || '</p>') AS content_md5, 'raw' AS decoder FROM documents WHERE length(text) = octet_length(encode(text))
-""")
-def open_book(spark, sf_dir):
-    """From container to chapters: scan, header, text, character set, chapters."""
-    return opened(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text")))
-
-
 @query("""
 SELECT doc_id, '全文' AS title, 'whole' AS strategy, md5('<p>' || coalesce(text, '') || '</p>') AS content_md5, 'raw' AS decoder FROM documents
 """)
-def open_book_all(spark, sf_dir):
-    """The same of every document, whatever its characters; a null text is empty."""
+def open_book(spark, sf_dir):
+    """From container to chapters, every document: scan, header, text, character set, chapters; a null text is empty."""
     return opened(table(spark, sf_dir, "documents"))
 
 
 def opened(docs: DataFrame) -> DataFrame:
     content = packed_texts(docs, data=F.concat(F.lit(b"<p>"), text_bytes("text"), F.lit(b"</p>")))
     texts = books.texts(books.parsed(content))
-    chapters = books.chapter_table(books.chaptered(texts)).join(texts.select("path", "decoder"), "path")
+    chapters = books.chaptered(texts).select("path", "strategy", "decoder", F.explode("chapters").alias("c")).select("path", "strategy", "decoder", "c.*")
     return chapters.select(book_id(F.col("path")).alias("doc_id"), "title", "strategy", F.md5(F.col("html_content").cast("binary")).alias("content_md5"), "decoder")

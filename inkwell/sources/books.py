@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOOK_FILES = "*.{azw3,mobi,azw,kf8}"
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local master may do without one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "inkwell-checkpoints")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def read_books(spark: SparkSession, path: str, *, any_file: bool = False, most_bytes: int | None = None) -> DataFrame:
     """One row per file: ``path``, ``modificationTime``, ``length``, ``content``.
 

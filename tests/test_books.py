@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell import queries
 from inkwell.functions import binary as B
 from inkwell.functions import strings as S
 from inkwell.plans import books
@@ -83,16 +84,20 @@ def test_raw_book_with_images_and_cover(spark):
     record0 = head(image=2, exth_at=232, kf8=1) + exth
     text = b"<h1>A</h1><img filepos='3'><img filepos='2'/>"
     found = books.parsed(frame(spark, {"b": container([record0, text, b"xyz", b"\x89PNGdata"])})).persist()
-    info = books.covers(books.book_info(books.with_exth(found)), books.images(found)).first()
+    info = books.covers(books.with_exth(found)).first()
     assert (info.title, info.cover_index, info.author, info.updated_at) == ("T", 3, "", None)
     assert info.cover_url.startswith("data:image/png;base64,")
     assert [(r.record_idx, r.mime) for r in books.images(found).collect()] == [(3, "image/png")]  # three bytes are no image
-    read = books.chaptered(books.texts(found))
-    row = books.inlined(read, found).first()
+    read = books.chaptered(books.texts(found, pictures=True))
+    row = books.inlined(read).first()
     assert "<img src='data:image/png" in row.html and "filepos='2'" in row.html
     assert [(c.title, c.anchor) for c in row.chapters] == [("A", "#__ch0")]
     page = books.pages(read, F.lit(7)).first().page
-    assert 'a=["__ch0"], t=a[0]' in page and '<h1 id="__ch0">A</h1>' in page
+    assert 'a = ["__ch0"], t = a[0]' in page and '<h1 id="__ch0">A</h1>' in page
+    assert [(r.idx, r.title) for r in books.chapter_at(read, F.lit(0)).collect()] == [(0, "A")] and books.chapter_at(read, F.lit(1)).count() == 0
+    for rows in (books.covers(books.with_exth(found)), books.inlined(read)):
+        plan = rows._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_files_of_a_folder(spark, tmp_path):
@@ -111,3 +116,35 @@ def test_empty_tables(spark):
     assert none.count() == 0
     assert books.chapter_table(books.chaptered(books.texts(none))).count() == 0
     assert books.book_info(books.with_exth(none)).count() == 0
+
+
+def test_short_cover_entry(spark):
+    exth = b"EXTH" + bytes(4) + (1).to_bytes(4, "big") + (201).to_bytes(4, "big") + (10).to_bytes(4, "big") + b"ab"
+    found = books.with_exth(books.parsed(frame(spark, {"b": container([head(exth_at=232) + exth, b"x"])})))
+    row = books.book_info(found).first()
+    assert row.cover_index == -1 and "too short" in row.error
+    with pytest.raises(Exception, match="too short"):
+        books.book_info(found, strict=True).collect()
+
+
+def test_styles():
+    assert books.css(2, 20, 1.8) == queries.PAGE_STYLE
+    assert "background-color: #222222; color: #e0e0e0; font-size: 18px; line-height: 1.6; " in books.css(9)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        source.shared_path(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert source.shared_path(Session, "x").startswith("file:///")
