@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import langid, toxicity
 from inkwell.llm.queries import op6_toxicity, op7_language_id, table
-from inkwell.llm.text import learned_fold
+from inkwell.llm.text import Words, learned_fold
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,6 +42,50 @@ def test_language_query(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_by_brute_force(spark):
+    """The query's rows, from features counted one by one and codewords decoded one by one."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fitted(docs, learned_fold(F.col("doc_id")))
+    rows = {r.doc_id: r for r in op7_language_id(spark, "/root/testdata/sf0.001").collect()}
+    wrap = (1 << 64) - 1
+    for d in docs.collect()[::4]:
+        text, counts = (d.text or "").lower(), np.zeros(langid.BUCKETS)
+        for i in range(len(text)):
+            h = 0
+            for n in range(1, min(3, len(text) - i) + 1):
+                h = h * 1_000_003 + ord(text[i + n - 1]) + n & wrap
+                counts[(h * 0x9E3779B97F4A7C15 & wrap) >> 40 & langid.BUCKETS - 1] += 1
+        x = np.sqrt(counts) / max(np.sqrt(counts.sum()), 1e-9)
+        bits = x @ model.weight + model.bias
+        loss = [sum(np.log1p(np.exp(-y * f)) for y, f in zip(code, bits, strict=True)) for code in model.code]
+        order = np.argsort(loss)
+        r = rows[d.doc_id]
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, True)
+        elif loss[order[1]] - loss[order[0]] > 1e-3:
+            assert r.lang_pred == model.classes[order[0]]
+            assert abs(r.score - 1 / sum(np.exp(loss[order[0]] - x) for x in loss)) < 1e-3
+            assert r.ambiguous == (loss[order[1]] - loss[order[0]] < 1.0) or abs(loss[order[1]] - loss[order[0]] - 1.0) < 1e-3
+
+
+def test_scores_by_brute_force(spark):
+    """The query's scores, from the words that a pattern finds."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = toxicity.fitted(docs, table(spark, "/root/testdata/sf0.001", "labels"), learned_fold)
+    rows = {r.doc_id: r for r in op6_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    for d in docs.collect():
+        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (d.text or "").translate({c: c + 32 for c in range(65, 91)})))
+        buckets = {int(Words([w.encode()]).hash[0]) % toxicity.BUCKETS for w in words}
+        wanted = 1 / (1 + np.exp(-np.clip(model.bias + sum(float(model.weight[b]) for b in buckets), -30, 30)))
+        assert abs(rows[d.doc_id].score - wanted) < 1e-6
+
+
+def test_many_languages_are_bounded(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise(F.concat(F.lit("x"), "id")).alias("lang"))
+    model = langid.fitted(docs, learned_fold(F.col("doc_id")), most_languages=7)
+    assert len(model.classes) == 7 and "aa" in model.classes
+
+
 def test_language_of_odd_rows(spark):
     docs = table(spark, SF, "documents")
     model = langid.fitted(docs, learned_fold(F.col("doc_id")))
@@ -89,6 +134,9 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.scored(odd.limit(0), model).count() == 0
     assert toxicity.fitted(docs, labels.limit(0), learned_fold) is None
     assert {r.predicted for r in toxicity.scored(odd, None).collect()} == {0}
+    lost = spark.createDataFrame([(10**9 + i, 1, 1) for i in range(5000)], labels.schema)  # labels of no document
+    assert np.allclose(toxicity.fitted(docs, labels.union(lost), learned_fold).weight, model.weight)
+    assert toxicity.fitted(docs, lost, learned_fold) is None and toxicity.fitted(docs.limit(0), labels, learned_fold) is None
     twice = labels.union(labels).union(spark.createDataFrame([(None, 1, 1), (3, 1, None)], labels.schema))
     again = toxicity.fitted(docs.union(docs), twice, learned_fold)
     assert np.allclose(again.weight, model.weight, atol=0.2)

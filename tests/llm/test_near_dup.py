@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 import re
@@ -129,6 +130,36 @@ def test_query(spark):
     assert {r.doc_id: r.class_id for r in op4_near_duplicates(spark, "/root/testdata/sf0.001").collect()} == brute_classes(spark, docs)
 
 
+def test_recall_by_shingles_of_words(spark):
+    """Whole table, with shingles as tuples of words, counted and weighted apart from the operator."""
+    docs = {r.doc_id: r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    uses = {}
+    for i, t in docs.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        grams = [tuple(words[j : j + 5]) for j in range(len(words) - 4)] or ([tuple(words)] if words else [])
+        uses[i] = collections.Counter(grams)
+    df, n = collections.Counter(g for x in uses.values() for g in x), len(docs)
+    weight = {g: 1 + np.log((n + 1) / (c + 1)) / np.log(n + 1) for g, c in df.items()}
+    total = {i: sum(k * weight[g] for g, k in x.items()) for i, x in uses.items()}
+    where = collections.defaultdict(list)
+    for i, x in uses.items():
+        for g, k in x.items():
+            where[g].append((i, k))
+    both = collections.Counter()
+    for g, rows in where.items():
+        for (a, x), (b, y) in itertools.combinations(rows, 2):
+            both[a, b] += min(x, y) * weight[g]
+    alike = {pair: s / (total[pair[0]] + total[pair[1]] - s) for pair, s in both.items()}
+    found = {r.doc_id: r.class_id for r in op4_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    sure = [p for p, s in alike.items() if s >= 0.8]
+    assert len(sure) > 100
+    missed = [p for p in sure if found[p[0]] != found[p[1]]]
+    assert len(missed) <= 0.005 * len(sure)
+    # no two texts are in one class but for a chain of similar ones
+    widest = components_of(docs, [p for p, s in alike.items() if s >= 0.79] + [(a, b) for a, b in itertools.combinations(docs, 2) if docs[a] == docs[b]])
+    assert all(widest[i] == widest[c] for i, c in found.items())
+
+
 def keys_of(gram, uses):
     """Band keys of texts with rows of shingles of the same weight a use."""
     doc = np.repeat(np.arange(len(gram)), gram.shape[1])
