@@ -145,26 +145,27 @@ def image_sniff(spark, sf_dir):
 
 
 def illustrated(docs: DataFrame) -> DataFrame:
-    """A book per document: one text record that refers to records 2, 3 and 9, two images, and cover doc_id % 4 + 1."""
+    """A book per document: one text record that refers to records 2, 3 and 9, two images, the second of the document's text,
+    and cover doc_id % 4 + 1."""
     text = F.concat(F.lit("<p>"), F.col("doc_id").cast("string"), F.lit("</p><img filepos='2'><img filepos=\"#3\"/><img filepos='9'>"))
     exth = source.exth_block([(books.COVER_TAG, source.number_bytes(F.col("doc_id") % 4 + 1, 4))])
     head = source.record0(records=1, first_image=2, exth=exth)
-    one, two = F.lit(b"\x89PNGone"), F.concat(F.lit(b"\xff\xd8"), F.encode(F.col("doc_id").cast("string"), "utf-8"), F.lit(b"two"))
+    one, two = F.lit(b"\x89PNGone"), F.concat(F.lit(b"\xff\xd8"), text_bytes("text"), F.lit(b"two"))
     return docs.select(F.col("doc_id").cast("string").alias("path"), source.packed(F.lit("x"), F.array(head, F.encode(text, "utf-8"), one, two)).alias("content"))
 
 
 @query("""
-SELECT doc_id, '<p>' || doc_id || '</p><img src=''data:image/png;base64,iVBOR29uZQ=='' style=''max-width:100%;'' />'
-  || '<img src=''data:image/jpeg;base64,' || to_base64(unhex('FFD8' || hex(doc_id || 'two'))) || ''' style=''max-width:100%;'' />' || '<img filepos=''9''>' AS html FROM documents
+SELECT doc_id, md5('<p>' || doc_id || '</p><img src=''data:image/png;base64,iVBOR29uZQ=='' style=''max-width:100%;'' />'
+  || '<img src=''data:image/jpeg;base64,' || to_base64(unhex('FFD8' || hex(encode(coalesce(text, '') || 'two')))) || ''' style=''max-width:100%;'' />' || '<img filepos=''9''>') AS html_md5 FROM documents
 """)
 def filepos_inline(spark, sf_dir):
     """Image references replaced by the images; the one to a record that is not there stays."""
     found = books.parsed(illustrated(table(spark, sf_dir, "documents")))
-    return books.inlined(books.texts(found, pictures=True)).select(book_id(F.col("path")).alias("doc_id"), "html")
+    return books.inlined(books.texts(found, pictures=True)).select(book_id(F.col("path")).alias("doc_id"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'data:image/png;base64,iVBOR29uZQ==' WHEN 2 THEN 'data:image/jpeg;base64,' || to_base64(unhex('FFD8' || hex(doc_id || 'two'))) ELSE '' END AS cover_url FROM documents
+SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'data:image/png;base64,iVBOR29uZQ==' WHEN 2 THEN 'data:image/jpeg;base64,' || to_base64(unhex('FFD8' || hex(encode(coalesce(text, '') || 'two')))) ELSE '' END AS cover_url FROM documents
 """)
 def cover_lookup(spark, sf_dir):
     found = books.parsed(illustrated(table(spark, sf_dir, "documents")))
@@ -647,7 +648,7 @@ def mobi_header(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, unnest([2, 3]) AS record_idx, unnest(['image/png', 'image/jpeg']) AS mime, unnest([7, 5 + length(CAST(doc_id AS VARCHAR))]) AS n_bytes FROM documents")
+@query("SELECT doc_id, unnest([2, 3]) AS record_idx, unnest(['image/png', 'image/jpeg']) AS mime, unnest([7, 5 + octet_length(encode(coalesce(text, '')))]) AS n_bytes FROM documents")
 def image_table(spark, sf_dir):
     """The images of books, by record number."""
     found = books.images(books.parsed(illustrated(table(spark, sf_dir, "documents"))))
