@@ -15,7 +15,6 @@ are built once, and all words of a chunk's texts take their decisions together i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +72,10 @@ class Pieces:
         # id of a piece, or -1 of a mere beginning of pieces, by the hash of its characters; a hash that meets another
         # one in a table goes on to the next table
         starts = {t[:i] for t in texts.values() for i in range(1, len(t))} - set(texts.values())
-        named = {**{_piece_hash(t): -1 for t in starts}, **{_piece_hash(t): i for i, t in texts.items()}}
-        hashes, ids = np.fromiter(named, np.uint64, len(named)), np.fromiter(named.values(), np.int32, len(named))
+        named = [*((t, -1) for t in starts), *((t, i) for i, t in texts.items())]
+        hashes, ids = mixed(np.fromiter((_piece_hash(t) for t, _ in named), np.uint64, len(named))), np.fromiter((i for _, i in named), np.int32, len(named))
+        hashes, last = np.unique(hashes[::-1], return_index=True)
+        ids = ids[::-1][last]
         bits = max(16, (16 * len(named)).bit_length())
         self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         while len(ids):
@@ -106,7 +107,7 @@ def _piece_hash(text: str) -> int:
     h = 0
     for c in text:
         h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-    return int(mixed(np.array([h], np.uint64))[0])
+    return h
 
 
 def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +141,7 @@ class Encoder:
     """
 
     #: Words kept; the cache starts anew beyond that.
-    MOST_WORDS = 1_000_000
+    MOST_WORDS = 200_000
 
     def __init__(self, proto: bytes) -> None:
         import sentencepiece
@@ -189,7 +190,7 @@ class Lattice:
     """
 
     #: Nodes kept; beyond that, the next chunk starts with no more than the words that were used again, up to half as many.
-    MOST_NODES = 1_000_000
+    MOST_NODES = 600_000
     #: So few words left are handled one by one instead of together.
     FEW = 2
     #: Characters of new words whose lattices are built at once.
@@ -207,12 +208,12 @@ class Lattice:
         self.first, self.choices = _Grown(np.int32), _Grown(np.int16)
         self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int16), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
 
-    def forget(self) -> None:
-        """Drop the words used once, and of the others the least used ones beyond half of MOST_NODES."""
+    def forget(self, most: int) -> None:
+        """Drop the words used once, and of the others the least used ones beyond ``most`` nodes."""
         begin, end, uses = self.begin.all(), self.end.all(), self.uses.all()
         order = np.argsort(-uses, kind="stable")
         order = order[uses[order] > 1]
-        kept = np.sort(order[np.cumsum((end - begin)[order]) <= self.MOST_NODES // 2])
+        kept = np.sort(order[np.cumsum((end - begin)[order]) <= most])
         size = (end - begin)[kept].astype(np.int64)
         nodes = gathered(begin[kept].astype(np.int64), size)
         choices = self.choices.all()[nodes].astype(np.int64)
@@ -225,8 +226,7 @@ class Lattice:
             (self.first, np.cumsum(choices) - choices), (self.choices, choices), (self.node, np.repeat(np.arange(len(nodes)), choices)),
             (self.size, self.size.all()[edges]), (self.piece, self.piece.all()[edges]), (self.logp, self.logp.all()[edges]), (self.cum, self.cum.all()[edges]),
         ):
-            mine.used = 0
-            mine.extend(new)
+            mine.replace(new)
 
     def add(self, code: np.ndarray, length: np.ndarray) -> None:
         """Words that are not there yet, by their characters in a row, numbered from ``len(self.begin)`` on."""
@@ -309,7 +309,7 @@ class Lattice:
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every word of every normalised text in turn, and the words before each text (with the total)."""
         if len(self.first) > self.MOST_NODES:
-            self.forget() if len(self.extra) < self.MOST_NODES else self.clear()
+            self.forget(self.MOST_NODES // 2) if len(self.extra) < self.MOST_NODES else self.clear()
         raw, start, end, hashes, first_word = cut_words(texts)
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
@@ -408,6 +408,9 @@ class _Grown:
         self.array[self.used : need] = values
         self.used = need
 
+    def replace(self, values: np.ndarray) -> None:
+        self.array, self.used = values.astype(self.array.dtype), len(values)
+
     def all(self) -> np.ndarray:
         return self.array[: self.used]
 
@@ -577,18 +580,6 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-_of_worker: dict[tuple[str, float], tuple[Lattice, Encoder, Decoder]] = {}
-
-
-def of_worker(proto: bytes, alpha: float = 1.0) -> tuple[Lattice, Encoder, Decoder]:
-    """This Python worker's lattice of words, encoder and decoder for a model; they serve all the tasks that the worker runs."""
-    key = hashlib.sha256(proto).hexdigest(), alpha
-    if key not in _of_worker:
-        _of_worker.clear()
-        _of_worker[key] = Lattice(Pieces(proto, alpha)), Encoder(proto), Decoder(proto)
-    return _of_worker[key]
-
-
 def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha: float = 1.0, keep: list[str] | None = None, key_col: str = "doc_id", text_col: str = "text", own: bool = False) -> DataFrame:
     """k rows per text: ``keep``, ``sample`` (from 1), ``ids``, ``log_prob``, ``gumbel``, ``inclusion``, ``round_trip``.
 
@@ -607,9 +598,10 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, encoder, decoder = of_worker(proto.value, alpha)
+        # made anew in each task: kept in idle workers, they would take memory from whatever runs next
+        lattice, encoder, decoder = Lattice(Pieces(proto.value, alpha)), Encoder(proto.value) if own else None, Decoder(proto.value)
         for batch in batches:
-            for part, texts in chunks(batch, "__text", 1 << 19):
+            for part, texts in chunks(batch, "__text"):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
                 texts = [t.decode("utf-8", "replace") for t in texts]
                 normal = [lattice.pieces.normalized(t) for t in texts]
@@ -642,7 +634,7 @@ def encode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, t
     proto = shipped(docs.sparkSession, model_path)
 
     def make():
-        encoder = of_worker(proto.value)[1]
+        encoder = Encoder(proto.value)
 
         def work(texts: list[bytes]) -> list:
             ids, size = encoder.encode([t.decode("utf-8", "replace") for t in texts])
@@ -694,7 +686,7 @@ def decode(encoded: DataFrame, model_path: str, *, keep: list[str], ids_col: str
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = of_worker(proto.value)[2]
+        decoder = Decoder(proto.value)
         for batch in batches:
             column = batch.column(len(keep))
             out = [None if x is None or not x.is_valid else decoder.text(np.asarray(x.values.drop_null(), np.int64)) for x in column]

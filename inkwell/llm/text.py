@@ -36,6 +36,8 @@ _IS_WORD = np.array([c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 for c in range(
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Powers that outlive a task; a very long text needs more.
+_KEPT_POWERS = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -195,6 +197,8 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
+            if len(_powers[0]) > _KEPT_POWERS:
+                _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other systems have none
@@ -204,6 +208,13 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return to_the_end
 
 
+def with_text(df: DataFrame, text_col: str, kept: list[str], columns: list[Column], own: list[T.StructField]) -> tuple[DataFrame, str]:
+    """The kept columns with the text, and its name: if it is kept itself, it goes to Python once."""
+    if text_col in kept and isinstance(own[kept.index(text_col)].dataType, T.StringType):
+        return df.select(*columns), own[kept.index(text_col)].name
+    return df.select(*columns, F.col(quoted(text_col)).cast("string").alias("__text")), "__text"
+
+
 def map_texts(
     df: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list]], most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -212,7 +223,7 @@ def map_texts(
     The function returns one list or Arrow array per field.  Rows stay in place: no shuffle.
     """
     kept, columns, own = kept_columns(df, keep, {f.name.lower() for f in fields})
-    source = df.select(*columns, F.col(quoted(text_col)).cast("string").alias("__text"))
+    source, text = with_text(df, text_col, kept, columns, own)
     schema = T.StructType(own + fields)
     types = [_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema]
@@ -220,7 +231,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part, texts in chunks(batch, "__text", most, rows):
+            for part, texts in chunks(batch, text, most, rows):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(own))] + made, names=names)
 

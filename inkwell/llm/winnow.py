@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Bits, Scratch, Words, chunks, dealt_join, hash_bits, kept_columns, mixed, quoted, saved, tidied
+from inkwell.llm.text import Bits, Scratch, Words, chunks, dealt_join, hash_bits, kept_columns, mixed, quoted, saved, tidied, with_text
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -149,15 +149,15 @@ def benchmark_rows(benchmark: DataFrame, winnower: Winnower, item_col: str, text
     return rows.mapInArrow(tidied(run), schema).distinct()
 
 
-def _marked(docs: DataFrame, columns: list, fields: list[T.StructField], text_col: str, winnower: Winnower, sizes: list[int], seen) -> DataFrame:
+def _marked(docs: DataFrame, names: list[str], columns: list, fields: list[T.StructField], text_col: str, winnower: Winnower, sizes: list[int], seen) -> DataFrame:
     """``columns``, the number of words, the fingerprints to be looked up, and for texts with any a name of the text."""
-    source = docs.select(*columns, F.col(quoted(text_col)).cast("string").alias("__text"))
+    source, text = with_text(docs, text_col, names, columns, fields)
     schema = T.StructType(fields + [T.StructField("__words", T.LongType()), T.StructField("__node", T.BinaryType()), T.StructField("__hits", _HIT)])
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("context", pa.binary()), ("places", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, "__text"):
+            for part, texts in chunks(batch, text):
                 count, found = winnower.of_documents(texts, sizes, seen.value)
                 hits = [[{"hash": h, "context": c, "places": at} for (h, c), at in x.items()] or None for x in found]
                 nodes = [hashlib.md5(t).digest() if x else None for t, x in zip(texts, found, strict=True)]
@@ -214,7 +214,7 @@ def contamination(
         theirs = scratch.saved(benchmark_rows(benchmark, winnower, item_col, item_text_col), "benchmark")
         sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # from 1 to the window's
         seen = spark.sparkContext.broadcast(hash_bits(theirs, "hash"))  # 4 MB whatever the benchmark
-        marked = saved(_marked(docs, columns, fields, text_col, winnower, sizes, seen), "marked")
+        marked = saved(_marked(docs, names, columns, fields, text_col, winnower, sizes, seen), "marked")
         maybe = marked.where(F.col("__hits").isNotNull())
         texts = maybe.groupBy("__node").agg(F.first("__hits").alias("__hits"))
         rows = scratch.saved(texts.select("__node", F.explode("__hits").alias("__hit")).select("__node", "__hit.*"), "fingerprints")

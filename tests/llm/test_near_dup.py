@@ -1,12 +1,15 @@
 import collections
+import functools
 import itertools
 import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from inkwell.llm import near_dup
 from inkwell.llm.queries import op4_near_duplicates, table
+from inkwell.llm.text import dealt_join
 
 
 def shingle_set(text):
@@ -105,6 +108,31 @@ def test_large_buckets_by_leaders_and_blocks(spark, monkeypatch):
         assert found_classes(spark, docs) == wanted
 
 
+def test_leaders_in_blocks_and_hot_keys(spark, monkeypatch):
+    """A leader's members in many blocks, and joins whose keys are dealt out although the table is small."""
+    rng = random.Random(12)
+    centre = words(rng, 200)
+    texts = [" ".join(changed(rng, centre, rng.randint(1, 4))) for _ in range(60)] * 2 + [" ".join(words(rng, 100)) for _ in range(20)]
+    docs = dict(enumerate(texts))
+    wanted = brute_classes(spark, docs)
+    monkeypatch.setattr(near_dup, "HUB_MEMBERS", 7)
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "dealt_join", functools.partial(dealt_join, least=3))
+    monkeypatch.setattr(near_dup, "BLOCKS_AT_ONCE", 1)
+    assert found_classes(spark, docs) == wanted
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_dup.deduplicated(frame).collect()} == set(wanted.values())
+
+
+def test_filter_of_nodes(spark):
+    rows = spark.range(4000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("node"), "id")
+    some = rows.where("id % 4 = 0")
+    inside, outside = ({r.id for r in near_dup._among(rows, some, there).collect()} for there in (True, False))
+    assert inside | outside == set(range(4000)) and not inside & outside
+    assert set(range(0, 4000, 4)) <= inside and len(inside) < 1010
+    assert near_dup._among(rows, some.limit(0)).count() == 0
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, class_id int")
     assert near_dup.near_duplicates(empty).count() == 0
