@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.text import Scratch, Words, chunks, dealt_join, mixed, quoted, saved, tidied
+from inkwell.llm.text import Scratch, Words, chunks, dealt_join, hot_keys, mixed, quoted, saved, tidied
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROUNDS, BANDS, ROWS = 8, 15, 24, 5  # BINS * ROUNDS == BANDS * ROWS
@@ -327,8 +327,9 @@ def components(edges: DataFrame, saved: Callable[[DataFrame, str], DataFrame] =
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    hot = hot_keys(both, "b")
     while True:
-        near = dealt_join(both, labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
+        near = dealt_join(both, labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b", hot=hot).groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
         step = saved(labels.join(near, "node", "left").select("node", "label", F.least("label", "m").alias("next")), "steps")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jumped"))
         step = saved(dealt_join(step, jump, "next", "left").select("node", "label", F.least("next", "jumped").alias("next")), "labels")

@@ -102,24 +102,33 @@ def saved(df: DataFrame, what: str, at: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A join's key is dealt to several tasks if it has over a thousandth of the rows, and so many at least.
-HOT_ROWS = 512
+#: A join's key is dealt to several tasks if it has more rows than that and is among the HOT_KEYS keys of the most rows (so
+#: any other has less than a HOT_KEYS-th of all rows), to as many tasks as HOT_KEYS at most.
+HOT_ROWS, HOT_KEYS = 512, 1000
+
+
+def hot_keys(left: DataFrame, key: str, counts: DataFrame | None = None, least: int = HOT_ROWS) -> list[tuple]:
+    """The keys of ``left`` that are dealt out, at most HOT_KEYS, and the number of parts of each.
+
+    ``counts`` has the rows of each key (``key``, ``__n``), which are counted else.
+    """
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("__n"))
+    rows = counts.where(F.col("__n") > least).select(key, "__n").orderBy(F.desc("__n"), key).limit(HOT_KEYS).collect()
+    most = max([least, *(-(-r[1] // HOT_KEYS) for r in rows)])
+    return [(r[0], -(-r[1] // most)) for r in rows if r[1] > most]
 
 
 def dealt_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None, number: Column | None = None, least: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None, hot: list[tuple] | None = None,
+    number: Column | None = None, least: int = HOT_ROWS,
 ) -> DataFrame:
     """``left.join(right, key, how)`` in which no key of ``left`` fills a task, however many rows it has.
 
-    ``how`` is inner, left or left_semi.  ``counts`` has the rows of each key (``key``, ``__n``), which are counted else;
+    ``how`` is inner, left or left_semi.  The hot keys are those of ``hot_keys``, found by ``counts`` if there are such.
     ``number`` tells a key's rows apart, whenever a task is run again.  Without it ``left`` has to be read from files, where
-    a row's place does.  At most a thousand keys have over a thousandth of the rows; their rows are dealt out by number,
-    and ``right``'s rows for these keys are there once for each part.
-    """
-    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    most = max(least, total // 1000)
-    hot = [] if total <= least else counts.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts")).collect()
+    a row's place does.  Hot keys' rows are dealt out by number, and ``right``'s rows for them are there once for each part.
+    """
+    hot = hot if hot is not None else hot_keys(left, key, counts, least)
     if not hot:
         return left.join(right, key, how)
     few = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([left.schema[key], T.StructField("__parts", T.IntegerType())])))
