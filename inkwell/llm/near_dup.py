@@ -48,8 +48,8 @@ FEW_COMPARISONS = 50_000_000
 BLOCK_OUTSIDE, BLOCK_MEMBERS = 32, 128
 #: Blocks of outsiders of a bucket (about) that meet all its members in one task.
 BLOCKS_AT_ONCE = 4
-#: Members and bytes of text (about) that are compared with a leader in one block.
-HUB_MEMBERS, HUB_BYTES = 256, 1 << 20
+#: Members (about) that are compared with a leader in one block.
+HUB_MEMBERS = 256
 #: Bits of a filter of nodes (log2): it is broadcast as at most 2^18 rows of 64, however many nodes there are.
 FILTER_BITS = 24
 
@@ -245,9 +245,9 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float, scratch:
     The members of a leader's pairs are dealt to blocks; rows are sorted so that each block's leader comes before them.
     """
     sides = pairs.select(F.when(F.col("lead"), F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(F.col("lead"), F.col("a")).otherwise(F.col("b")).alias("node"))
-    blocks = F.ceil(F.greatest(F.count("*") / HUB_MEMBERS, F.sum("size") / HUB_BYTES)).alias("blocks")
-    many = scratch.saved(sides.join(texts.select("node", "size"), "node").groupBy("hub").agg(blocks).where("blocks > 1"), "hubs")
-    placed = dealt_join(sides, many, "hub", "left").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    many = scratch.saved(sides.groupBy("hub").agg(F.count("*").alias("__n")).where(F.col("__n") > HUB_MEMBERS), "hubs")
+    blocks = many.select("hub", F.ceil(F.col("__n") / HUB_MEMBERS).alias("blocks"))
+    placed = dealt_join(sides, blocks, "hub", "left", counts=many).select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).alias("block"))
     placed = scratch.saved(placed, "placed")
     heads = scratch.saved(placed.select("hub", "block").distinct(), "heads")
     first = dealt_join(heads, texts.select(F.col("node").alias("hub"), "text"), "hub").select("hub", "block", F.lit(False).alias("member"), F.col("hub").alias("node"), "text")
@@ -378,7 +378,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         tested = scratch.saved(_distinct(pairs.union(_oriented(stars.withColumnRenamed("node", "x")))), "pairs")
         taking_part = members.select("node").distinct()
         texts = _among(_nodes_and_texts(docs, id_col, text_col), taking_part).groupBy("node").agg(F.min("text").alias("text"))
-        texts = scratch.saved(texts.withColumn("size", F.octet_length("text")), "texts")
+        texts = scratch.saved(texts, "texts")
         edges = scratch.saved(verified(tested, texts, weights, least, scratch), "links")
         labels = components(edges, scratch.saved)
 
