@@ -34,6 +34,11 @@ def test_headings_and_ids():
     assert html.with_anchor_ids(marked, html.chapters(marked)[0]) == marked
 
 
+def test_references_without_semicolon_stay():
+    for text, wanted in (("A &amp B", "A &amp B"), ("der&am", "der&am"), ("a&", "a&"), ("&amp;&amp", "&&amp"), ("&#65; &#65", "A &#65"), ("&ampx; &nope;", "&ampx; &nope;"), ("&#", "&#"), ("&#x", "&#x"), ("&amp;lt;", "&lt;")):
+        assert titles(f"<script>'&'</script><h1>{text}</h1>&#; <h2>Next &copy;</h2>")[1] == [(wanted, "#__ch0", ""), ("Next ©", "#__ch1", "")]
+
+
 def test_whole_and_blank():
     assert titles("<html><body> <p>x</p></body></html>") == ("whole", [("全文", "", "<p>x</p>")])
     assert titles("  ") == ("blank", [("全文", "", "  ")])
