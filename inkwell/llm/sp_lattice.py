@@ -44,6 +44,13 @@ def _uniform_of(bits: int) -> float:
     return ((x ^ x >> 31) >> 12) * 2.0**-52 + 2.0**-53
 
 
+def _processor(model):
+    """The library's processor of a model file's bytes, or one that is there already."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else model
+
+
 class Pieces:
     """A SentencePiece model's pieces as a lattice vocabulary.
 
@@ -52,9 +59,7 @@ class Pieces:
     """
 
     def __init__(self, proto: bytes, alpha: float = 1.0) -> None:
-        import sentencepiece
-
-        self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.processor = sp = _processor(proto)
         n = sp.get_piece_size()
         usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         texts = {i: sp.id_to_piece(i) for i in usable}
@@ -76,9 +81,9 @@ class Pieces:
         hashes, ids = mixed(np.fromiter((_piece_hash(t) for t, _ in named), np.uint64, len(named))), np.fromiter((i for _, i in named), np.int32, len(named))
         hashes, last = np.unique(hashes[::-1], return_index=True)
         ids = ids[::-1][last]
-        bits = max(16, (16 * len(named)).bit_length())
         self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         while len(ids):
+            bits = max(12, (4 * len(ids)).bit_length())
             shift = np.uint64(64 - bits)
             slot = (hashes >> shift).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
@@ -143,43 +148,77 @@ class Encoder:
     #: Words kept; the cache starts anew beyond that.
     MOST_WORDS = 200_000
 
-    def __init__(self, proto: bytes) -> None:
-        import sentencepiece
+    #: Bytes of new words that go to the library in one text.
+    JOINED_BYTES = 1 << 10
 
-        self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    def __init__(self, model) -> None:
+        self.processor = sp = _processor(model)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        # bytes that an id stands for; none are known of an unknown character's
+        self.bytes = np.array([1 if sp.is_byte(i) else 0 if sp.is_control(i) else -(1 << 40) if sp.is_unknown(i) else len(t.encode()) for i, t in enumerate(pieces)], np.int64)
         self.by_words = sp.normalize(" a  b ") == f"{MARK}{MARK}a{MARK}{MARK}b{MARK}" and not any(MARK in t.lstrip(MARK) for t in pieces)
         self.blank = sp.encode("a ")[len(sp.encode("a")) :]  # of a mark alone
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.begin, self.size, self.ids = WordTable(), _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+        self.table, self.cuts, self.ids = WordTable(), _Grown(np.int32), _Grown(np.int32)
+        self.cuts.extend(np.zeros(1, np.int32))
 
-    def encode(self, texts: list[str], normal: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and the number of ids of each; ``normal`` are the normalised texts, if at hand."""
+    def encode(self, texts: list[str], words: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each; ``words`` are ``cut_words`` of the normalised texts, if
+        at hand."""
         if not self.by_words:
             lists = [np.array(x, np.int32) for x in self.processor.encode(texts)]
             return np.concatenate([np.empty(0, np.int32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
-        if len(self.begin) > self.MOST_WORDS:
+        if len(self.cuts) > self.MOST_WORDS:
             self._clear()
-        raw, start, end, hashes, first_word = cut_words(normal if normal is not None else [self.processor.normalize(t) for t in texts])
+        raw, start, end, hashes, first_word = words or cut_words([self.processor.normalize(t) for t in texts])
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
             new, where = np.unique(hashes[missing], return_index=True)
             where = missing[where]
-            # the library puts the first mark back, but for a text of nothing else
-            own = [raw[a:b].tobytes().decode()[1:].replace(MARK, " ") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-            lists = [x if t else self.blank for t, x in zip(own, self.processor.encode(own), strict=True)]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.begin.extend(len(self.ids) + np.cumsum(size) - size)
-            self.size.extend(size)
-            self.ids.extend(np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())))
+            ids, size = self._learnt(raw, start[where], end[where])
+            self.cuts.extend(len(self.ids) + np.cumsum(size))
+            self.ids.extend(ids)
             self.table.add(new)
             number[missing] = self.table.find(hashes[missing])
-        size = self.size.all()[number]
-        cut = np.concatenate([[0], np.cumsum(size)])[first_word]
-        return self.ids.all()[gathered(self.begin.all()[number], size)], np.diff(cut)
+        found = pa.ListArray.from_arrays(pa.array(self.cuts.all()), pa.array(self.ids.all())).take(pa.array(number))
+        cut = found.offsets.to_numpy()[first_word].astype(np.int64)
+        return found.values.to_numpy()[cut[0] : cut[-1]], np.diff(cut)
+
+    def _learnt(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of these words in a row, and the number of ids of each.  Words go to it several in one text, as no
+        piece crosses them; they are told apart by the bytes that their ids stand for."""
+        size = end - start
+        bare = raw[end - 1] == 0x81
+        bare &= (raw[end - 2] == 0x96) & (raw[end - 3] == 0xE2)  # of marks alone, which would run into the next word
+        joined = np.flatnonzero(~bare)
+        own = raw[gathered(start[joined], size[joined])].tobytes()
+        ends = np.cumsum(size[joined])
+        last = np.append(np.flatnonzero(np.diff((ends - 1) // self.JOINED_BYTES)), len(ends) - 1) if len(ends) else joined
+        ids, _ = self._encoded([own[a:b] for a, b in zip([0, *ends[last].tolist()], ends[last].tolist(), strict=False)])
+        upto = np.cumsum(self.bytes[ids])
+        at = np.searchsorted(upto, ends)
+        if len(ends) and (not len(ids) or upto[-1] != ends[-1] or self.bytes[ids].min() < 0 or (upto[at] != ends).any()):
+            bare[:] = True  # ids that do not tell their bytes: each word by itself
+            joined, at, ids = joined[:0], at[:0], ids[:0]
+        alone = np.flatnonzero(bare)
+        more, cut = self._encoded([raw[a:b].tobytes() for a, b in zip(start[alone].tolist(), end[alone].tolist(), strict=True)])
+        counts = np.empty(len(size), np.int64)
+        counts[joined], counts[alone] = np.diff(at + 1, prepend=0), np.diff(cut)
+        if not len(alone):
+            return ids, counts
+        begin = np.empty(len(size), np.int64)
+        begin[joined], begin[alone] = np.concatenate([[0], at + 1])[: len(joined)], len(ids) + cut[:-1]
+        return np.concatenate([ids, more])[gathered(begin, counts)], counts
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of normalised texts in a row, and where each one's begin (with the end)."""
+        # the library puts the first mark back, but for a text of nothing else
+        own = [w.decode("utf-8", "surrogatepass")[1:].replace(MARK, " ") for w in words]
+        lists = [x if t else self.blank for t, x in zip(own, self.processor.encode(own), strict=True)]
+        return np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in lists)]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
 
 class Lattice:
@@ -306,11 +345,12 @@ class Lattice:
             beta[node] = total
             at += many
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of every word of every normalised text in turn, and the words before each text (with the total)."""
+    def words(self, cut: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word of every normalised text in turn, and the words before each text (with the total); ``cut``
+        are ``cut_words`` of the texts."""
         if len(self.first) > self.MOST_NODES:
             self.forget(self.MOST_NODES // 2) if len(self.extra) < self.MOST_NODES else self.clear()
-        raw, start, end, hashes, first_word = cut_words(texts)
+        raw, start, end, hashes, first_word = cut
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
@@ -409,7 +449,8 @@ class _Grown:
         self.used = need
 
     def replace(self, values: np.ndarray) -> None:
-        self.array, self.used = values.astype(self.array.dtype), len(values)
+        self.used = 0
+        self.extend(values)
 
     def all(self) -> np.ndarray:
         return self.array[: self.used]
@@ -422,8 +463,8 @@ class Samples:
     segmentations gives them all, with inclusion 1; an empty one gives one empty segmentation.
     """
 
-    def __init__(self, texts: list[str], keys: np.ndarray, lattice: Lattice, k: int) -> None:
-        word, first_word = lattice.words(texts)
+    def __init__(self, texts: list[str], keys: np.ndarray, lattice: Lattice, k: int, words: tuple | None = None) -> None:
+        word, first_word = lattice.words(words or cut_words(texts))
         self.lattice = lattice
         text_of = np.repeat(np.arange(len(texts)), np.diff(first_word))
         self.keys = keys = mixed(keys.astype(np.uint64))
@@ -599,25 +640,28 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # made anew in each task: kept in idle workers, they would take memory from whatever runs next
-        lattice, encoder, decoder = Lattice(Pieces(proto.value, alpha)), Encoder(proto.value) if own else None, Decoder(proto.value)
+        lattice = Lattice(Pieces(proto.value, alpha))
+        encoder, decoder = Encoder(lattice.pieces.processor) if own else None, Decoder(lattice.pieces.processor)
         for batch in batches:
             for part, texts in chunks(batch, "__text", 1 << 19):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
                 texts = [t.decode("utf-8", "replace") for t in texts]
                 normal = [lattice.pieces.normalized(t) for t in texts]
-                found = Samples(normal, keys, lattice, k)
+                words = cut_words(normal)
+                found = Samples(normal, keys, lattice, k, words)
                 scores = [found.log_prob, found.gumbel, found.inclusion]
                 lists = found.ids
                 if own:
-                    flat, size = encoder.encode(texts, normal)
+                    flat, size = encoder.encode(texts, words)
                     lists = [[x, *mine] for x, mine in zip(np.split(flat, np.cumsum(size)[:-1]), lists, strict=True)]
                     scores = [[[None, *mine] for mine in x] for x in scores]
-                back = [decoder.marked(x) == t for t, mine in zip(normal, lists, strict=True) for x in mine]
                 counts = [len(x) for x in lists]
                 rows = pa.array(np.repeat(np.arange(len(texts)), counts))
                 ids = [x for mine in lists for x in mine]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+                arrays = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                back = [x == t for x, t in zip(decoder.marked(flat, offsets), (t.encode() for t, n in zip(normal, counts, strict=True) for _ in range(n)), strict=True)]
                 numbers = pa.array([i + (not own) for n in counts for i in range(n)], pa.int32())
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in scores]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, arrays, *floats, pa.array(back, pa.bool_())], names=names)
@@ -648,10 +692,8 @@ def encode(docs: DataFrame, model_path: str, *, keep: list[str] | None = None, t
 class Decoder:
     """Ids to texts: the pieces' characters or bytes in a row, word marks as spaces, without the leading one."""
 
-    def __init__(self, proto: bytes) -> None:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    def __init__(self, model) -> None:
+        sp = _processor(model)
         spelt = []
         for i in range(sp.get_piece_size()):
             if sp.is_byte(i):
@@ -663,17 +705,19 @@ class Decoder:
         self.size = np.fromiter(map(len, spelt), np.int64, len(spelt))
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt = pa.array([x.replace(b" ", MARK.encode()) for x in spelt], pa.large_binary())
         self.dummy = sp.normalize("a").startswith(MARK)
 
-    def marked(self, ids: np.ndarray) -> str:
-        """The pieces' characters with their word marks: a normalised text."""
-        return self._joined(ids).replace(" ", MARK)
-
-    def _joined(self, ids: np.ndarray) -> str:
-        return self.flat[gathered(self.begin[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
+    def marked(self, ids: pa.Array, cuts: np.ndarray) -> Iterator[bytes]:
+        """The pieces' characters with their word marks, as bytes of a normalised text, for the ids between each two cuts."""
+        found = self.spelt.take(ids)
+        _, offsets, data = found.buffers()
+        data = memoryview(data) if data else b""
+        at = np.frombuffer(offsets, np.int64)[cuts].tolist() if len(ids) else [0] * len(cuts)
+        return (bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False))
 
     def text(self, ids: np.ndarray) -> str:
-        raw = self._joined(ids)
+        raw = self.flat[gathered(self.begin[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
         return raw[1:] if self.dummy and raw.startswith(" ") else raw
 
 

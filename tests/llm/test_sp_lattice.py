@@ -110,6 +110,26 @@ def test_encoding_is_the_librarys(texts):
 encoder = sp_lattice.Encoder(open(PATH, "rb").read())
 
 
+def test_words_go_to_the_library_together(monkeypatch):
+    texts = [f"one{i} twö{i * 7} 漢{i}  {i}🙂 " for i in range(2000)] + [" ", "  ", "x" * 5000, ""]
+    wanted, given = encoder.processor.encode(texts), []
+    for joined, told in ((sp_lattice.Encoder.JOINED_BYTES, True), (1, True), (1 << 30, True), (1 << 10, False)):
+        mine = sp_lattice.Encoder(open(PATH, "rb").read())
+        mine.JOINED_BYTES = joined
+        if not told:
+            mine.bytes[:] = -1
+        monkeypatch.setattr(mine, "_encoded", lambda words, f=mine._encoded: (given.append(len(words)), f(words))[1])
+        ids, size = mine.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == wanted
+    assert sum(given[:2]) < 100 < 8000 < sum(given[-2:])
+
+
+def test_a_worker_has_one_processor_and_small_tables(pieces):
+    assert sp_lattice.Encoder(pieces.processor).processor is pieces.processor
+    assert sum(held.nbytes + name.nbytes for _, held, name in pieces.tables) < 10e6
+    assert sp_lattice.Decoder(pieces.processor).text(np.array(pieces.processor.encode("a ▁b"))) == "a  b"
+
+
 def test_query(spark):
     """The library's own ids by a processor of its own, and the samples decoded by it."""
     rows = op2_sentencepiece(spark, SF).collect()
