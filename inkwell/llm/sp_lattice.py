@@ -95,10 +95,15 @@ class Pieces:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of pieces, -1 for beginnings of pieces, -2 for anything else."""
-        out = np.full(len(hashes), -2, np.int32)
+        out, rest = np.full(len(hashes), -2, np.int32), None
         for shift, held, name in self.tables:
             at = (hashes >> shift).astype(np.int64)
-            np.copyto(out, name[at], where=held[at] == hashes)
+            there = held.take(at)
+            hit = there == hashes
+            found = np.flatnonzero(hit)
+            out[found if rest is None else rest.take(found)] = name.take(at.take(found))
+            go = np.flatnonzero(~hit & (there != 0))  # another one's place
+            hashes, rest = hashes.take(go), go if rest is None else rest.take(go)
         return out
 
     def normalized(self, text: str) -> str:
@@ -278,7 +283,7 @@ class Lattice:
         parts: list[tuple[np.ndarray, int, np.ndarray]] = []
         at, h, size = np.arange(n), np.zeros(n, np.uint64), 0
         while len(at):
-            h = h * np.uint64(_BASE) + code[at + size] + np.uint64(1)
+            h = h * np.uint64(_BASE) + code.take(at + size) + np.uint64(1)
             size += 1
             found = pieces.find(mixed(h))
             whole = np.flatnonzero(found >= 0)
@@ -290,8 +295,9 @@ class Lattice:
                     self.extra.append([pieces.bytes.get(x, pieces.unknown) for x in raw] if pieces.bytes else [pieces.unknown])
                 parts.append((alone, 1, np.array([pieces.size + self.spelt[c] for c in code[alone].tolist()], np.int32)))
             parts.append((at[whole], size, found[whole]))
-            go = np.flatnonzero((found > -2) & (left[at] > size))
-            at, h = at[go], h[go]
+            go = np.flatnonzero(found > -2)
+            go = go.take(np.flatnonzero(left.take(at.take(go)) > size))
+            at, h = at.take(go), h.take(go)
         # edges by node, shorter pieces first
         choices = np.zeros(n, np.int64)
         for who, _, _ in parts:
@@ -318,13 +324,15 @@ class Lattice:
                 break
             own = gathered(first[nodes], choices[nodes])
             starts = np.cumsum(choices[nodes]) - choices[nodes]
-            beta[nodes] = np.logaddexp.reduceat(logp[own] + beta[ahead[own]], starts)
-        logp = logp + beta[ahead] - beta[node]
-        logp[choices[node] == 1] = 0.0
+            beta[nodes] = np.logaddexp.reduceat(logp.take(own) + beta.take(ahead.take(own)), starts)
+        logp = logp + beta.take(ahead) - np.repeat(beta[:-1], choices)
+        logp[first[choices == 1]] = 0.0
         cum = np.exp(logp)
+        at, many = first, choices
         for rank in range(1, int(choices.max())):  # each node by itself, so that no word's sums depend on other words
-            at = first[choices > rank] + rank
-            cum[at] += cum[at - 1]
+            go = many > rank
+            at, many = at[go], many[go]
+            cum[at + rank] += cum[at + rank - 1]
         cum[first + choices - 1] = 2.0
         nodes, edges = len(self.first), len(self.node)
         for mine, new in (
@@ -395,16 +403,18 @@ class Lattice:
                 alone = [(int(w), self._walk_on(int(a), int(b), int(k), t)) for w, a, b, k in zip(active, at, stop, key, strict=True)]
                 break
             u = _uniform(key + _STEP * np.uint64([t]))
-            edge = first[at]
-            wait = np.flatnonzero(cum[edge] <= u)
+            edge = first.take(at).astype(np.int64)
+            wait = np.flatnonzero(cum.take(edge) <= u)
+            more, above = edge.take(wait) + 1, u.take(wait)
             while len(wait):
-                edge[wait] += 1
-                wait = wait[cum[edge[wait]] <= u[wait]]
+                edge[wait] = more
+                go = np.flatnonzero(cum.take(more) <= above)
+                wait, more, above = wait.take(go), more.take(go) + 1, above.take(go)
             steps.append((active, edge))
             counts[active] += 1
-            at = at + size[edge]
+            at = at + size.take(edge)
             go = np.flatnonzero(at < stop)
-            active, at, stop, key = active[go], at[go], stop[go], key[go]
+            active, at, stop, key = active.take(go), at.take(go), stop.take(go), key.take(go)
             t += 1
         taken = counts.copy()
         for w, edges in alone:
@@ -470,8 +480,8 @@ class Samples:
         self.keys = keys = mixed(keys.astype(np.uint64))
         word_key = mixed(keys[text_of] + (np.arange(len(word)) - first_word[text_of]).astype(np.uint64) * _TOKEN)
         begin, end = lattice.begin.all()[word].astype(np.int64), lattice.end.all()[word].astype(np.int64)
-        size_of = np.concatenate([np.ones(lattice.pieces.size, np.int64), np.fromiter(map(len, lattice.extra), np.int64, len(lattice.extra))])
-        flat = np.concatenate([np.arange(lattice.pieces.size), np.array([i for x in lattice.extra for i in x], np.int64)]).astype(np.int32)
+        size_of = np.fromiter(map(len, lattice.extra), np.int64, len(lattice.extra))
+        flat = np.array([i for x in lattice.extra for i in x], np.int32)
         begin_of = np.cumsum(size_of) - size_of
         self.ids: list[list[np.ndarray]] = [[] for _ in texts]
         self.log_prob: list[list[float]] = [[] for _ in texts]
@@ -480,10 +490,15 @@ class Samples:
 
         def spelled(edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             piece = lattice.piece.all()[edges]
-            if not lattice.extra:
+            at = np.flatnonzero(piece >= lattice.pieces.size)
+            if not len(at):
                 return piece, cut
-            sizes = size_of[piece]
-            return flat[gathered(begin_of[piece], sizes)], np.concatenate([[0], np.cumsum(sizes)])[cut]
+            which = piece[at] - lattice.pieces.size
+            sizes = np.ones(len(piece), np.int64)
+            sizes[at] = size_of[which]
+            out, before = np.repeat(piece, sizes), np.concatenate([[0], np.cumsum(size_of[which] - 1)])
+            out[gathered(at + before[:-1], size_of[which])] = flat[gathered(begin_of[which], size_of[which])]
+            return out, cut + before[np.searchsorted(at, cut)]
 
         edges, counts = lattice.walk(begin, end, word_key + np.uint64(1))
         word_cut = np.concatenate([[0], np.cumsum(counts)])
@@ -661,7 +676,8 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                back = [x == t for x, t in zip(decoder.marked(flat, offsets), (t.encode() for t, n in zip(normal, counts, strict=True) for _ in range(n)), strict=True)]
+                wanted = (x for x, n in zip((t.encode() for t in normal), counts, strict=True) for _ in range(n))
+                back = [x == t for x, t in zip(decoder.marked(flat, offsets), wanted, strict=True)]
                 numbers = pa.array([i + (not own) for n in counts for i in range(n)], pa.int32())
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in scores]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, arrays, *floats, pa.array(back, pa.bool_())], names=names)
