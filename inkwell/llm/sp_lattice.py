@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.bpe import WordTable, gathered
-from inkwell.llm.text import chunks, kept_columns, map_texts, mixed, quoted, span_hashes, tidied
+from inkwell.llm.text import chunks, give_back, kept_columns, map_texts, mixed, quoted, span_hashes, tidied
 
 MARK = "▁"
 _STEP, _TOKEN = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
@@ -234,7 +234,7 @@ class Lattice:
     """
 
     #: Nodes kept; beyond that, the next chunk starts with no more than the words that were used again, up to half as many.
-    MOST_NODES = 600_000
+    MOST_NODES = 300_000
     #: So few words left are handled one by one instead of together.
     FEW = 2
     #: Characters of new words whose lattices are built at once.
@@ -657,8 +657,9 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
         # made anew in each task: kept in idle workers, they would take memory from whatever runs next
         lattice = Lattice(Pieces(proto.value, alpha))
         encoder, decoder = Encoder(lattice.pieces.processor) if own else None, Decoder(lattice.pieces.processor)
+        give_back()  # what the vocabulary was built from
         for batch in batches:
-            for part, texts in chunks(batch, "__text", 1 << 19):
+            for part, texts in chunks(batch, "__text"):
                 keys = part.column(len(keep)).to_numpy(zero_copy_only=False).view(np.uint64)
                 texts = [t.decode("utf-8", "replace") for t in texts]
                 normal = [lattice.pieces.normalized(t) for t in texts]
@@ -681,6 +682,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 numbers = pa.array([i + (not own) for n in counts for i in range(n)], pa.int32())
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in scores]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, arrays, *floats, pa.array(back, pa.bool_())], names=names)
+            batch = part = None  # not beside the next one
 
     return source.mapInArrow(tidied(run), schema).toDF(*keep, *results)
 

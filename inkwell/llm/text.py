@@ -200,23 +200,30 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: in
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the memory that it has freed goes back to the system: Python workers stay, idle, after a task."""
+    """``run``, before and after which freed memory goes back to the system: Python workers stay, idle, after a task, and drop
+    an earlier task's broadcasts when the next one begins."""
 
     def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         try:
             yield from run(batches)
         finally:
             if len(_powers[0]) > _KEPT_POWERS:
                 _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other systems have none
-            if trim:
-                trim(0)
+            give_back()
 
     return to_the_end
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other systems have none
+    if trim:
+        trim(0)
+
+
 def with_text(df: DataFrame, text_col: str, kept: list[str], columns: list[Column], own: list[T.StructField]) -> tuple[DataFrame, str]:
     """The kept columns with the text, and its name: if it is kept itself, it goes to Python once."""
     if text_col in kept and isinstance(own[kept.index(text_col)].dataType, T.StringType):
