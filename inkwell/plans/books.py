@@ -190,14 +190,17 @@ def texts(books: DataFrame, *, repair: bool = True, pictures: bool = False) -> D
     return books.where("status = 'OK'").select("path", read.alias("t"), *more).select("path", "t.*", *(["pictures"] if pictures else []))
 
 
-def chaptered(found: DataFrame) -> DataFrame:
-    """``found`` with ``html`` (with ids for made-up anchors), ``chapters``, ``strategy``; blank books have no chapters."""
+def chaptered(found: DataFrame, *, least_pages: int = 2) -> DataFrame:
+    """``found`` with ``html`` (with ids for made-up anchors), ``chapters``, ``strategy``; blank books have no chapters.
+
+    Page breaks give the chapters if there are ``least_pages`` pages or more between them.
+    """
 
     def one(source: str | None) -> dict:
         source = source or ""
-        if not source.strip():
+        if not source.strip(html.WHITE):
             return {"html": source, "chapters": [], "strategy": "blank"}
-        parts, strategy = html.chapters(source)
+        parts, strategy = html.chapters(source, least_pages)
         rows = [{"idx": c.idx, "title": c.title, "anchor": c.anchor, "html_content": c.html_content} for c in parts]
         return {"html": html.with_anchor_ids(source, parts), "chapters": rows, "strategy": strategy}
 
