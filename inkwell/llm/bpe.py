@@ -83,7 +83,7 @@ class WordTable:
 
     def __init__(self, bits: int = 18) -> None:
         self.bits, self.used = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -92,15 +92,18 @@ class WordTable:
         """The places, -1 for unknown hashes."""
         mask = (1 << self.bits) - 1
         slot = self._slots(hashes)
-        held = self.keys[slot]
-        out = np.where(held == hashes, self.values[slot], -1)
-        go = np.flatnonzero((held != hashes) & (held != 0))
+        held = self.keys.take(slot)
+        hit = held == hashes
+        out = np.where(hit, self.values.take(slot), -1)
+        go = np.flatnonzero(~hit & (held != 0))
+        hashes, slot = hashes.take(go), slot.take(go)
         while len(go):
-            slot[go] = (slot[go] + 1) & mask
-            held = self.keys[slot[go]]
-            hit = held == hashes[go]
-            out[go[hit]] = self.values[slot[go[hit]]]
-            go = go[~hit & (held != 0)]
+            slot = (slot + 1) & mask
+            held = self.keys.take(slot)
+            hit = held == hashes
+            out[go[hit]] = self.values.take(slot[hit])
+            on = np.flatnonzero(~hit & (held != 0))
+            go, hashes, slot = go.take(on), hashes.take(on), slot.take(on)
         return out
 
     def add(self, hashes: np.ndarray) -> None:
@@ -111,16 +114,16 @@ class WordTable:
             old = self.keys != 0
             hashes, values = np.concatenate([self.keys[old], hashes]), np.concatenate([self.values[old], values])
             self.bits = max(self.bits + 1, (3 * self.used).bit_length())
-            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         mask = (1 << self.bits) - 1
-        slot, go = self._slots(hashes), np.arange(len(hashes))
-        while len(go):
-            free = go[self.keys[slot[go]] == 0]
-            self.keys[slot[free]] = hashes[free]
-            won = free[self.keys[slot[free]] == hashes[free]]
+        slot = self._slots(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.keys.take(slot) == 0)
+            self.keys[slot.take(free)] = hashes.take(free)
+            won = self.keys.take(slot) == hashes
             self.values[slot[won]] = values[won]
-            go = np.setdiff1d(go, won, assume_unique=True)
-            slot[go] = (slot[go] + 1) & mask
+            go = np.flatnonzero(~won)
+            hashes, values, slot = hashes.take(go), values.take(go), (slot.take(go) + 1) & mask
 
 
 class ByteBpe:

@@ -9,7 +9,7 @@ proportion to the probabilities left, and the rest is sampled down the tree.  So
 replacement, in order.  With kappa the largest bound left after k, a segmentation of log-probability phi has the inclusion
 score 1 - exp(-exp(phi - kappa)).
 
-No piece goes over from other characters to a word mark, so the lattice falls apart into words; words that many texts share
+No piece goes over from other characters to a word mark, so the lattice falls apart into words; endings that many words share
 are built once, and all words of a chunk's texts take their decisions together in numpy.
 """
 
@@ -63,7 +63,7 @@ class Pieces:
         n = sp.get_piece_size()
         usable = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         texts = {i: sp.id_to_piece(i) for i in usable}
-        if any(MARK in t.lstrip(MARK) for t in texts.values()):
+        if any(MARK in t and MARK in t.lstrip(MARK) for t in texts.values()):
             raise ValueError("pieces that go over from a word to a word mark are not supported")
         score = np.array([sp.get_score(i) for i in range(n)])
         ranks = all(float(s).is_integer() for s in score[usable])
@@ -76,11 +76,20 @@ class Pieces:
         self.longest = max(map(len, texts.values()))
         # id of a piece, or -1 of a mere beginning of pieces, by the hash of its characters; a hash that meets another
         # one in a table goes on to the next table
-        starts = {t[:i] for t in texts.values() for i in range(1, len(t))} - set(texts.values())
-        named = [*((t, -1) for t in starts), *((t, i) for i, t in texts.items())]
-        hashes, ids = mixed(np.fromiter((_piece_hash(t) for t, _ in named), np.uint64, len(named))), np.fromiter((i for _, i in named), np.int32, len(named))
-        hashes, last = np.unique(hashes[::-1], return_index=True)
-        ids = ids[::-1][last]
+        size = np.fromiter(map(len, texts.values()), np.int64, len(texts))
+        code = np.frombuffer("".join(texts.values()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        own = np.fromiter(texts, np.int32, len(texts))
+        at, h, parts = np.cumsum(size) - size, np.zeros(len(texts), np.uint64), []
+        while len(at):
+            h = h * np.uint64(_BASE) + code[at] + np.uint64(1)
+            size = size - 1
+            parts.append((h, np.where(size == 0, own, -1)))
+            go = size > 0
+            at, h, size, own = at[go] + 1, h[go], size[go], own[go]
+        hashes, ids = mixed(np.concatenate([h for h, _ in parts])), np.concatenate([x for _, x in parts]).astype(np.int32)
+        order = np.lexsort((ids, hashes))  # the last one of a hash: a piece, if it is one, before a mere beginning
+        order = order[np.append(np.diff(hashes[order]) != 0, True)]
+        hashes, ids = hashes[order], ids[order]
         self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         while len(ids):
             bits = max(12, (4 * len(ids)).bit_length())
@@ -113,13 +122,6 @@ class Pieces:
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _piece_hash(text: str) -> int:
-    h = 0
-    for c in text:
-        h = (h * _BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of normalised texts in a row, where their words start and end and what they hash to, and the words before each
     text (with the total).  A word is a run of word marks with what follows up to the next mark."""
@@ -181,13 +183,13 @@ class Encoder:
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
-            new, where = np.unique(hashes[missing], return_index=True)
-            where = missing[where]
-            ids, size = self._learnt(raw, start[where], end[where])
+            where, place = _distinct(hashes.take(missing))
+            where = missing.take(where)
+            ids, size = self._learnt(raw, start.take(where), end.take(where))
             self.cuts.extend(len(self.ids) + np.cumsum(size))
             self.ids.extend(ids)
-            self.table.add(new)
-            number[missing] = self.table.find(hashes[missing])
+            number[missing] = self.table.used + place
+            self.table.add(hashes.take(where))
         found = pa.ListArray.from_arrays(pa.array(self.cuts.all()), pa.array(self.ids.all())).take(pa.array(number))
         cut = found.offsets.to_numpy()[first_word].astype(np.int64)
         return found.values.to_numpy()[cut[0] : cut[-1]], np.diff(cut)
@@ -227,163 +229,164 @@ class Encoder:
 
 
 class Lattice:
-    """Lattices of distinct words, one after the other; words are added as they come, and kept for later texts.
+    """Lattices of distinct words; words are added as they come, and kept for later texts.
 
-    Node ``begin[w] + i`` stands before character i of word w.  The edges that leave a node lie in a row from
-    ``first[node]``, shorter pieces first; ``cum`` sums their conditional probabilities (2 at the last).
+    What can follow a place of a word depends on the rest of the word alone, so a node stands for a rest, whatever words end
+    in it; node 0 is the end of all words.  The edges that leave a node lie in a row from ``first[node]``, shorter pieces
+    first; they lead to the nodes ``ahead``, which have smaller numbers; ``cum`` sums their conditional probabilities (2 at
+    the last); ``beta`` is the log-sum of all ways from a node to the end.
     """
 
-    #: Nodes kept; beyond that, the next chunk starts with no more than the words that were used again, up to half as many.
-    MOST_NODES = 300_000
+    #: Nodes kept; beyond that, the next chunk starts anew.
+    MOST_NODES = 200_000
     #: So few words left are handled one by one instead of together.
     FEW = 2
-    #: Characters of new words whose lattices are built at once.
+    #: Characters of new words that are looked through at once.
     BUILT_CHARS = 1 << 16
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        self.first, self.choices, self.beta = _Grown(np.int32), _Grown(np.int16), _Grown(np.float64)
+        self.node, self.ahead, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int32), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
         self.clear()
 
     def clear(self) -> None:
-        self.table = WordTable()
+        self.table = WordTable(20)  # sparse: look-ups end after few steps
         self.extra: list[list[int]] = []  # ids of the characters without a piece
         self.spelt: dict[int, int] = {}
-        self.begin, self.end, self.hash, self.uses = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint64), _Grown(np.int32)
-        self.first, self.choices = _Grown(np.int32), _Grown(np.int16)
-        self.node, self.size, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int16), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
-
-    def forget(self, most: int) -> None:
-        """Drop the words used once, and of the others the least used ones beyond ``most`` nodes."""
-        begin, end, uses = self.begin.all(), self.end.all(), self.uses.all()
-        order = np.argsort(-uses, kind="stable")
-        order = order[uses[order] > 1]
-        kept = np.sort(order[np.cumsum((end - begin)[order]) <= most])
-        size = (end - begin)[kept].astype(np.int64)
-        nodes = gathered(begin[kept].astype(np.int64), size)
-        choices = self.choices.all()[nodes].astype(np.int64)
-        edges = gathered(self.first.all()[nodes].astype(np.int64), choices)
-        ends = np.cumsum(size)
-        self.table = WordTable()
-        self.table.add(self.hash.all()[kept])
-        for mine, new in (
-            (self.hash, self.hash.all()[kept]), (self.uses, np.zeros(len(kept), np.int32)), (self.begin, ends - size), (self.end, ends),
-            (self.first, np.cumsum(choices) - choices), (self.choices, choices), (self.node, np.repeat(np.arange(len(nodes)), choices)),
-            (self.size, self.size.all()[edges]), (self.piece, self.piece.all()[edges]), (self.logp, self.logp.all()[edges]), (self.cum, self.cum.all()[edges]),
-        ):
-            mine.replace(new)
+        for mine in (self.first, self.choices, self.beta):
+            mine.replace(np.zeros(1))
+        for mine in (self.node, self.ahead, self.piece, self.logp, self.cum):
+            mine.replace(np.zeros(0))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The nodes of rests by their hashes; 0 for those that have none yet."""
+        return self.table.find(hashes) + 1
 
-    def add(self, code: np.ndarray, length: np.ndarray) -> None:
-        """Words that are not there yet, by their characters in a row, numbered from ``len(self.begin)`` on."""
+    def add(self, code: np.ndarray, place: np.ndarray, left: np.ndarray, node_at: np.ndarray) -> None:
+        """New nodes, which take the next numbers: the rests that begin at these places of ``code`` and have ``left``
+        characters, shorter ones first.  ``node_at`` has the nodes of all places, new ones with the numbers they will have."""
         pieces = self.pieces
-        code = code.astype(np.uint64)
-        end = np.cumsum(length)
-        n = len(code)
-        left = np.repeat(end, length) - np.arange(n)  # characters to the word's end
+        n, base = len(place), len(self.first)
         # all pieces at all places, by length; only places where a longer piece may begin go on
         parts: list[tuple[np.ndarray, int, np.ndarray]] = []
-        at, h, size = np.arange(n), np.zeros(n, np.uint64), 0
-        while len(at):
-            h = h * np.uint64(_BASE) + code.take(at + size) + np.uint64(1)
+        who, at, h, size = np.arange(n), place, np.zeros(n, np.uint64), 0
+        while len(who):
+            h *= np.uint64(_BASE)
+            h += code.take(at)
+            h += np.uint64(1)
             size += 1
             found = pieces.find(mixed(h))
             whole = np.flatnonzero(found >= 0)
             if size == 1:  # characters without a piece: their bytes, as one edge
                 alone = np.flatnonzero(found < 0)
-                for c in set(code[alone].tolist()) - set(self.spelt):
+                rare = code[place[alone]].tolist()
+                for c in set(rare) - set(self.spelt):
                     self.spelt[c] = len(self.extra)
                     raw = chr(c).encode("utf-8", "surrogatepass")
                     self.extra.append([pieces.bytes.get(x, pieces.unknown) for x in raw] if pieces.bytes else [pieces.unknown])
-                parts.append((alone, 1, np.array([pieces.size + self.spelt[c] for c in code[alone].tolist()], np.int32)))
-            parts.append((at[whole], size, found[whole]))
-            go = np.flatnonzero(found > -2)
-            go = go.take(np.flatnonzero(left.take(at.take(go)) > size))
-            at, h = at.take(go), h.take(go)
+                parts.append((alone, 1, np.array([pieces.size + self.spelt[c] for c in rare], np.int32)))
+            parts.append((who.take(whole), size, found.take(whole)))
+            go = np.flatnonzero((found > -2) & (left.take(who) > size))
+            who, at, h = who.take(go), at.take(go) + 1, h.take(go)
         # edges by node, shorter pieces first
         choices = np.zeros(n, np.int64)
         for who, _, _ in parts:
             choices[who] += 1
-        first = np.cumsum(choices) - choices
+        cut = np.concatenate([[0], np.cumsum(choices)])
+        first = cut[:-1]
         upto = first.copy()
-        total = int(choices.sum())
-        size, piece = np.empty(total, np.int64), np.empty(total, np.int64)
-        for who, length_of, ids in parts:
-            size[upto[who]], piece[upto[who]] = length_of, ids
+        total = int(cut[-1])
+        ahead, piece = np.empty(total, np.int64), np.empty(total, np.int64)
+        for who, length, ids in parts:
+            mine = upto.take(who)
             upto[who] += 1
-        node = np.repeat(np.arange(n), choices)
+            ahead[mine] = np.where(left.take(who) == length, 0, node_at.take(place.take(who) + length, mode="clip"))
+            piece[mine] = ids
         logp = np.concatenate([pieces.logp, [pieces.floor * len(x) for x in self.extra]])[piece]
-        # backward log-sums, all words at once, by distance to the word's end
-        beta = np.zeros(n)
-        ahead = np.where(size == left[node], n, node + size)  # the word's end has the value 0
-        beta = np.append(beta, 0.0)
-        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left))])
-        for distance in range(1, len(cuts) - 1):
-            nodes = order[cuts[distance] : cuts[distance + 1]]
-            if len(nodes) <= self.FEW:  # the far ends of very long words
-                self._sum_back(order[cuts[distance] :], first, choices, ahead, logp, beta)
-                break
-            own = gathered(first[nodes], choices[nodes])
-            starts = np.cumsum(choices[nodes]) - choices[nodes]
-            beta[nodes] = np.logaddexp.reduceat(logp.take(own) + beta.take(ahead.take(own)), starts)
-        logp = logp + beta.take(ahead) - np.repeat(beta[:-1], choices)
+        # log-sums from the end, all rests of one length at once
+        self.beta.extend(np.zeros(n))
+        beta = self.beta.all()
+        steps = np.flatnonzero(np.diff(left, prepend=0, append=0))
+        far = len(steps) - 1
+        while far and steps[far] - steps[far - 1] <= self.FEW:  # the far ends of very long words
+            far -= 1
+        for a, b in zip(steps[:far].tolist(), steps[1 : far + 1].tolist(), strict=True):
+            low, high = cut[a], cut[b]
+            beta[base + a : base + b] = np.logaddexp.reduceat(logp[low:high] + beta.take(ahead[low:high]), first[a:b] - low)
+        self._sum_back(base, int(steps[far]), n, cut, ahead, logp, beta)
+        logp += beta.take(ahead)
+        logp -= np.repeat(beta[base:], choices)
         logp[first[choices == 1]] = 0.0
         cum = np.exp(logp)
         at, many = first, choices
-        for rank in range(1, int(choices.max())):  # each node by itself, so that no word's sums depend on other words
-            go = many > rank
-            at, many = at[go], many[go]
-            cum[at + rank] += cum[at + rank - 1]
-        cum[first + choices - 1] = 2.0
-        nodes, edges = len(self.first), len(self.node)
+        for rank in range(1, int(choices.max(initial=0))):  # each node by itself, so that no word's sums depend on other words
+            go = np.flatnonzero(many > rank)
+            at, many = at.take(go), many.take(go)
+            cum[at + rank] += cum.take(at + rank - 1)
+        cum[cut[1:] - 1] = 2.0
+        edges = len(self.node)
         for mine, new in (
-            (self.begin, end - length + nodes), (self.end, end + nodes), (self.first, first + edges), (self.choices, choices),
-            (self.node, node + nodes), (self.size, size), (self.piece, piece), (self.logp, logp), (self.cum, cum),
+            (self.first, first + edges), (self.choices, choices), (self.node, np.repeat(np.arange(base, base + n), choices)),
+            (self.ahead, ahead), (self.piece, piece), (self.logp, logp), (self.cum, cum),
         ):
             mine.extend(new)
 
     @staticmethod
-    def _sum_back(nodes: np.ndarray, first: np.ndarray, choices: np.ndarray, ahead: np.ndarray, logp: np.ndarray, beta: np.ndarray) -> None:
+    def _sum_back(base: int, start: int, stop: int, cut: np.ndarray, ahead: np.ndarray, logp: np.ndarray, beta: np.ndarray) -> None:
         """The same log-sums node by node, the operations in the same order."""
-        own = gathered(first[nodes], choices[nodes])
-        score, ahead, at = logp[own].tolist(), ahead[own].tolist(), 0
-        for node, many in zip(nodes.tolist(), choices[nodes].tolist(), strict=True):
+        low = int(cut[start])
+        score, ahead, cut = logp[low : cut[stop]].tolist(), ahead[low : cut[stop]].tolist(), (cut[start : stop + 1] - low).tolist()
+        for node, at, end in zip(range(base + start, base + stop), cut, cut[1:], strict=False):
             total = score[at] + beta[ahead[at]]
-            for e in range(at + 1, at + many):
+            for e in range(at + 1, end):
                 total = np.logaddexp(total, score[e] + beta[ahead[e]])
             beta[node] = total
-            at += many
 
     def words(self, cut: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """The number of every word of every normalised text in turn, and the words before each text (with the total); ``cut``
+        """The node of every word of every normalised text in turn, and the words before each text (with the total); ``cut``
         are ``cut_words`` of the texts."""
         if len(self.first) > self.MOST_NODES:
-            self.forget(self.MOST_NODES // 2) if len(self.extra) < self.MOST_NODES else self.clear()
+            self.clear()
         raw, start, end, hashes, first_word = cut
-        number = self.table.find(hashes)
-        missing = np.flatnonzero(number < 0)
+        node = self.find(hashes)
+        missing = np.flatnonzero(node == 0)
         if len(missing):
-            new, where = np.unique(hashes[missing], return_index=True)
-            where = missing[where]
-            self._learn(raw, start[where], end[where])
-            self.table.add(new)
-            self.hash.extend(new)
-            self.uses.extend(np.zeros(len(new), np.int32))
-            number[missing] = self.table.find(hashes[missing])
-        uses = self.uses.all()
-        uses += np.bincount(number, minlength=len(uses)).astype(np.int32)
-        return number, first_word
-
-    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Build the lattices of the words at these byte places, a bounded number of characters at once."""
+            where, number = _distinct(hashes.take(missing))
+            where = missing.take(where)
+            node[missing] = self._learn(raw, start.take(where), end.take(where)).take(number)
+        return node, first_word
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The nodes of the words at these byte places, made a bounded number of characters at once."""
         size = end - start
         own = raw[gathered(start, size)]
-        code = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
-        chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])[np.concatenate([[0], np.cumsum(size)])]
-        at = 0
+        code = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        begin = np.flatnonzero((own & 0xC0) != 0x80)
+        ends = np.cumsum(size)
+        chars = np.concatenate([[0], np.searchsorted(begin, ends)])
+        hashes = np.maximum(span_hashes(own, begin, np.repeat(ends, np.diff(chars))), np.uint64(1))
+        left = np.repeat(chars[1:], np.diff(chars)) - np.arange(len(code))
+        at, found = 0, np.empty(len(size), np.int64)
         while at < len(size):
             upto = max(at + 1, int(np.searchsorted(chars, chars[at] + self.BUILT_CHARS, side="right")) - 1)
-            self.add(code[chars[at] : chars[upto]], np.diff(chars[at : upto + 1]))
+            part = slice(chars[at], chars[upto])
+            node = self.find(hashes[part])
+            missing = np.flatnonzero(node == 0)
+            if len(missing):
+                where, number = _distinct(hashes[part].take(missing))
+                new = missing.take(where)
+                remain = left[part].take(new)
+                order = np.argsort(remain.astype(np.uint16) if remain.max() < 1 << 16 else remain, kind="stable")
+                new, remain = new.take(order), remain.take(order)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(self.first), len(self.first) + len(order))
+                node[missing] = place.take(number)
+                self.table.add(hashes[part].take(new))
+                self.add(code[part], new, remain, node)
+            found[at:upto] = node.take(chars[at:upto] - chars[at])
             at = upto
+        return found
 
     def ways(self, edge: int) -> range:
         """All edges that leave the node that this one leaves."""
@@ -391,16 +394,16 @@ class Lattice:
         first = int(self.first.all()[node])
         return range(first, first + int(self.choices.all()[node]))
 
-    def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sample a path from each ``node`` to ``end``: its edges in turn, and the number of edges of each path."""
-        first, cum, size = self.first.all(), self.cum.all(), self.size.all()
-        active, steps = np.flatnonzero(node < end), []
-        at, stop, key = node[active], end[active], key[active]
+    def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sample a path from each ``node`` to the end: its edges in turn, and the number of edges of each path."""
+        first, cum, ahead = self.first.all(), self.cum.all(), self.ahead.all()
+        active, steps = np.flatnonzero(node), []
+        at, key = node[active], key[active]
         counts, t = np.zeros(len(node), np.int64), 0
         alone: list[tuple[int, list[int]]] = []
         while len(active):
             if len(active) <= self.FEW:
-                alone = [(int(w), self._walk_on(int(a), int(b), int(k), t)) for w, a, b, k in zip(active, at, stop, key, strict=True)]
+                alone = [(int(w), self._walk_on(int(a), int(k), t)) for w, a, k in zip(active, at, key, strict=True)]
                 break
             u = _uniform(key + _STEP * np.uint64([t]))
             edge = first.take(at).astype(np.int64)
@@ -412,9 +415,9 @@ class Lattice:
                 wait, more, above = wait.take(go), more.take(go) + 1, above.take(go)
             steps.append((active, edge))
             counts[active] += 1
-            at = at + size.take(edge)
-            go = np.flatnonzero(at < stop)
-            active, at, stop, key = active.take(go), at.take(go), stop.take(go), key.take(go)
+            at = ahead.take(edge)
+            go = np.flatnonzero(at)
+            active, at, key = active.take(go), at.take(go), key.take(go)
             t += 1
         taken = counts.copy()
         for w, edges in alone:
@@ -428,23 +431,35 @@ class Lattice:
             out[at : at + len(edges)] = edges
         return out, counts
 
-    def _walk_on(self, node: int, stop: int, key: int, t: int) -> list[int]:
+    def _walk_on(self, node: int, key: int, t: int) -> list[int]:
         """The rest of one path, with the same random numbers."""
-        first, cum, size, out = self.first.all(), self.cum.all(), self.size.all(), []
-        while node < stop:
+        first, cum, ahead, out = self.first.all(), self.cum.all(), self.ahead.all(), []
+        while node:
             u = _uniform_of(key + int(_STEP) * t)
             edge = int(first[node])
             while cum[edge] <= u:
                 edge += 1
             out.append(edge)
-            node += int(size[edge])
+            node = int(ahead[edge])
             t += 1
         return out
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash is (once, anywhere), and the number of each hash among the distinct ones.  No hash is 0."""
+    order = np.argsort(hashes)
+    new = np.diff(hashes.take(order), prepend=np.uint64(0)) != 0
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order.take(np.flatnonzero(new)), number
+
+
 class _Grown:
     """An array that grows at its end."""
 
+    #: Bytes kept for new values; more were for a very long text.
+    MOST_KEPT = 1 << 24
+
     def __init__(self, kind) -> None:
         self.array, self.used = np.empty(1 << 12, kind), 0
 
@@ -459,6 +474,8 @@ class _Grown:
         self.used = need
 
     def replace(self, values: np.ndarray) -> None:
+        if self.array.nbytes > self.MOST_KEPT:
+            self.array = np.empty(1 << 12, self.array.dtype)
         self.used = 0
         self.extend(values)
 
@@ -479,7 +496,6 @@ class Samples:
         text_of = np.repeat(np.arange(len(texts)), np.diff(first_word))
         self.keys = keys = mixed(keys.astype(np.uint64))
         word_key = mixed(keys[text_of] + (np.arange(len(word)) - first_word[text_of]).astype(np.uint64) * _TOKEN)
-        begin, end = lattice.begin.all()[word].astype(np.int64), lattice.end.all()[word].astype(np.int64)
         size_of = np.fromiter(map(len, lattice.extra), np.int64, len(lattice.extra))
         flat = np.array([i for x in lattice.extra for i in x], np.int32)
         begin_of = np.cumsum(size_of) - size_of
@@ -500,7 +516,7 @@ class Samples:
             out[gathered(at + before[:-1], size_of[which])] = flat[gathered(begin_of[which], size_of[which])]
             return out, cut + before[np.searchsorted(at, cut)]
 
-        edges, counts = lattice.walk(begin, end, word_key + np.uint64(1))
+        edges, counts = lattice.walk(word, word_key + np.uint64(1))
         word_cut = np.concatenate([[0], np.cumsum(counts)])
         cut = word_cut[first_word]
         ids, id_cut = spelled(edges, cut)
@@ -512,7 +528,7 @@ class Samples:
             w, x = int(first_word[d]), int(first_word[d + 1])
             paths.append([_Path(self, d, 1, edges[a:b], prefix, word_cut[w : x + 1] - a, 0, 0.0, float(best[d]))] if b > a else [])
         for s in range(2, k + 1):
-            begun, start, stop, start_key, owner = [], [], [], [], []
+            begun, start, start_key, owner = [], [], [], []
             for d, mine in enumerate(paths):
                 if not mine or len(self.ids[d]) < s - 1:
                     continue
@@ -524,16 +540,15 @@ class Samples:
                 # the word that decision j lies in, from after the new edge on, and the words after it are walked anew
                 w = int(first_word[d]) + int(np.searchsorted(p.word_cut, j, side="right")) - 1
                 rest = slice(w, int(first_word[d + 1]))
-                at = begin[rest].copy()
-                at[0] = lattice.node.all()[edge] + lattice.size.all()[edge]
+                at = word[rest].copy()
+                at[0] = lattice.ahead.all()[edge]
                 start.append(at)
-                stop.append(end[rest])
                 start_key.append(word_key[rest] + np.uint64([s]) * _TOKEN)
                 owner.append(len(at))
                 begun.append((d, p, j, top, edge, phi, w - int(first_word[d])))
             if not begun:
                 break
-            more, counts = lattice.walk(np.concatenate(start), np.concatenate(stop), np.concatenate(start_key))
+            more, counts = lattice.walk(np.concatenate(start), np.concatenate(start_key))
             walked = np.concatenate([[0], np.cumsum(counts)])
             of = np.concatenate([[0], np.cumsum(owner)])
             cut = walked[of]
@@ -677,8 +692,7 @@ def sample(docs: DataFrame, model_path: str, *, k: int = 2, seed: int = 1, alpha
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                wanted = (x for x, n in zip((t.encode() for t in normal), counts, strict=True) for _ in range(n))
-                back = [x == t for x, t in zip(decoder.marked(flat, offsets), wanted, strict=True)]
+                back = decoder.same(flat, offsets, [t.encode() for t in normal], counts)
                 numbers = pa.array([i + (not own) for n in counts for i in range(n)], pa.int32())
                 floats = [pa.array([v for mine in x for v in mine], pa.float64()) for x in scores]
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(len(keep))] + [numbers, arrays, *floats, pa.array(back, pa.bool_())], names=names)
@@ -726,13 +740,17 @@ class Decoder:
         self.spelt = pa.array([x.replace(b" ", MARK.encode()) for x in spelt], pa.large_binary())
         self.dummy = sp.normalize("a").startswith(MARK)
 
-    def marked(self, ids: pa.Array, cuts: np.ndarray) -> Iterator[bytes]:
-        """The pieces' characters with their word marks, as bytes of a normalised text, for the ids between each two cuts."""
+    def same(self, ids: pa.Array, cuts: np.ndarray, texts: list[bytes], counts: list[int]) -> list[bool]:
+        """Whether the ids between each two cuts spell their text: the first ``counts[0]`` runs the first one, and so on."""
         found = self.spelt.take(ids)
         _, offsets, data = found.buffers()
-        data = memoryview(data) if data else b""
-        at = np.frombuffer(offsets, np.int64)[cuts].tolist() if len(ids) else [0] * len(cuts)
-        return (bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False))
+        at = np.frombuffer(offsets, np.int64)[cuts] if len(ids) else np.zeros(len(cuts), np.int64)
+        data = (data or pa.py_buffer(b"")).slice(0, int(at[-1]))
+        wanted = [t for t, n in zip(texts, counts, strict=True) for _ in range(n)]
+        if (np.diff(at) == np.fromiter(map(len, wanted), np.int64, len(wanted))).all() and data.equals(pa.py_buffer(b"".join(wanted))):
+            return [True] * len(wanted)
+        data, at = memoryview(data), at.tolist()
+        return [bytes(data[a:b]) == t for a, b, t in zip(at, at[1:], wanted, strict=False)]
 
     def text(self, ids: np.ndarray) -> str:
         raw = self.flat[gathered(self.begin[ids], self.size[ids])].tobytes().decode("utf-8", "replace")

@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +71,27 @@ def test_words_kept_or_not_make_no_difference(pieces, monkeypatch):
         assert [x.tolist() for x in found.ids[0]] == wanted[i]
 
 
+def test_words_share_the_nodes_of_their_endings(pieces):
+    texts = ["walking talking king", "a talking é🙂king", "", "king"]
+    lattice, normal = sp_lattice.Lattice(pieces), [pieces.normalized(t) for t in texts]
+    for _ in range(2):
+        node, first = lattice.words(sp_lattice.cut_words(normal))
+        words = ["▁" + w for t in texts for w in t.split()]
+        assert len(lattice.first) == 1 + len({w[i:] for w in words for i in range(len(w))})
+        assert len(set(node.tolist())) == len(set(words)) and first.tolist() == [0, 3, 6, 6, 7]
+
+
+def test_decoded_texts_are_told_from_others(pieces):
+    decoder = sp_lattice.Decoder(pieces.processor)
+    ids = [pieces.processor.encode(t) for t in ("one two", "one two", "", "three")]
+    flat, cuts = pa.array([i for x in ids for i in x], pa.int32()), np.cumsum([0, *map(len, ids)])
+    same = lambda texts: decoder.same(flat, cuts, [pieces.normalized(t).encode() for t in texts], [2, 1, 1])
+    assert same(["one two", "", "three"]) == [True] * 4
+    assert same(["one twO", "", "three"]) == [False, False, True, True]
+    assert same(["one two", "x", "thre"]) == [True, True, False, False]
+    assert decoder.same(flat[:0], np.zeros(2, np.int64), [b""], [1]) == [True]
+
+
 def test_few_words_at_once_make_no_difference(pieces, monkeypatch):
     texts = ["some words", "x" * 400 + "yz" * 100, "é🙂" * 80, "a", "internationalization"]
     wanted = sampled(pieces, texts, 3)
