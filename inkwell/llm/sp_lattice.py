@@ -238,7 +238,7 @@ class Lattice:
     """
 
     #: Nodes kept; beyond that, the next chunk starts anew.
-    MOST_NODES = 200_000
+    MOST_NODES = 300_000
     #: So few words left are handled one by one instead of together.
     FEW = 2
     #: Characters of new words that are looked through at once.
@@ -246,17 +246,17 @@ class Lattice:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.first, self.choices, self.beta = _Grown(np.int32), _Grown(np.int16), _Grown(np.float64)
-        self.node, self.ahead, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int32), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
+        self.first, self.beta = _Grown(np.int32), _Grown(np.float64)
+        self.ahead, self.piece, self.logp, self.cum = _Grown(np.int32), _Grown(np.int32), _Grown(np.float64), _Grown(np.float64)
         self.clear()
 
     def clear(self) -> None:
         self.table = WordTable(20)  # sparse: look-ups end after few steps
         self.extra: list[list[int]] = []  # ids of the characters without a piece
         self.spelt: dict[int, int] = {}
-        for mine in (self.first, self.choices, self.beta):
+        for mine in (self.first, self.beta):
             mine.replace(np.zeros(1))
-        for mine in (self.node, self.ahead, self.piece, self.logp, self.cum):
+        for mine in (self.ahead, self.piece, self.logp, self.cum):
             mine.replace(np.zeros(0))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -325,11 +325,8 @@ class Lattice:
             at, many = at.take(go), many.take(go)
             cum[at + rank] += cum.take(at + rank - 1)
         cum[cut[1:] - 1] = 2.0
-        edges = len(self.node)
-        for mine, new in (
-            (self.first, first + edges), (self.choices, choices), (self.node, np.repeat(np.arange(base, base + n), choices)),
-            (self.ahead, ahead), (self.piece, piece), (self.logp, logp), (self.cum, cum),
-        ):
+        edges = len(self.piece)
+        for mine, new in ((self.first, first + edges), (self.ahead, ahead), (self.piece, piece), (self.logp, logp), (self.cum, cum)):
             mine.extend(new)
 
     @staticmethod
@@ -390,9 +387,9 @@ class Lattice:
 
     def ways(self, edge: int) -> range:
         """All edges that leave the node that this one leaves."""
-        node = int(self.node.all()[edge])
-        first = int(self.first.all()[node])
-        return range(first, first + int(self.choices.all()[node]))
+        first = self.first.all()
+        after = int(np.searchsorted(first, np.int32(edge), side="right"))  # node 0 has none, any other some
+        return range(int(first[after - 1]), int(first[after]) if after < len(first) else len(self.piece))
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample a path from each ``node`` to the end: its edges in turn, and the number of edges of each path."""
@@ -495,7 +492,7 @@ class Samples:
         self.lattice = lattice
         text_of = np.repeat(np.arange(len(texts)), np.diff(first_word))
         self.keys = keys = mixed(keys.astype(np.uint64))
-        word_key = mixed(keys[text_of] + (np.arange(len(word)) - first_word[text_of]).astype(np.uint64) * _TOKEN)
+        word_key = mixed(keys.take(text_of) + (np.arange(len(word)) - first_word.take(text_of)).astype(np.uint64) * _TOKEN)
         size_of = np.fromiter(map(len, lattice.extra), np.int64, len(lattice.extra))
         flat = np.array([i for x in lattice.extra for i in x], np.int32)
         begin_of = np.cumsum(size_of) - size_of
@@ -505,7 +502,7 @@ class Samples:
         best = -np.log(-np.log(_uniform(keys + np.uint64(7))))  # the root's perturbed score: its log-probability is 0
 
         def spelled(edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            piece = lattice.piece.all()[edges]
+            piece = lattice.piece.all().take(edges)
             at = np.flatnonzero(piece >= lattice.pieces.size)
             if not len(at):
                 return piece, cut
@@ -520,7 +517,7 @@ class Samples:
         word_cut = np.concatenate([[0], np.cumsum(counts)])
         cut = word_cut[first_word]
         ids, id_cut = spelled(edges, cut)
-        logp = lattice.logp.all()[edges]
+        logp = lattice.logp.all().take(edges)
         paths: list[list[_Path]] = []
         for d, (a, b, low, high) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), id_cut[:-1].tolist(), id_cut[1:].tolist(), strict=True)):
             prefix = _sums(0.0, logp[a:b])
@@ -554,7 +551,7 @@ class Samples:
             cut = walked[of]
             whole = [np.concatenate([p.edges[:j], [edge], more[a:b]]) for (_, p, j, _, edge, _, _), a, b in zip(begun, cut[:-1], cut[1:], strict=True)]
             ids, id_cut = spelled(np.concatenate(whole), np.concatenate([[0], np.cumsum([len(x) for x in whole])]))
-            logp = lattice.logp.all()[more]
+            logp = lattice.logp.all().take(more)
             for n, (d, p, j, top, _, phi, w) in enumerate(begun):
                 a, b = int(cut[n]), int(cut[n + 1])
                 prefix = np.concatenate([p.prefix[: j + 1], _sums(phi, logp[a:b])])

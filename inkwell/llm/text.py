@@ -288,11 +288,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs [start, end): a polynomial over random byte values by prefix sums, then mixed."""
     power, inverse = _power_tables(len(raw))
-    value = _BYTE_VALUE[raw]
+    value = _BYTE_VALUE.take(raw)
     value *= power[: len(raw)]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    return mixed((total[end] - total[start]) * inverse[start])
+    return mixed((total.take(end) - total.take(start)) * inverse.take(start))
 
 
 class Words:
