@@ -1,18 +1,31 @@
 """From raw documents to encoded training text, in stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes it as Parquet and reads it back as the next
-stage's ``docs``.  All stages but the last return the columns of ``documents``.
+stage's ``docs``.  All stages but the last return the columns of ``documents``.  Before each, executors give back the heap
+that earlier stages filled with garbage, as the Python workers need memory beside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import near_dup, queries, secret_scan, toxicity, winnow
-from inkwell.llm.text import learned_fold, saved
+from inkwell.llm.text import give_back_heaps, learned_fold, saved
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tidied(stage: Stage) -> Stage:
+    @wraps(stage)
+    def after_others(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return after_others
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -26,6 +39,7 @@ def _as_before(found: DataFrame, plain: DataFrame, docs: DataFrame) -> DataFrame
     return found.select(*plain.columns).toDF(*docs.columns)
 
 
+@_tidied
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier calls toxic go; the others keep all their columns as they are.
 
@@ -38,6 +52,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _as_before(toxicity.scored(plain, model, keep=plain.columns, text_col=text).where("predicted = 0"), plain, docs)
 
 
+@_tidied
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays, that with the least id, with all its columns as they are.
 
@@ -48,6 +63,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _as_before(near_dup.deduplicated(plain, id_col=key, text_col=text), plain, docs)
 
 
+@_tidied
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by passages of the benchmark go; the others keep all their columns as they are.
 
@@ -59,6 +75,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _as_before(found.where("NOT contaminated"), plain, docs)
 
 
+@_tidied
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and ``n_chars`` follows its text; every document and any other column stays as it is.
 
@@ -76,6 +93,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.select(*[out.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
+@_tidied
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded training text: ``doc_id``, ``sample``, ``ids``, ``log_prob``, ``gumbel``, ``inclusion``, ``round_trip``.
 
@@ -87,7 +105,7 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return queries.encoded(plain, [key], key, text).withColumnRenamed(key, "doc_id")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity_stage),
     ("near_duplicates", near_duplicates_stage),
     ("decontamination", decontamination_stage),

@@ -224,6 +224,16 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Free memory of the executors' heaps goes back to the system.
+
+    A heap keeps the size that earlier work's garbage gave it, and what runs next has its Python workers beside it.  One short
+    task per core collects the garbage, after which Java shrinks the heap; an executor that is busy or comes later keeps its own.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def with_text(df: DataFrame, text_col: str, kept: list[str], columns: list[Column], own: list[T.StructField]) -> tuple[DataFrame, str]:
     """The kept columns with the text, and its name: if it is kept itself, it goes to Python once."""
     if text_col in kept and isinstance(own[kept.index(text_col)].dataType, T.StringType):

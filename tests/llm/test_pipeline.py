@@ -82,6 +82,17 @@ def test_run_gives_the_same(spark, steps):
     assert digest(corpus_pipeline.run(spark, SF)) == digest(steps["sentencepiece"])
 
 
+def test_heaps_are_given_back(spark):
+    """Before each stage the executors (here the driver) collect all garbage, whatever the stage does."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in full)
+        stage(spark, docs, SF)
+        assert sum(b.getCollectionCount() for b in full) > before, name
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (None, "token=abcdefgh1234 and more", "en", "s", 27), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, "clean text " * 3, None, None, 33)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
